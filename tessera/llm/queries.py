@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, planes, simhash, toxicity
+from . import bpe, decontaminate, langid, planes, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"), modulus=4, rest=2)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3, seed=42)
 
@@ -31,10 +41,69 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages"), again=1_000))
+    names = F.array_sort(F.map_keys("headers"))
+    lines = F.transform(names, lambda k: F.concat(k, F.lit(": "), F.element_at("headers", k)))
+    return found.select("record_id", "canonical_url", "captured_at", "ref_id", "ref_at", "outcome", F.sha2(F.array_join(lines, "\n"), 256).alias("headers_sha256"), "digest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
+    "op10_warc_revisits": op10_warc_revisits,
 }
-ORACLES: dict[str, str] = {}
+
+OP5_SQL = r"""
+WITH norm AS (
+  SELECT 'd' AS kind, row_number() OVER () AS rid, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', row_number() OVER (), item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') FROM benchmark
+), grams AS (
+  SELECT DISTINCT id AS item_id, w[i : i + 9] AS gram FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM norm WHERE kind = 'b' AND len(w) > 0 AND id IS NOT NULL)
+), sizes AS (SELECT DISTINCT len(gram) AS k FROM grams
+), seats AS (
+  SELECT rid, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM norm, sizes WHERE kind = 'd' AND len(w) >= k
+), met AS (
+  SELECT rid, i, k, item_id FROM (SELECT rid, i, k, w[i : i + k - 1] AS gram FROM seats) JOIN grams USING (gram)
+), pos AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM met) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS list FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS t FROM met) GROUP BY rid
+)
+SELECT d.id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM norm d LEFT JOIN pos USING (rid) LEFT JOIN items USING (rid) WHERE d.kind = 'd'
+"""
+
+OP10_SQL = r"""
+WITH bare AS (
+  SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages
+), parts AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(?:80|443)$', ''), '^www\d*\.', '') AS host,
+         regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(?:utm_[a-z]+|gclid|fbclid|sessionid|jsessionid|phpsessid|sid|ref)(?:=|$)'))) AS q
+  FROM bare
+), pg AS (
+  SELECT page_id, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS curl, sha256(html) AS sha, octet_length(encode(html)) AS n FROM parts
+), revisit AS (
+  SELECT 2 * page_id + 1 AS record_id, curl, page_id + 1000 AS cap, '"' || substr(sha, 1, 16) || '"' AS tag FROM pg
+), ref AS (
+  SELECT r.record_id, max((p.page_id, 2 * p.page_id)) AS best FROM revisit r JOIN pg p ON p.curl = r.curl AND (p.page_id < r.cap OR (p.page_id = r.cap AND 2 * p.page_id < r.record_id)) GROUP BY r.record_id
+), full_ref AS (
+  SELECT r.*, p.page_id AS ref_at, 2 * p.page_id AS ref_id, p.sha, p.n FROM revisit r LEFT JOIN ref USING (record_id) LEFT JOIN pg p ON p.page_id = struct_extract(best, 1)
+)
+SELECT CAST(record_id AS BIGINT) AS record_id, curl AS canonical_url, CAST(cap AS BIGINT) AS captured_at, CAST(ref_id AS BIGINT) AS ref_id, CAST(ref_at AS BIGINT) AS ref_at,
+       CASE WHEN ref_at IS NULL THEN 'no_response' WHEN substr(sha, 1, 16) = substr(tag, 2, 16) THEN 'resolved' ELSE 'mismatch' END AS outcome,
+       sha256(CASE WHEN ref_at IS NOT NULL AND substr(sha, 1, 16) = substr(tag, 2, 16)
+              THEN 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || cap || chr(10) || 'etag: W/' || tag
+              ELSE 'content-length: 0' || chr(10) || 'date: ' || cap || chr(10) || 'etag: W/' || tag END) AS headers_sha256,
+       CASE WHEN ref_at IS NOT NULL AND substr(sha, 1, 16) = substr(tag, 2, 16) THEN sha END AS digest
+FROM full_ref
+"""
+
+ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op10_warc_revisits": OP10_SQL}
