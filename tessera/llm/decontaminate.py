@@ -25,11 +25,7 @@ BROADCAST_WINDOWS = 200_000
 def words(text: Column) -> Column:
     """The normalised words of a text; an empty array for null."""
     low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    parts = F.split(low, BREAK)
-    # only the ends can be empty
-    head = F.when(F.element_at(parts, 1) == "", F.slice(parts, 2, F.size(parts))).otherwise(parts)
-    both = F.when((F.size(head) > 0) & (F.try_element_at(head, F.lit(-1)) == ""), F.slice(head, 1, F.greatest(F.size(head) - 1, F.lit(0)))).otherwise(head)
-    return F.coalesce(both, F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.split(low, BREAK), lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def windows(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -64,16 +60,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
     # one row for the document itself (pos null), then one for each window
     seats = [F.when(F.size(w) >= k, F.transform(hashes(k), lambda h, i: F.struct(i.alias("pos"), F.lit(k).alias("k"), h.alias("h")))).otherwise(F.array().cast("array<struct<pos:int,k:int,h:bigint>>")) for k in sorted(lengths)]
     own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(0).alias("k"), F.lit(None).cast("bigint").alias("h")))
-    # the array is built in a projection of its own: then explode, probe and filter fuse, and only
-    # rows that hit copy the words
-    rows = base.withColumn("seats", F.concat(own, *seats)).select("doc_id", "text_hash", "w", F.explode("seats").alias("s")).select("doc_id", "text_hash", "w", "s.pos", "s.k", "s.h")
+    # The array is built in a projection of its own: then explode, probe and filter fuse, and only
+    # rows that hit copy the words. The outer form, over arrays that are never empty, keeps Spark
+    # from testing the array's size in a filter that would compute it twice.
+    rows = base.withColumn("seats", F.concat(own, *seats)).select("doc_id", "text_hash", "w", F.explode_outer("seats").alias("s")).select("doc_id", "text_hash", "w", "s.pos", "s.k", "s.h")
     met = rows.join(probe, "h", "left").where("pos is null or known is not null")
+    # verified below, not in a filter: a filter with a lambda would end the fused stage and copy
+    # the words into every window's row
     found = F.filter("known", lambda g: g["gram"] == F.slice(w, F.col("pos") + 1, F.col("k")))
     met = met.select("doc_id", "text_hash", F.size(w).alias("n_words"), "pos", "k", F.flatten(F.transform(found, lambda g: g["items"])).alias("items"))
-    met = met.where("pos is null or size(items) > 0")
     return met.groupBy("doc_id", "text_hash", "n_words").agg(
         F.count_if(F.col("pos").isNull()).alias("copies"),
-        F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "k")))).alias("starts"),
+        F.array_sort(F.collect_set(F.when(F.size("items") > 0, F.struct("pos", "k")))).alias("starts"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
 
