@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ BYTES, BITS = 0, 1
 FOOTER = struct.Struct("<QQIQQ4s")
 CHUNK_IDS = 65_536
 #: Words kept with their ids in each worker.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 
 
 def split_planes(values: np.ndarray, kind: int) -> list[bytes]:
@@ -168,33 +169,83 @@ class PlaneReader:
             held = whole[n:]
 
 
-@lru_cache(maxsize=1)
-def word_coder(path: str):
+def byte_letters() -> dict[int, str]:
+    """Byte -> the letter that stands for it in byte-level vocabularies: printable Latin-1 bytes
+    stand for themselves, the others for the code points from 256 on, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Line ends and tabs as blanks.
+BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
+
+
+class Known(dict):
+    """Words with their ids; a word not there yet is worked and kept."""
+
+    def __init__(self, work, items=()):
+        super().__init__(items)
+        self.work = work
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.work(word)
+        return found
+
+
+class WordCoder:
     """texts -> little-endian ids, by the tokenizers library.
 
-    No rule of a word-level tokenizer looks across ASCII white space, so each distinct word is
-    encoded once and remembered.
+    The tokenizer's rules never look across ASCII white space, never join a letter or number with a
+    punctuation run after it, and take letters case by case; so each distinct lower-cased word is
+    worked once and remembered, a closing punctuation run apart. A word of letters alone is one
+    piece and goes straight to the library's model; anything else takes the library's whole path,
+    as does a text that may spell a special token.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        nonlocal known
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        wanted = set().union(*words)
-        new = [w for w in wanted if w not in known]
-        if len(known) + len(new) > KEPT_WORDS:
-            kept = list(known)[len(known) // 2 :]
-            known = {w: known[w] for w in kept} | {w: known[w] for w in wanted if w in known}
-        for i in range(0, len(new), 4096):
-            for w, e in zip(new[i : i + 4096], tok.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes() if e.ids else b""
-        return [b"".join(map(known.__getitem__, w)) for w in words]
-
-    return encode
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.letters = {chr(b): c for b, c in byte_letters().items()}
+        self.known = Known(self.word)
+        self.table = str.maketrans(self.letters)
+
+    def whole(self, word: str) -> list[int]:
+        return self.tok.encode(word, add_special_tokens=False).ids
+
+    def piece(self, core: str) -> list[int]:
+        if core.isascii() and core.isalpha():
+            return [t.id for t in self.model.tokenize(core)]
+        if core.isalpha() and (core := self.tok.normalizer.normalize_str(core)).isalpha():
+            return [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.table))]
+        return self.whole(core)
+
+    def word(self, word: str) -> bytes:
+        core = word.rstrip(".,;:!?")
+        if len(core) < len(word) and core and normalize("NFC", core[-1]).lower().isalnum():
+            return self.known[core] + self.known[word[len(core) :]]
+        return np.array(self.piece(word), "<u4").tobytes() if word else b""
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > KEPT_WORDS:
+            self.known = Known(self.word, list(self.known.items())[len(self.known) // 2 :])
+        known, out = self.known.__getitem__, []
+        for text in texts:
+            if "<|" in text:
+                out.append(np.array(self.whole(text), "<u4").tobytes())
+            else:
+                words = text.encode().lower().translate(BLANKS).decode().split(" ")
+                out.append(b"".join(map(known, words)))
+        return out
+
+
+@lru_cache(maxsize=1)
+def word_coder(path: str) -> WordCoder:
+    """The coder of a tokenizer file, read once in each worker."""
+    return WordCoder(path)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, kind: int = BYTES, chunk_ids: int = CHUNK_IDS, files: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
