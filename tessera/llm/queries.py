@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, langid, planes, simhash, toxicity, warc
+from . import bpe, covertree, decontaminate, langid, planes, simhash, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_words(table(spark, sf_dir, "documents"), window=13)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -55,6 +59,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
@@ -74,6 +79,20 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """
 
+OP4_SQL = r"""
+WITH norm AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), seats AS (
+  SELECT rid, doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS h FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM norm WHERE len(w) >= 13)
+), least AS (SELECT h, min(doc_id) AS d FROM seats GROUP BY h
+), gone AS (
+  SELECT rid, list(DISTINCT p) AS ps FROM (SELECT rid, unnest(range(i, i + 13)) AS p FROM seats JOIN least USING (h) WHERE doc_id > d) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ps, k)) END, ' ')) AS kept_sha256
+FROM norm LEFT JOIN gone USING (rid)
+"""
+
 OP5_SQL = r"""
 WITH norm AS (
   SELECT 'd' AS kind, row_number() OVER () AS rid, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
@@ -122,4 +141,4 @@ SELECT CAST(record_id AS BIGINT) AS record_id, curl AS canonical_url, CAST(cap A
 FROM full_ref
 """
 
-ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op5_decontaminate": OP5_SQL, "op10_warc_revisits": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_substrings": OP4_SQL, "op5_decontaminate": OP5_SQL, "op10_warc_revisits": OP10_SQL}
