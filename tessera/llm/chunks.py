@@ -151,28 +151,36 @@ def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, firsts, group
 
 
-def answered(sent: DataFrame, parts: int, answer: Callable[..., np.ndarray], label: str) -> str:
-    """Let the blocks of each part meet; returns the folder with one file of answers per chunk.
+def by_key(answer: Callable[..., np.ndarray]) -> Callable[[list[int], list[int], list[tuple[bytes, ...]]], np.ndarray]:
+    """``answer(chunk of each fingerprint, keys, *values)`` as a meeting of key blocks."""
 
-    ``answer(chunk of each fingerprint, keys, *values)`` returns one small unsigned number for each.
+    def meet(names: list[int], counts: list[int], data: list[tuple[bytes, ...]]) -> np.ndarray:
+        keys = np.concatenate([np.cumsum(unsqueezed(d[0], n), dtype=np.uint64) for d, n in zip(data, counts, strict=True)])
+        values = [np.concatenate([unsqueezed(d[k], n) for d, n in zip(data, counts, strict=True)]) for k in range(1, len(data[0]))]
+        return answer(np.repeat(np.array(names, np.int64), counts), keys, *values)
+
+    return meet
+
+
+def answered(sent: DataFrame, parts: int, meeting: Callable[[list[int], list[int], list[tuple[bytes, ...]]], np.ndarray], label: str) -> tuple[str, int]:
+    """Let the blocks of each part meet; returns the folder with one file of answers per chunk, and the largest answer.
+
+    ``meeting(chunks, counts, data)`` gets the blocks of one part, in any order, and returns one
+    number from 0 to 255 for each of the entries that the blocks count, in the blocks' order.
     """
     folder = shared_path(sent.sparkSession, label)
-    extra = len(sent.columns) - 4
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, names, counts = None, [], []
-        data: list[list[np.ndarray]] = [[] for _ in range(1 + extra)]
+        part, names, counts, data = None, [], [], []
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.column(0)[i].as_py()
                 names.append(batch.column(1)[i].as_py())
-                counts.append(n := batch.column(2)[i].as_py())
-                data[0].append(np.cumsum(unsqueezed(batch.column(3)[i].as_py(), n), dtype=np.uint64))
-                for k in range(extra):
-                    data[1 + k].append(unsqueezed(batch.column(4 + k)[i].as_py(), n))
+                counts.append(batch.column(2)[i].as_py())
+                data.append(tuple(batch.column(k)[i].as_py() for k in range(3, batch.num_columns)))
         if part is None:
             return
-        marks = answer(np.repeat(np.array(names, np.int64), counts), *(np.concatenate(d) for d in data)).astype(np.uint8)
+        marks = meeting(names, counts, data).astype(np.uint8)
         ends = np.cumsum(counts)
         cells = [zstandard.compress(marks[e - n : e].tobytes(), 1) for e, n in zip(ends.tolist(), counts, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([part] * len(names), pa.int32()), pa.array(cells, pa.binary())], names=["chunk", "part", "marks"])
@@ -180,14 +188,15 @@ def answered(sent: DataFrame, parts: int, answer: Callable[..., np.ndarray], lab
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        name, cells, done = None, [], []
+        name, cells, done, top = None, [], [], []
 
         def put() -> None:
-            own = f"{base}/.{uuid.uuid4().hex}"
+            own, raw = f"{base}/.{uuid.uuid4().hex}", b"".join(zstandard.decompress(c) for c in cells)
             with fs.open_output_stream(own) as out:
-                out.write(b"".join(zstandard.decompress(c) for c in cells))
+                out.write(raw)
             fs.move(own, f"{base}/{name}")
             done.append(name)
+            top.append(max(raw))
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -198,23 +207,22 @@ def answered(sent: DataFrame, parts: int, answer: Callable[..., np.ndarray], lab
                 cells.append(batch.column(2)[i].as_py())
         if name is not None:
             put()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["chunk"])
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64()), pa.array(top, pa.int32())], names=["chunk", "top"])
 
     marks = sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "chunk long, part int, marks binary")
-    saved = marks.repartition(parts, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(keep, "chunk long")
-    written(saved, f"{label}-names").count()
-    return folder
+    saved = marks.repartition(parts, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(keep, "chunk long, top int")
+    return folder, written(saved, f"{label}-names").agg(F.max("top")).first()[0] or 0
 
 
 def answers(folder: str, name: int, count: int) -> np.ndarray:
-    """The answers for the ``count`` sorted fingerprints that chunk ``name`` sent."""
+    """The answers for the ``count`` entries that chunk ``name`` sent, in its order."""
     if not count:
         return np.zeros(0, np.uint8)
     fs, base = pafs.FileSystem.from_uri(folder)
     with fs.open_input_stream(f"{base}/{name}") as source:
         found = np.frombuffer(source.read(), np.uint8)
     if len(found) != count:
-        raise RuntimeError(f"chunk {name} sent {count} fingerprints and got {len(found)} answers")
+        raise RuntimeError(f"chunk {name} sent {count} entries and got {len(found)} answers")
     return found
 
 

@@ -148,7 +148,7 @@ def repeated_words(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             if len(keys):
                 yield ch.blocks(chunk.name, keys, parts, bits)
 
-        folders.append(ch.answered(ch.each(packed, ask, ch.BLOCK), parts, _elsewhere, f"level-{lengths[level]}"))
+        folders.append(ch.answered(ch.each(packed, ask, ch.BLOCK), parts, ch.by_key(_elsewhere), f"level-{lengths[level]}")[0])
 
     def ask_last(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
         words = Words(chunk)
@@ -157,7 +157,7 @@ def repeated_words(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             keys, rest, doc, _ = _last(words, chunk, at, lengths)
             yield ch.blocks(chunk.name, keys, parts, 64, rest, doc.view(np.uint64))
 
-    last = ch.answered(ch.each(packed, ask_last, ch.BLOCK + ", v1 binary, v2 binary"), parts, _smaller, f"level-{window}")
+    last = ch.answered(ch.each(packed, ask_last, ch.BLOCK + ", v1 binary, v2 binary"), parts, ch.by_key(_smaller), f"level-{window}")[0]
 
     def result(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
         words = Words(chunk)
