@@ -116,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents of which more than the share ``most`` of the words is hit."""
     found = contamination(docs, benchmark, n, id_col, text_col)
-    bad = found.where(F.col("contaminated") & (F.col("n_hit") > most * F.col("n_words"))).select("doc_id", "text_hash").distinct()
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(bad["doc_id"]) & (F.col("__text_hash") == bad["text_hash"])
-    return hashed.join(bad, same, "left_anti").drop("__text_hash")
+    bad = found.where(F.col("contaminated") & (F.col("n_hit") > most * F.col("n_words"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    hashed = docs.withColumn("__own", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
+    return hashed.join(bad, same, "left_anti").drop("__own")

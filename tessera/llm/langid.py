@@ -223,26 +223,41 @@ def fit(docs: DataFrame, modulus: int = 4, rest: int = 2) -> Network | None:
     return train(*sample(docs, modulus, rest))
 
 
+def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    lang, score = [UNDEFINED] * len(texts), [0.0] * len(texts)
+    some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    if net is not None:
+        for a in range(0, len(some), 256):
+            part = some[a : a + 256]
+            probs = pooled(net, [texts[i].encode() for i in part])
+            for i, p in zip(part, probs, strict=True):
+                best = int(p.argmax())
+                lang[i], score[i] = net.langs[best], round(float(min(1.0, p[best])), 6)
+    return lang, score
+
+
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score. One narrow pass over whole texts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        lang, score = [UNDEFINED] * len(texts), [0.0] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-        if net is not None and some:
-            for a in range(0, len(some), 256):
-                part = some[a : a + 256]
-                probs = pooled(net, [texts[i].encode() for i in part])
-                for i, p in zip(part, probs, strict=True):
-                    best = int(p.argmax())
-                    lang[i], score[i] = net.langs[best], round(float(min(1.0, p[best])), 6)
+        lang, score = predict(net, batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return by_batch(rows, run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: Network | None, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is not ``und`` and scores ``least`` at least."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score = predict(net, batch.column(text_col).to_pylist())
+        return batch.filter(pa.array([l != UNDEFINED and s >= least for l, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return by_batch(docs, run, docs.schema)
+
+
 def languages(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
     """Fit on the training part of ``docs`` and predict all of it: doc_id, held_out, lang_pred, score."""
     net = fit(docs, modulus, rest)

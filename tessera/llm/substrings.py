@@ -190,5 +190,5 @@ def repeated_words(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     schema = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
-        schema = StructType([*schema.add("kept_text", "string"), *source.select(*[f"`{c}`" for c in others])])
+        schema = StructType([*schema.add("kept_text", "string").fields, *source.select(*[f"`{c}`" for c in others]).schema.fields])
     return ch.each(packed, result, schema)
