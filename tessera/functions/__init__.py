@@ -1 +1 @@
-"""Column-level functions: hashing, rule scalars, checksums, formats, text."""
+"""Column-level functions: rule scalars, hashing, checksums, formats, text."""
