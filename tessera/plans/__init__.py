@@ -1,3 +1,3 @@
 """Registered queries over the driver tables and their SQL counterparts."""
 
-from . import registry, rule_queries  # noqa: F401
+from . import registry, rule_queries, stat_queries  # noqa: F401
