@@ -1,3 +1,3 @@
 """Registered queries over the driver tables and their SQL counterparts."""
 
-from . import registry, row_queries, rule_queries, stat_queries  # noqa: F401
+from . import registry, row_queries, rule_queries, score_queries, stat_queries  # noqa: F401
