@@ -27,7 +27,7 @@ from .common import by_batch, keyed, slices
 #: Above every key; a position without a live right neighbour has it.
 NONE = np.int64(1) << 60
 #: Pieces kept with their ids in each worker; the oldest half goes when it is full.
-KEPT_PIECES = 150_000
+KEPT_PIECES = 600_000
 #: Longer pieces are merged one at a time, with the tree in plain lists.
 LONG_PIECE = 512
 
@@ -255,7 +255,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
         texts = batch.column(1).to_pylist()
         count, id_hash, back_hash, all_ids, all_back = [], [], [], [], []
         names = [str(i) for i in range(max(c.bytes_of) + 1)]
-        for a, b in slices(texts, 1_000_000):
+        for a, b in slices(texts, 3_000_000, 4096):
             for ids in c.encode(texts[a:b]):
                 back = c.decode(ids)
                 count.append(len(ids))
