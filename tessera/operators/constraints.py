@@ -31,7 +31,9 @@ def broken(c: dict, order: list[str]) -> Column:
     if kind == "in_set":
         return F.coalesce(~col.isin(*c["values"]), F.lit(False))
     if kind == "unique":
-        place = F.row_number().over(Window.partitionBy(col).orderBy(*[F.col(f"`{o}`") for o in order]))
+        # nulls are never repeats: a hash beside them keeps them from meeting in one task
+        apart = F.when(col.isNull(), F.xxhash64(*[F.col(f"`{o}`") for o in order]))
+        place = F.row_number().over(Window.partitionBy(col, apart).orderBy(*[F.col(f"`{o}`") for o in order]))
         return F.when(col.isNull(), F.lit(False)).otherwise(place > 1)
     if kind == "regex":
         return F.coalesce(~col.cast("string").rlike(f"^(?:{c['pattern']})"), F.lit(False))

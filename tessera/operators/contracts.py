@@ -163,7 +163,9 @@ def _prepared(df: DataFrame, tables: dict[str, DataFrame], expectations: list[di
                 sums = tables[e["child"]].groupBy(F.col(f"`{e['child_key']}`").alias("__k")).agg(F.sum(F.expr(e["child_value"]).cast("double")).alias(label))
                 df = df.join(sums, F.col(f"`{e['key']}`") == F.col("__k"), "left").drop("__k")
         if e["expect"] == "unique" and e["column"] in df.columns:
-            df = df.withColumn(f"__rep_{e['column']}", F.count(F.lit(1)).over(Window.partitionBy(F.col(f"`{e['column']}`"))))
+            c = F.col(f"`{e['column']}`")
+            apart = F.when(c.isNull(), F.xxhash64(*[F.col(f"`{x}`") for x in df.columns]))  # nulls need not meet
+            df = df.withColumn(f"__rep_{e['column']}", F.count(F.lit(1)).over(Window.partitionBy(c, apart)))
     return df
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing, scalars
+from tessera.operators import stats
 from tessera.operators.rules import plans
 from tessera.operators.rules.language import Call, Literal, Name, atoms
 from tessera.schema import Graph
@@ -47,15 +48,19 @@ def shifted_date(current: Column, bound: Column, op: str, seed: int, row_id: Col
 def renumbered(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Second and later rows of a repeated value: integers go on after the maximum, text gets ``-k``."""
     kind = dict(df.dtypes)[column]
-    place = F.row_number().over(Window.partitionBy(column).orderBy(*order))
+    place = F.row_number().over(Window.partitionBy(column, F.when(F.col(column).isNull(), F.xxhash64(*order))).orderBy(*order))
     tagged = df.withColumn("__k", F.when(F.col(column).isNotNull(), place).otherwise(1))
     if kind == "string":
         return tagged.withColumn(column, F.when(F.col("__k") > 1, F.concat(F.col(column), F.lit("-"), F.col("__k").cast("string"))).otherwise(F.col(column))).drop("__k")
     if kind in {"double", "float"}:
         raise ValueError("fractions are not renumbered")
+    # the k-th row of a value gets the maximum, plus the repeats of all smaller values, plus k - 1: a
+    # running sum over the repeated values alone, taken in ranges
+    values = df.where(F.col(column).isNotNull()).groupBy(column).agg((F.count(F.lit(1)) - 1).alias("__extra")).where("__extra > 0")
+    before = stats.cumulative(values, column, {"__before": "__extra"}, strict=True).select(F.col(column).alias("__value"), "__before")
     top = df.agg(F.max(column).alias("__top"))
-    extra = tagged.where("__k > 1").withColumn("__n", F.row_number().over(Window.orderBy(column, "__k", *order)))
-    fixed = extra.crossJoin(F.broadcast(top)).withColumn(column, (F.col("__top") + F.col("__n")).cast(kind)).drop("__k", "__n", "__top")
+    fixed = tagged.where("__k > 1").join(before, F.col(column) == F.col("__value")).crossJoin(F.broadcast(top))
+    fixed = fixed.withColumn(column, (F.col("__top") + F.col("__before") + F.col("__k") - 1).cast(kind)).select(*df.columns)
     return tagged.where("__k = 1").drop("__k").unionByName(fixed)
 
 

@@ -154,16 +154,15 @@ class Frames:
         self.types = {(t, c): kind for t, df in tables.items() for c, kind in df.dtypes}
 
     def first_by(self, table: str, columns: tuple[str, ...], wanted: list[str]) -> DataFrame:
-        """One row for each key of ``table``: the first of a repeated key by the order of all its columns.
+        """One row for each key of ``table``: of a repeated key, the one with the smallest wanted columns.
 
-        Where ``columns`` is the declared key, repeats are faults; the aggregate still settles them.
+        A partially aggregated minimum over the wanted columns alone, so that nothing else is read.
         """
         rest = [c for c in wanted if c not in columns]
         df = self.tables[table].where(" and ".join(f"`{c}` is not null" for c in columns))
-        order = [c for c in self.tables[table].columns]
         if not rest:
             return df.select(*columns).distinct()
-        least = F.min(F.struct(*order)).alias("__row")
+        least = F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__row")
         return df.groupBy(*columns).agg(least).select(*columns, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
 
     def climb(self, df: DataFrame, start: str, names: set[tuple[str, str]], tag: str) -> DataFrame:
@@ -220,7 +219,8 @@ class Frames:
         uniques = list(dict.fromkeys(x for r in rules for x in walk_bound(r.tree) if isinstance(x, Call) and x.op == "UNIQUE"))
         for i, u in enumerate(uniques):
             value = expression(u.args[0], self.types, made)
-            order = Window.partitionBy(value).orderBy(*[F.col(f"`{owner}.{c}`") for c in self.tables[owner].columns])
+            apart = F.when(value.isNull(), F.xxhash64(*[F.col(f"`{owner}.{c}`") for c in self.tables[owner].columns]))
+            order = Window.partitionBy(value, apart).orderBy(*[F.col(f"`{owner}.{c}`") for c in self.tables[owner].columns])
             df = df.withColumn(f"__seen_{i}", F.when(value.isNotNull(), F.row_number().over(order)))
             made[u] = F.coalesce(F.col(f"__seen_{i}") == 1, F.lit(True))
         return df, made

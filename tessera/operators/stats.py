@@ -115,11 +115,16 @@ def _shares(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return one(a, "a").join(one(b, "b"), "value", "full").na.fill(0, ["a", "b"])
 
 
+def _with_totals(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The counts and, as one row beside them, their sums: no window over all values."""
+    return both, both.agg(F.sum("a").alias("__a"), F.sum("b").alias("__b"))
+
+
 def tvd(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """One row: half the summed share differences."""
-    whole = Window.partitionBy()
-    d = F.abs(F.col("a") / F.sum("a").over(whole) - F.col("b") / F.sum("b").over(whole))
-    return _shares(a, b, column).select(d.alias("d")).agg((F.sum("d") / 2).alias("tvd"))
+    both, total = _with_totals(_shares(a, b, column))
+    d = F.abs(F.try_divide(F.col("a"), F.col("__a")) - F.try_divide(F.col("b"), F.col("__b")))
+    return both.crossJoin(F.broadcast(total)).agg((F.sum(d) / 2).alias("tvd"))
 
 
 def chi_square(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -127,11 +132,10 @@ def chi_square(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
     Values that ``a`` has not are left out, and the expected counts are scaled to the observed total.
     """
-    whole = Window.partitionBy()
-    both = _shares(a, b, column).where("a > 0")
-    expected = F.col("a") / F.sum("a").over(whole) * F.sum("b").over(whole)
-    gap = F.abs(F.col("a") / F.sum("a").over(whole) - F.col("b") / F.sum("b").over(whole))
-    return both.select(F.try_divide((F.col("b") - expected) ** 2, expected).alias("x"), gap.alias("g")).agg(F.sum("x").alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"), F.max("g").alias("max_gap"))
+    both, total = _with_totals(_shares(a, b, column).where("a > 0"))
+    expected = F.try_divide(F.col("a"), F.col("__a")) * F.col("__b")
+    gap = F.abs(F.try_divide(F.col("a"), F.col("__a")) - F.try_divide(F.col("b"), F.col("__b")))
+    return both.crossJoin(F.broadcast(total)).select(F.try_divide((F.col("b") - expected) ** 2, expected).alias("x"), gap.alias("g")).agg(F.sum("x").alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"), F.max("g").alias("max_gap"))
 
 
 def chi_square_p(chi2: float, dof: int) -> float:
