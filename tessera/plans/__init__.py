@@ -1,3 +1,3 @@
 """Registered queries over the driver tables and their SQL counterparts."""
 
-from . import app_queries, locale_queries, registry, row_queries, rule_queries, score_queries, stat_queries  # noqa: F401
+from . import app_queries, locale_queries, registry, row_queries, rule_queries, score_queries, stat_queries, view_queries  # noqa: F401
