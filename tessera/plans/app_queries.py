@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.language import requests
 from tessera.operators import integrity, repair, semantics
 from tessera.operators.rules import plain, plans
-from tessera.sources import datasets, sinks
+from tessera.sources import datasets, sinks, suites
 from tessera.sources.tables import read, tpc, tpc_graph
 from tessera.streaming import events
 
@@ -118,3 +118,12 @@ def export_schema(spark, sf_dir):
 def sql_literals(spark, sf_dir):
     df = read(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("'")).alias("n"), F.nullif("c_nationkey", F.lit(3)).alias("k"))
     return df.select("c_custkey", sinks.literal(F.col("n"), "str", "ansi").alias("name"), sinks.literal(F.col("k"), "int", "ansi").alias("nation"))
+
+
+@query("suites_met", "SELECT * FROM (VALUES ('customers', CAST(5 AS BIGINT), CAST(5 AS BIGINT)), ('healthcare', 12, 12), ('shop_full', 21, 21)) AS t(suite, expectations, met)")
+def suites_met(spark, sf_dir):
+    rows = []
+    for name in sorted(suites.SUITES):
+        found = suites.validate(name, datasets.source(spark, name, 200, 3))
+        rows.append((name, len(found), sum(r["success"] for r in found)))
+    return spark.createDataFrame(rows, "suite string, expectations long, met long")
