@@ -22,12 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import by_batch, keyed, slices
+from .common import KEPT, by_batch, keyed, slices
 
 #: Above every key; a position without a live right neighbour has it.
 NONE = np.int64(1) << 60
 #: Pieces kept with their ids in each worker; the oldest half goes when it is full.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
 #: Longer pieces are merged one at a time, with the tree in plain lists.
 LONG_PIECE = 512
 
@@ -90,6 +90,7 @@ class BytePairCoder:
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         if (self.single < 0).any():
             raise ValueError("a byte-level vocabulary holds every single byte")
+        self.one_of = list(range(max(self.bytes_of) + 1))
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
@@ -157,7 +158,8 @@ class BytePairCoder:
             update(row[has], left[has], pair_key(row[has], left[has], at[has]))
             row = row[tree[row, 1] < NONE]
         live = ids >= 0
-        flat, counts = ids[live].tolist(), live.sum(1).tolist()
+        # one object for each id, however many pieces hold it
+        flat, counts = list(map(self.one_of.__getitem__, ids[live].tolist())), live.sum(1).tolist()
         out, start = [], 0
         for c in counts:
             out.append(tuple(flat[start : start + c]))
@@ -240,6 +242,9 @@ def coder(path: str, pattern: str) -> BytePairCoder:
     return BytePairCoder(ranks, pattern)
 
 
+KEPT["bpe"] = coder.cache_clear
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, decode the ids again, and return digests of both.
 
@@ -252,11 +257,10 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = coder(ranks_path, pattern)
-        texts = batch.column(1).to_pylist()
         count, id_hash, back_hash, all_ids, all_back = [], [], [], [], []
         names = [str(i) for i in range(max(c.bytes_of) + 1)]
-        for a, b in slices(texts, 3_000_000, 4096):
-            for ids in c.encode(texts[a:b]):
+        for texts in slices(batch.column(1), 3_000_000, 4096):
+            for ids in c.encode(texts):
                 back = c.decode(ids)
                 count.append(len(ids))
                 id_hash.append(sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
@@ -271,4 +275,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
             labels += ["ids", "decoded"]
         return pa.RecordBatch.from_arrays(out, names=labels)
 
-    return by_batch(keyed(docs, id_col, text_col), run, schema)
+    return by_batch(keyed(docs, id_col, text_col), run, schema, "bpe")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import KEPT, shared_path, worker, written
 from .planes import BYTES, join_planes, split_planes
 
 #: Bytes of text in a chunk, about; a longer document is a chunk of its own.
@@ -70,7 +70,7 @@ def pack(docs: DataFrame) -> DataFrame:
         if held:
             yield chunk()
 
-    return written(docs.mapInArrow(run, "chunk long, bytes long, rows binary"), "chunks")
+    return written(docs.mapInArrow(worker("chunks", run), "chunk long, bytes long, rows binary"), "chunks")
 
 
 class Chunk:
@@ -96,7 +96,7 @@ def each(chunks: DataFrame, fn: Callable[[Chunk], Iterator[pa.RecordBatch]], sch
             for i in range(batch.num_rows):
                 yield from fn(Chunk(names[i].as_py(), rows[i].as_py()))
 
-    return chunks.mapInArrow(run, schema)
+    return chunks.mapInArrow(worker("chunks", run), schema)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -209,8 +209,8 @@ def answered(sent: DataFrame, parts: int, meeting: Callable[[list[int], list[int
             put()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64()), pa.array(top, pa.int32())], names=["chunk", "top"])
 
-    marks = sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "chunk long, part int, marks binary")
-    saved = marks.repartition(parts, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(keep, "chunk long, top int")
+    marks = sent.repartitionById(parts, F.col("part")).mapInArrow(worker("chunks", meet), "chunk long, part int, marks binary")
+    saved = marks.repartition(parts, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(worker("chunks", keep), "chunk long, top int")
     return folder, written(saved, f"{label}-names").agg(F.max("top")).first()[0] or 0
 
 
@@ -239,12 +239,17 @@ BASE = 0x5851F42D4C957F2D
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
+_powers: dict[int, np.ndarray] = {}
+KEPT["chunks"] = _powers.clear
+
+
 def powers(base: int, count: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64."""
-    out = np.full(count, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first ``count`` of base**0, base**1, ... modulo 2**64; the longest so far is kept."""
+    if len(_powers.get(base, ())) < count:
+        out = np.full(count + (count >> 3), base, np.uint64)
+        out[0] = 1
+        _powers[base] = np.multiply.accumulate(out)
+    return _powers[base][:count]
 
 
 @lru_cache(maxsize=1)

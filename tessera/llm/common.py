@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,54 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+#: What each operator keeps in a Python worker between tasks, and how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+_worker: dict = {"operator": None, "libc": None}
+
+
+def entered(operator: str) -> None:
+    """Called in a Python worker before a partition of ``operator``.
+
+    Workers outlive tasks and serve one operator after another; what other operators keep is dropped,
+    and large blocks go back to the system when they are freed.
+    """
+    if _worker["libc"] is None:
+        try:
+            _worker["libc"] = ctypes.CDLL("libc.so.6")
+            _worker["libc"].mallopt(-3, 1 << 20)  # blocks of a megabyte and more are mapped on their own
+        except (OSError, AttributeError):
+            _worker["libc"] = False
+        pa.set_memory_pool(pa.system_memory_pool())
+    if _worker["operator"] not in (None, operator):
+        for name, drop in KEPT.items():
+            if name != operator:
+                drop()
+    _worker["operator"] = operator
+
+
+def left() -> None:
+    """Called in a Python worker after a partition: what is free goes back to the system."""
+    if _worker["libc"]:
+        try:
+            _worker["libc"].malloc_trim(0)
+        except AttributeError:
+            _worker["libc"] = False
+
+
+def worker(operator: str, run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable:
+    """``run`` between ``entered`` and ``left``."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered(operator)
+        try:
+            yield from run(batches)
+        finally:
+            left()
+
+    return wrapped
+
+
+def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, operator: str = "batch") -> DataFrame:
     """Apply ``fn`` to Arrow batches, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -56,16 +105,18 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(worker(operator, run), schema)
 
 
-def slices(texts: list, budget: int = 2_000_000, rows: int = 512) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``texts`` of about ``budget`` characters, so that working sets stay bounded."""
+def slices(column: pa.Array, budget: int = 2_000_000, rows: int = 512) -> Iterator[list]:
+    """Parts of a text column as lists, each of about ``budget`` bytes and at most ``rows`` rows, so that
+    the texts of a batch are never all Python objects at once."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
+    for i, n in enumerate(lengths.tolist()):
+        size += n
         if size >= budget or i + 1 - start >= rows:
-            yield start, i + 1
+            yield column.slice(start, i + 1 - start).to_pylist()
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield column.slice(start).to_pylist()

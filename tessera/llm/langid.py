@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, narrow
+from .common import by_batch, narrow, slices
 from .toxicity import held_out
 
 UNDEFINED = "und"
@@ -27,7 +27,7 @@ LETTER = regex.compile(r"\p{L}")
 #: Bytes in a window; states start anew in each.
 WINDOW = 128
 #: Windows worked in lock step.
-BLOCK = 4096
+BLOCK = 2048
 #: At most so many labelled rows of each language are learned from, with a stretch of so many bytes each.
 SAMPLE, STRETCH = 600, 512
 
@@ -223,17 +223,18 @@ def fit(docs: DataFrame, modulus: int = 4, rest: int = 2) -> Network | None:
     return train(*sample(docs, modulus, rest))
 
 
-def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def predict(net: Network | None, column: pa.Array) -> tuple[list[str], list[float]]:
     """The language and score of each text."""
-    lang, score = [UNDEFINED] * len(texts), [0.0] * len(texts)
-    some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-    if net is not None:
-        for a in range(0, len(some), 256):
-            part = some[a : a + 256]
-            probs = pooled(net, [texts[i].encode() for i in part])
-            for i, p in zip(part, probs, strict=True):
+    lang, score = [UNDEFINED] * len(column), [0.0] * len(column)
+    base = 0
+    for texts in slices(column, 1_000_000, 256):
+        some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        if net is not None and some:
+            probs = pooled(net, [texts[i].encode() for i in some])
+            for i, p in zip(some, probs, strict=True):
                 best = int(p.argmax())
-                lang[i], score[i] = net.langs[best], round(float(min(1.0, p[best])), 6)
+                lang[base + i], score[base + i] = net.langs[best], round(float(min(1.0, p[best])), 6)
+        base += len(texts)
     return lang, score
 
 
@@ -241,21 +242,21 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     """Per row: doc_id, lang_pred, score. One narrow pass over whole texts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score = predict(net, batch.column(1).to_pylist())
+        lang, score = predict(net, batch.column(1))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return by_batch(rows, run, "doc_id long, lang_pred string, score double")
+    return by_batch(rows, run, "doc_id long, lang_pred string, score double", "langid")
 
 
 def accepted(docs: DataFrame, net: Network | None, least: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose language is not ``und`` and scores ``least`` at least."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score = predict(net, batch.column(text_col).to_pylist())
+        lang, score = predict(net, batch.column(batch.schema.get_field_index(text_col)))
         return batch.filter(pa.array([l != UNDEFINED and s >= least for l, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return by_batch(docs, run, docs.schema)
+    return by_batch(docs, run, docs.schema, "langid")
 
 
 def languages(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:

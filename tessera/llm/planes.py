@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, shared_path, slices, written
+from .common import KEPT, keyed, shared_path, slices, worker, written
 
 MAGIC = b"TIDP"
 BYTES, BITS = 0, 1
@@ -248,6 +248,9 @@ def word_coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
+KEPT["planes"] = word_coder.cache_clear
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, kind: int = BYTES, chunk_ids: int = CHUNK_IDS, files: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, append ``end_id``, and write the ids in ascending doc_id order.
 
@@ -266,11 +269,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         coder = word_coder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids = batch.column(0).slice(a, b - a).fill_null(-(1 << 63))
+            at = 0
+            for texts in slices(batch.column(1)):
+                ids = batch.column(0).slice(at, len(texts)).fill_null(-(1 << 63))
+                at += len(texts)
                 shard = np.searchsorted(edges, ids.to_numpy(zero_copy_only=False), side="left").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array([x + end for x in coder(texts[a:b])], pa.binary())], names=["shard", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array([x + end for x in coder(texts)], pa.binary())], names=["shard", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out, raw = None, None, None
@@ -293,7 +297,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             fs.move(own, path)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/ids-{shard:06d}.tidp"]), pa.array([len(out.docs)], pa.int64()), pa.array([out.n_ids], pa.int64())], names=["shard", "path", "n_docs", "n_ids"])
 
-    dealt = source.mapInArrow(encode, "shard int, doc_id long, ids binary").repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("doc_id", "ids")
+    dealt = source.mapInArrow(worker("planes", encode), "shard int, doc_id long, ids binary").repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("doc_id", "ids")
     found = written(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "token-files")
     # one row a file: the running sum is over the files, not the documents
     from pyspark.sql import Window

@@ -48,10 +48,11 @@ class Words:
         inner = ~blank
         edge = np.diff(inner.view(np.int8), prepend=np.int8(0), append=np.int8(0))
         self.begin, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        size = 1 << max(16, len(raw).bit_length())
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(ch.byte_values()[raw] * ch.powers(ch.BASE, size)[: len(raw)], out=sums[1:])
-        h = (sums[self.end] - sums[self.begin]) * ch.powers(ch.UNBASE, size)[self.begin]
+        np.multiply(ch.byte_values()[raw], ch.powers(ch.BASE, len(raw)), out=sums[1:])
+        np.cumsum(sums, out=sums)
+        h = (sums[self.end] - sums[self.begin]) * ch.powers(ch.UNBASE, len(raw))[self.begin]
+        del sums
         self.hashes = ch.mixed(h, (self.end - self.begin).astype(np.uint64))
         for i in np.flatnonzero(self.end - self.begin > LONG_WORD).tolist():
             self.hashes[i] = xxhash.xxh3_64_intdigest(chunk.blob[self.begin[i] : self.end[i]])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, keyed, written
+from .common import by_batch, keyed, slices, written
 
 #: Characters read as Latin letters.
 LOOKALIKES = {
@@ -256,8 +256,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1
     lexicon = lexicon or learn(sample(docs, labels, modulus, rest))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = [lexicon.score(t) for t in batch.column(1).to_pylist()]
+        scores = [lexicon.score(t) for texts in slices(batch.column(1)) for t in texts]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = by_batch(docs, run, "doc_id long, score double")
+    scored = by_batch(docs, run, "doc_id long, score double", "toxicity")
     return scored.select("doc_id", held_out(modulus, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
