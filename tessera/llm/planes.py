@@ -20,7 +20,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
+from string import punctuation
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -219,12 +220,14 @@ class WordCoder:
     def piece(self, core: str) -> list[int]:
         if core.isascii() and core.isalpha():
             return [t.id for t in self.model.tokenize(core)]
-        if core.isalpha() and (core := self.tok.normalizer.normalize_str(core)).isalpha():
+        if core.isalpha() and not (is_normalized("NFC", core) and core == core.lower()):
+            core = self.tok.normalizer.normalize_str(core)
+        if core.isalpha():
             return [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.table))]
         return self.whole(core)
 
     def word(self, word: str) -> bytes:
-        core = word.rstrip(".,;:!?")
+        core = word.rstrip(punctuation)
         if len(core) < len(word) and core and normalize("NFC", core[-1]).lower().isalnum():
             return self.known[core] + self.known[word[len(core) :]]
         return np.array(self.piece(word), "<u4").tobytes() if word else b""
