@@ -13,12 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        found = _own[application]
+    if "://" not in found:  # as Spark reads it: a path of the default file system
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        found = default.rstrip("/") + found if not default.startswith("file:") else found
     return found.rstrip("/")
 
 
