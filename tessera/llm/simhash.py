@@ -173,7 +173,8 @@ def near_links(points: DataFrame, radius: int = 3) -> DataFrame:
     own = F.pmod(F.xxhash64("fp", F.lit(1)), chunks).cast("int")
     met = joined.select("band", "key", "fp", own.alias("own"), chunks.alias("chunks")).select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     group = F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other"))
-    tasks = met.select(group.alias("g"), F.when(F.col("chunks") > 1, F.col("own")).otherwise(-1).alias("side"), "fp")
+    # a chunk that meets itself has one side only: all of its pairs count
+    tasks = met.select(group.alias("g"), F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"), "fp")
     references = pivots()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -224,6 +224,23 @@ def test_links_within_three_bits(spark, chunk, monkeypatch):
     assert roots == {signed(k): signed(v) for k, v in label.items()}
 
 
+def test_links_within_one_chunk_of_a_large_bucket(spark):
+    """Pairs that share one block only, that of a bucket of more than ``CHUNK`` fingerprints."""
+    r = random.Random(4)
+    ups = r.sample(range(1 << 48), 600)
+    near = [(u, u ^ (1 << r.randrange(16)) ^ (1 << r.randrange(16, 32)) ^ (1 << r.randrange(32, 48))) for u in ups]
+    fps = np.array(sorted({(u << 16) | 0xBEEF for pair in near for u in pair}), np.uint64)
+    assert len(fps) > 2 * simhash.CHUNK
+    points = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1))
+    signed = fps.view(np.int64)
+    order = np.argsort(signed)
+    place = np.argsort(order)
+    root = simhash.forest(len(fps), place[a], place[b])
+    want = {int(signed[order[i]]): int(signed[order[root[i]]]) for i in range(len(fps))}
+    assert {x.fp: x.root for x in simhash.roots_of(points, 3).collect()} == want
+
+
 def test_more_blocks_for_more_fingerprints():
     assert len(simhash.masks(1000, 3)) == 4 and len(simhash.masks(1 << 34, 3)) > 4
 
