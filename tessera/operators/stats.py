@@ -216,35 +216,50 @@ def distance2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, block: int = 2_000, most: int = 50_000) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, block: int = 4_096) -> DataFrame:
     """id, distance: exact distance of each query to its nearest other row.
 
-    ``rows`` meets the queries block by block in numpy; queries must number ``most`` at most, since
-    each partition of ``rows`` gets all of them. Partition minima are merged by one aggregation.
+    Queries and rows are dealt into blocks of about ``block``; each pair of blocks is one task, and the
+    minima of all tasks are merged by one aggregation. Rows without id or vector take no part, nor do
+    vectors with components that are null or not finite.
     """
     import numpy as np
-    import pandas as pd
-
-    q = queries.select(id_col, vector).limit(most + 1).toPandas()
-    if len(q) > most:
-        raise ValueError(f"at most {most} queries")
-    if not len(q):
-        return rows.sparkSession.createDataFrame([], "id long, distance double")
-    ids, grid = q[id_col].to_numpy(), np.array(q[vector].tolist(), np.float64)
-    held = rows.sparkSession.sparkContext.broadcast((ids, grid))
-
-    def run(frames):
-        own_ids, own = held.value
+    import pyarrow as pa
+
+    def whole(df: DataFrame) -> DataFrame:
+        picked = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+        return picked.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf))))
+
+    asked, others = whole(queries), whole(rows)
+    n_asked, n_others = asked.count(), others.count()
+    q_blocks, r_blocks = max(1, -(-n_asked // block)), max(1, -(-n_others // block))
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, q: bool) -> DataFrame:
+        number = F.pmod(F.xxhash64("id", "v"), F.lit(n_own)).cast("int")
+        return df.select("id", "v", F.lit(q).alias("q"), number.alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+
+    met = dealt(asked, "a", q_blocks, "b", r_blocks, True).unionByName(dealt(others, "b", r_blocks, "a", q_blocks, False))
+
+    def solve(table: pa.Table) -> pa.Table:
+        ids, is_query = table.column("id").to_numpy(), table.column("q").to_numpy(zero_copy_only=False)
+        v = table.column("v").combine_chunks()
+        sizes = np.diff(v.offsets.to_numpy())
+        if len(set(sizes.tolist())) > 1:
+            raise ValueError("vectors of different lengths")
+        grid = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1 if sizes[0] else 0)
+        own_ids, own, other_ids, other = ids[is_query], grid[is_query], ids[~is_query], grid[~is_query]
         best = np.full(len(own_ids), np.inf)
-        for frame in frames:
-            for start in range(0, len(frame), block):
-                part = frame.iloc[start : start + block]
-                other, other_ids = np.array(part[vector].tolist(), np.float64), part[id_col].to_numpy()
-                d = np.maximum((own**2).sum(1)[:, None] + (other**2).sum(1)[None, :] - 2 * own @ other.T, 0)
-                d[own_ids[:, None] == other_ids[None, :]] = np.inf
-                best = np.minimum(best, d.min(1))
+        for start in range(0, len(other_ids) if len(own_ids) else 0, 1_024):
+            part, part_ids = other[start : start + 1_024], other_ids[start : start + 1_024]
+            d = (own**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * own @ part.T
+            same = own_ids[:, None] == part_ids[None, :]
+            d[same] = np.inf
+            at = d.argmin(1)
+            # the product picks the row, its distance is that of the differences
+            exact = ((own - part[at]) ** 2).sum(1)
+            best = np.minimum(best, np.where(same[np.arange(len(at)), at], np.inf, exact))
         keep = np.isfinite(best)
-        yield pd.DataFrame({"id": own_ids[keep], "d2": best[keep]})
+        return pa.table({"id": pa.array(own_ids[keep], pa.int64()), "d2": pa.array(best[keep], pa.float64())})
 
-    near = rows.select(id_col, vector).mapInPandas(run, "id long, d2 double")
+    near = met.groupBy("a", "b").applyInArrow(solve, "id long, d2 double")
     return near.groupBy("id").agg(F.sqrt(F.min("d2")).alias("distance"))

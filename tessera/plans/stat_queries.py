@@ -128,6 +128,15 @@ def nn_distance(spark, sf_dir):
     return stats.nearest(rows.where("label = 0"), rows, "vec_id", "embedding").select("id", F.round("distance", 6).alias("distance"))
 
 
+@query("nn_distance_all", """
+SELECT q.vec_id AS id, round(min(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))), 6) AS distance
+FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id GROUP BY 1
+""")
+def nn_distance_all(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    return stats.nearest(rows, rows, "vec_id", "embedding").select("id", F.round("distance", 6).alias("distance"))
+
+
 @query("key_stats", "\nUNION ALL\n".join(f"SELECT '{v}' AS \"table\", '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\" FROM {shop_sql(v)}" for v, cols in (("customers", ("customer_id", "name", "nation_id", "segment")), ("nations", ("nation_id", "name", "region_id"))) for c in cols))
 def key_stats(spark, sf_dir):
     return inference.key_stats(shop(spark, sf_dir, "customers", "nations"))

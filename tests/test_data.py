@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from decimal import Decimal
 
 import pytest
@@ -48,6 +49,30 @@ def test_running_sums_over_ranges(spark):
     assert all(r.c == 2 * r.v for r in rows) and len(rows) == 1000
 
 
+def test_nearest_of_any_number_of_queries(spark):
+    """More queries than one task holds, each with a known nearest row."""
+    vector = F.array(F.col("id").cast("double"), F.lit(3.0))
+    queries = spark.range(60_000).select("id", vector.alias("v"))
+    rows = spark.range(0, 60_000, 1_000).select("id", vector.alias("v"))
+    found = stats.nearest(queries, rows, "id", "v").collect()
+    assert len(found) == 60_000
+    for r in found:
+        low, over = r.id // 1_000 * 1_000, r.id % 1_000
+        steps = [over] * (over > 0) + [1_000 - over] * (low < 59_000) + [1_000] * (over == 0 and low > 0)
+        assert r.distance == min(steps)
+
+
+def test_nearest_in_blocks(spark):
+    r = random.Random(3)
+    points = [(i, [r.gauss(0, 1) for _ in range(5)]) for i in range(300)] + [(300, [1e3] * 5), (301, [1e3] * 5)]
+    df = spark.createDataFrame([*points, (302, None), (None, [0.0] * 5), (303, [0.0, None, 0.0, 0.0, 0.0])], "k long, v array<double>")
+    found = {x.id: x.distance for x in stats.nearest(df, df, "k", "v", block=40).collect()}
+    assert found.keys() == {i for i, _ in points} and found[300] == found[301] == 0
+    for i, v in points:
+        assert abs(found[i] - min(math.dist(v, w) for j, w in points if j != i)) < 1e-9
+    assert stats.nearest(df.limit(0), df, "k", "v").count() == 0 and stats.nearest(df, df.limit(0), "k", "v").count() == 0
+
+
 def test_copula_keeps_marginals_and_dependence(spark):
     real = datasets.customers(spark, 1500, 2)["customers"].select("age", "income", "plan")
     model = generate.fit(real)
