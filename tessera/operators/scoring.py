@@ -93,28 +93,33 @@ def encoder(df: DataFrame, most_levels: int = 20) -> dict:
     return {"numbers": [(c, row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(numbers)], "levels": levels}
 
 
-def privacy(train: DataFrame, synthetic: DataFrame, holdout: DataFrame, row_id: str = "__id", most: int = 5_000) -> dict:
-    """Distances to the closest training row, exact copies, and a membership attack.
+def copied(train: DataFrame, synthetic: DataFrame) -> float | None:
+    """Share of the rows of ``synthetic`` that equal a row of ``train`` in all its columns, floats to six decimals; NULLs are equal."""
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select(*[(F.round(F.col(f"`{c}`"), 6) if t in ("double", "float") else F.col(f"`{c}`")).alias(f"k{i}") for i, (c, t) in enumerate(train.dtypes)])
+
+    keys = [f"k{i}" for i in range(len(train.columns))]
+    made = keyed(synthetic).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    known = keyed(train).distinct().select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(1).alias("hit"))
+    same = made.join(known, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    return same.agg(F.try_divide(F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)), F.sum("n")).alias("s")).first()["s"]
 
-    The query side of each nearest-neighbour search is at most ``most`` rows, picked by hash; the searched
-    side is whole.
-    """
-    from tessera.functions import hashing
 
+def privacy(train: DataFrame, synthetic: DataFrame, holdout: DataFrame, row_id: str = "__id") -> dict:
+    """Distances to the closest training row, exact copies, and a membership attack, all over all rows."""
     model = encoder(train.drop(row_id))
-    vec = lambda df, base: hashing.exactly(df.select(F.col(row_id).cast("long").alias("id"), encoded(df, model).alias("v")), most, 0, "privacy", "id").select((F.col("id") + base).alias("id"), "v")
-    whole = train.select(F.col(row_id).cast("long").alias("id"), encoded(train, model).alias("v"))
-    made = stats.nearest(vec(synthetic, 1 << 40), whole, "id", "v")
+    vec = lambda df, base: df.select((F.col(row_id).cast("long") + base).alias("id"), encoded(df, model).alias("v"))
+    whole, synth = vec(train, 0), vec(synthetic, 1 << 40)
+    made = stats.nearest(synth, whole, "id", "v")
     held = stats.nearest(vec(holdout, 1 << 41), whole, "id", "v")
-    a = made.agg(F.percentile("distance", F.lit(0.5)).alias("m"), F.avg((F.col("distance") < 1e-9).cast("double")).alias("copies")).first()
+    a = made.agg(F.percentile("distance", F.lit(0.5)).alias("m")).first()
     b = held.agg(F.percentile("distance", F.lit(0.5)).alias("m")).first()
     # membership: are training rows closer to the synthetic ones than held-out rows are?
-    synth = synthetic.select((F.col(row_id).cast("long") + (1 << 40)).alias("id"), encoded(synthetic, model).alias("v"))
-    inside = stats.nearest(vec(train, 0), synth, "id", "v").withColumn("y", F.lit(1))
+    inside = stats.nearest(whole, synth, "id", "v").withColumn("y", F.lit(1))
     outside = stats.nearest(vec(holdout, 1 << 41), synth, "id", "v").withColumn("y", F.lit(0))
     auc = stats.auc(inside.unionByName(outside).withColumn("s", -F.col("distance")), "s", "y").first()["auc"] or 0.5
     ratio = 1.0 if not b["m"] else min(1.0, (a["m"] or 0.0) / b["m"])
-    parts = {"distance": 100 * ratio, "copies": 100 * (1 - (a["copies"] or 0.0)), "membership": 100 * (1 - 2 * max(0.0, auc - 0.5))}
+    parts = {"distance": 100 * ratio, "copies": 100 * (1 - (copied(train.drop(row_id), synthetic.drop(row_id)) or 0.0)), "membership": 100 * (1 - 2 * max(0.0, auc - 0.5))}
     return {"score": weighted(parts, PRIVACY), "parts": parts, "auc": auc, "median_distance": a["m"], "baseline_distance": b["m"]}
 
 

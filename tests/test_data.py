@@ -73,6 +73,16 @@ def test_nearest_in_blocks(spark):
     assert stats.nearest(df.limit(0), df, "k", "v").count() == 0 and stats.nearest(df, df.limit(0), "k", "v").count() == 0
 
 
+def test_privacy_sees_every_row(spark):
+    """Three copies among 6,000 synthetic rows, and a level beyond those that are encoded."""
+    row = lambda shift: [F.col("id").alias("__id"), (F.col("id") * 1.7 + shift).alias("x"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("c")]
+    train, holdout = spark.range(200).select(*row(0.0)), spark.range(200).select(*row(0.9))
+    synthetic = spark.range(6_000).select(*row(0.3)).where("__id not in (7, 70, 170)").unionByName(train.where("__id in (7, 70, 170)"))
+    near = synthetic.unionByName(train.limit(1).selectExpr("cast(9999 as long) as __id", "x", "'other' as c"))
+    assert abs(scoring.privacy(train, synthetic, holdout)["parts"]["copies"] - 100 * (1 - 3 / 6_000)) < 1e-9
+    assert abs(scoring.privacy(train, near, holdout)["parts"]["copies"] - 100 * (1 - 3 / 6_001)) < 1e-9
+
+
 def test_copula_keeps_marginals_and_dependence(spark):
     real = datasets.customers(spark, 1500, 2)["customers"].select("age", "income", "plan")
     model = generate.fit(real)
