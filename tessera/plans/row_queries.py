@@ -92,6 +92,17 @@ def entity_pairs(spark, sf_dir):
     return rows.pairs_of_entities(part, "p_size", "p_partkey", "n")
 
 
+@query("entity_pairs_all", """
+WITH r AS (SELECT p_partkey AS record, concat_ws('/', p_brand, p_type, p_size) AS entity, lower(trim(p_name || p_brand || p_size)) AS name FROM part),
+s AS (SELECT a.record AS a, b.record AS b, 1 AS label FROM r a JOIN r b ON a.entity = b.entity AND a.record < b.record),
+n AS (SELECT a.record AS a, b.record AS b, 0 AS label FROM r a JOIN r b ON a.name = b.name AND a.record < b.record WHERE a.entity <> b.entity)
+SELECT * FROM s UNION ALL SELECT * FROM n
+""")
+def entity_pairs_all(spark, sf_dir):
+    part = read(spark, sf_dir, "part").withColumn("e", F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string"))).withColumn("n", F.concat("p_name", "p_brand", F.col("p_size").cast("string")))
+    return rows.pairs_of_entities(part, "e", "p_partkey", "n")
+
+
 _USER_SQL = "WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, n, rank() OVER (ORDER BY n DESC, o_custkey) AS place FROM t WHERE n > 3 UNION ALL SELECT c_custkey, CAST(-1 AS BIGINT), 0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
 
 

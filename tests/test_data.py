@@ -15,6 +15,7 @@ from tessera.functions import checksums, formats, hashing
 from tessera.functions.normal import phi, phi_inverse
 from tessera.language import requests
 from tessera.operators import documents, generate, inference, people, scoring, stats
+from tessera.plans import row_queries
 from tessera.schema import ForeignKey, Graph, Table
 from tessera.sources import datasets, sinks
 from tessera.sources.locales import PACKS, parse_mix
@@ -83,6 +84,20 @@ def test_privacy_sees_every_row(spark):
     assert abs(scoring.privacy(train, near, holdout)["parts"]["copies"] - 100 * (1 - 3 / 6_001)) < 1e-9
 
 
+def test_entity_pairs_of_the_whole_table(spark, tmp_path):
+    """Every entity has its pairs, and every name its pairs across entities."""
+    r = random.Random(5)
+    part = [(i, r.choice("xy"), r.choice("AB"), r.choice("pq"), r.randrange(1, 51)) for i in range(400)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for a, na, ba, ta, sa in part:
+        for b, nb, bb, tb, sb in part:
+            if a < b and (ba, sa) == (bb, sb) and (ta == tb or na == nb):
+                want.add((a, b, int(ta == tb)))
+    found = [tuple(x) for x in row_queries.entity_pairs_all(spark, str(tmp_path)).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
 def test_copula_keeps_marginals_and_dependence(spark):
     real = datasets.customers(spark, 1500, 2)["customers"].select("age", "income", "plan")
     model = generate.fit(real)
