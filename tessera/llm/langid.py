@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, narrow, slices
@@ -26,19 +26,29 @@ UNDEFINED = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Bytes in a window; states start anew in each.
 WINDOW = 128
-#: Windows worked in lock step.
-BLOCK = 2048
+#: Windows worked in lock step; small enough for matrix products to stay in one thread.
+BLOCK = 1536
 #: At most so many labelled rows of each language are learned from, with a stretch of so many bytes each.
 SAMPLE, STRETCH = 600, 512
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|)."""
+    return x / (1 + np.abs(x))
+
+
+def slope(y: np.ndarray) -> np.ndarray:
+    """The derivative of ``sigmoid`` where its value is ``y``."""
+    return (1 - np.abs(y)) ** 2
+
+
 @dataclass
 class Network:
     """Two gated recurrences of ``hidden`` units over bytes and a softmax over both states.
 
     For each direction: ``x`` (256, 3h) the input's part of the update, reset and candidate gates,
-    biases included; ``u`` (h, 3h) the state's part; ``d`` (h) the candidate's inner bias. Gate
-    columns are in halves of their argument, so that one tanh serves all of them.
+    biases included; ``u`` (h, 3h) the state's part; ``d`` (h) the candidate's inner bias. A gate is
+    (1 + s(x)) / 2 and the candidate s(x), with the algebraic sigmoid s(x) = x / (1 + |x|).
     """
 
     langs: list[str]
@@ -70,12 +80,12 @@ class Network:
         for t in range(time) if direction == "f" else range(time - 1, -1, -1):
             np.take(x, steps[t], axis=0, out=a, mode="clip")
             np.matmul(state, u, out=b)
-            gate = np.tanh(a[:, : 2 * h] + b[:, : 2 * h])
+            gate = sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
             gate += 1
             gate *= 0.5
             z, r = gate[:, :h], gate[:, h:]
             q = b[:, 2 * h :] + inner
-            n = np.tanh(a[:, 2 * h :] + r * q)
+            n = sigmoid(a[:, 2 * h :] + r * q)
             new = n + z * (state - n)
             if mask is not None:
                 new *= mask[t]
@@ -84,14 +94,59 @@ class Network:
             out[t] = state = new
         return out
 
-    def positions(self, steps: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Probabilities (time, rows, languages) of every position."""
-        both = np.concatenate([self.states(steps, "f", mask), self.states(steps, "b", mask)], axis=2)
-        logits = both.reshape(-1, 2 * self.hidden) @ self.params["v"] + self.params["c"]
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits.reshape(*steps.shape, -1)
+    def totals(self, steps: np.ndarray, active: list[int]) -> np.ndarray:
+        """(rows, languages) sums of the probabilities of all positions.
+
+        ``steps`` (time, rows) holds byte strings in order of descending length, of which the first
+        ``active[t]`` have a byte at time t; the others are not worked there, so that no step is padded.
+        A row's backward state is zero until its last byte.
+        """
+        h, rows, langs = self.hidden, steps.shape[1], len(self.langs)
+        time = sum(1 for n in active if n)
+        logits = np.empty((time, langs, rows), np.float32)
+        out = np.zeros((langs, rows), np.float64)
+        gates, sums, over, spare = (np.empty((k, rows, h), np.float32) for k in (3, 3, 3, 1))
+        for d, order in (("f", range(time)), ("b", range(time - 1, -1, -1))):
+            # one table for each gate; the candidate's part is in halves, as it meets (1 + s) / 2
+            x = [np.ascontiguousarray(self.params["x" + d][:, i * h : (i + 1) * h]) for i in range(3)]
+            u = np.stack([self.params["u" + d][:, i * h : (i + 1) * h] for i in range(3)])
+            u[2] *= 0.5
+            inner = np.tile(0.5 * self.params["d" + d], (rows, 1))
+            v = np.ascontiguousarray((self.params["v"][:h] if d == "f" else self.params["v"][h:]).T)
+            state = np.zeros((rows, h), np.float32)
+            for t in order:
+                n = active[t]
+                g, b, o, s, diff = gates[:, :n], sums[:, :n], over[:, :n], state[:n], spare[0, :n]
+                for table, into in zip(x, g, strict=True):
+                    np.take(table, steps[t, :n], axis=0, out=into, mode="clip")
+                np.matmul(s, u, out=b)
+                g[:2] += b[:2]
+                np.abs(g[:2], out=o[:2])
+                o[:2] += 1
+                g[:2] /= o[:2]
+                b[2] += inner[:n]
+                g[2] += b[2]
+                b[2] *= g[1]
+                g[2] += b[2]
+                np.abs(g[2], out=o[2])
+                o[2] += 1
+                g[2] /= o[2]
+                np.subtract(s, g[2], out=diff)
+                diff *= g[0]
+                s += g[2]
+                s += diff
+                s *= 0.5
+                own = logits[t, :, :n]
+                if d == "f":
+                    np.matmul(v, s.T, out=own)
+                    own += self.params["c"][:, None]
+                else:
+                    own += v @ s.T
+                    own -= own.max(0)
+                    np.exp(own, out=own)
+                    own /= own.sum(0)
+                    out[:, :n] += own
+        return out.T
 
     def gradients(self, steps: np.ndarray, mask: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of the labelled positions, and its gradients, by backpropagation through time."""
@@ -111,22 +166,24 @@ class Network:
         delta *= share / total
         g = {"v": both.reshape(-1, 2 * h).T @ delta.reshape(-1, delta.shape[2]), "c": delta.sum((0, 1))}
         upper = delta @ p["v"].T
+        by_byte = np.argsort(steps, axis=None, kind="stable")  # the positions of each byte value, together
+        seen, firsts = np.unique(steps.ravel()[by_byte], return_index=True)
         for i, d in enumerate("fb"):
-            gx, gu, gd = np.zeros_like(p["x" + d]), np.zeros_like(p["u" + d]), np.zeros_like(p["d" + d])
+            gu, gd, inputs = np.zeros_like(p["u" + d]), np.zeros_like(p["d" + d]), np.zeros((*steps.shape, 3 * h), np.float32)
             carry = np.zeros((steps.shape[1], h), np.float32)
             for t, state, z, r, n, q in reversed(traces[d]):
                 e = (carry + upper[t][:, i * h : (i + 1) * h]) * mask[t]
-                en = e * (1 - z) * (1 - n * n)
-                ez = e * (state - n) * z * (1 - z) * 2  # gate = (1 + tanh(s)) / 2, so d gate / d s = 2 g (1 - g)
-                er = en * q * r * (1 - r) * 2
+                en = e * (1 - z) * slope(n)
+                ez = e * (state - n) * 0.5 * slope(2 * z - 1)
+                er = en * q * 0.5 * slope(2 * r - 1)
                 eq = en * r
-                ex = np.concatenate([ez, er, en], axis=1)
+                np.concatenate([ez, er, en], axis=1, out=inputs[t])
                 es = np.concatenate([ez, er, eq], axis=1)
-                for j in range(3 * h):
-                    gx[:, j] += np.bincount(steps[t], ex[:, j], 256)
                 gu += state.T @ es
                 gd += eq.sum(0)
                 carry = e * z + es @ p["u" + d].T
+            gx = np.zeros_like(p["x" + d])
+            gx[seen] = np.add.reduceat(inputs.reshape(-1, 3 * h)[by_byte], firsts, axis=0)
             g |= {"x" + d: gx, "u" + d: gu, "d" + d: gd}
         return loss, g
 
@@ -175,25 +232,31 @@ def windows_of(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
 def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     """(documents, languages) mean probabilities over all positions of every text; zeros for empty ones."""
     out = np.zeros((len(texts), len(net.langs)))
-    pieces: list[bytes] = []
+    held: dict[bytes, int] = {}  # windows that are equal are worked once
     owner: list[int] = []
+    piece: list[int] = []
 
     def flush() -> None:
-        length = min(WINDOW, max(map(len, pieces)))
-        steps, mask = windows_of(pieces, length)
-        sums = (net.positions(steps, mask) * mask).sum(0, dtype=np.float64)
-        np.add.at(out, np.array(owner), sums)
-        pieces.clear()
+        pieces = list(held)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-sizes, kind="stable")
+        length = int(sizes[order[0]])
+        raw = np.frombuffer(b"".join(pieces[i].ljust(length, b"\0") for i in order.tolist()), np.uint8).reshape(len(pieces), length)
+        active = (len(pieces) - np.searchsorted(np.sort(sizes), np.arange(length), side="right")).tolist()
+        sums = np.empty((len(pieces), len(net.langs)))
+        sums[order] = net.totals(np.ascontiguousarray(raw.T).astype(np.intp), active)
+        np.add.at(out, np.array(owner), sums[np.array(piece)])
+        held.clear()
         owner.clear()
+        piece.clear()
 
-    for i in sorted(range(len(texts)), key=lambda i: len(texts[i]) >= WINDOW):
-        text = texts[i]
+    for i, text in enumerate(texts):
         for at in range(0, len(text), WINDOW):
-            pieces.append(text[at : at + WINDOW])
+            piece.append(held.setdefault(text[at : at + WINDOW], len(held)))
             owner.append(i)
-            if len(pieces) == BLOCK:
+            if len(held) == BLOCK:
                 flush()
-    if pieces:
+    if held:
         flush()
     sizes = np.fromiter(map(len, texts), np.float64, len(texts))
     return out / np.maximum(sizes, 1)[:, None]
@@ -209,13 +272,9 @@ def sample(docs: DataFrame, modulus: int, rest: int, size: int = SAMPLE) -> tupl
     share = F.coalesce(*[F.when(F.col("lang") == l, F.lit(int(min(1_000_000, 2_000_000 * size / n + 100)))) for l, n in counts.items()])
     start = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.length("text") - STRETCH, F.lit(1))).cast("int")
     near = rows.where(order < share).select("doc_id", "lang", order.alias("o"), F.substr("text", start + 1, F.lit(STRETCH)).alias("text"))
-    texts: list[bytes] = []
-    labels: list[str] = []
-    for lang in sorted(counts):
-        for r in near.where(F.col("lang") == lang).orderBy("o", "doc_id", "text").limit(size).collect():
-            texts.append(r.text.encode()[:STRETCH])
-            labels.append(r.lang)
-    return texts, labels
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", "text"))
+    picked = near.withColumn("turn", turn).where(F.col("turn") <= size).orderBy("lang", "turn").select("lang", "text").collect()
+    return [r.text.encode()[:STRETCH] for r in picked], [r.lang for r in picked]
 
 
 def fit(docs: DataFrame, modulus: int = 4, rest: int = 2) -> Network | None:
