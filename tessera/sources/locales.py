@@ -3,6 +3,9 @@
 A pack is a dictionary; ``load`` also takes packs from JSON files of a folder, so that a locale can be
 added without code. Patterns: ``#`` a digit, ``[abc]`` one of the characters, ``{check}`` the check
 digit of what stands before it, anything else as it is.
+
+Latin names are frequent ones of public statistics: births of 2021 (SSA for en-US, ONS for en-GB, INSEE for
+fr-FR), residents by name (INE, for es-ES), surnames by census or electoral frequency.
 """
 
 from __future__ import annotations
@@ -15,22 +18,22 @@ ARABIC, PERSIAN, DEVANAGARI = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "
 
 PACKS: dict[str, dict] = {
     "en-US": {
-        "script": "Latin", "first": {"f": ["Mary", "Linda", "Susan", "Karen"], "m": ["James", "Robert", "John", "David"]}, "last": ["Smith", "Johnson", "Brown", "Miller"],
+        "script": "Latin", "first": {"f": ["Olivia", "Emma", "Charlotte", "Amelia", "Ava"], "m": ["Liam", "Noah", "Oliver", "Elijah", "James"]}, "last": ["Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia"],
         "cities": ["Austin", "Denver", "Boston"], "phone": "+1 [2-9]##-[2-9]##-####", "phone_regex": r"\+1 [2-9]\d{2}-[2-9]\d{2}-\d{4}", "id": "###-##-####", "id_regex": r"\d{3}-\d{2}-\d{4}", "id_check": None,
         "date": "MM/dd/yyyy", "currency": "USD", "symbol": "$", "symbol_first": True, "symbol_gap": "", "group": ",", "point": ".", "grouping": "western", "income": 4800, "family_first": False, "tax": {"default": 0.0825, "food": 0.0},
     },
     "en-GB": {
-        "script": "Latin", "first": {"f": ["Olivia", "Amelia", "Emily", "Sophie"], "m": ["Oliver", "George", "Harry", "Jack"]}, "last": ["Taylor", "Davies", "Evans", "Wilson"],
+        "script": "Latin", "first": {"f": ["Isla", "Ivy", "Freya", "Lily", "Florence"], "m": ["Arthur", "Leo", "Archie", "Theodore", "Oscar"]}, "last": ["Jones", "Williams", "Roberts", "Hughes", "Thompson"],
         "cities": ["Leeds", "Bristol", "Cardiff"], "phone": "+44 7### ######", "phone_regex": r"\+44 7\d{3} \d{6}", "id": "[ABCEGHJ][ABCEGHJ]######[ABCD]", "id_regex": r"[A-Z]{2}\d{6}[A-D]", "id_check": None,
         "date": "dd/MM/yyyy", "currency": "GBP", "symbol": "£", "symbol_first": True, "symbol_gap": "", "group": ",", "point": ".", "grouping": "western", "income": 2900, "family_first": False, "tax": {"default": 0.20, "food": 0.0},
     },
     "es-ES": {
-        "script": "Latin", "first": {"f": ["Lucía", "María", "Carmen", "Sofía"], "m": ["Hugo", "Martín", "José", "Álvaro"]}, "last": ["García", "Fernández", "López", "Sánchez"],
+        "script": "Latin", "first": {"f": ["María Carmen", "Ana María", "María Pilar", "Josefa", "Isabel"], "m": ["Antonio", "Manuel", "Francisco", "Juan", "David"]}, "last": ["Rodríguez", "González", "Martínez", "Pérez", "Muñoz"],
         "cities": ["Madrid", "Sevilla", "Málaga"], "phone": "+34 6## ### ###", "phone_regex": r"\+34 6\d{2} \d{3} \d{3}", "id": "########{check}", "id_regex": r"\d{8}[A-Z]", "id_check": "dni",
         "date": "dd/MM/yyyy", "currency": "EUR", "symbol": "€", "symbol_first": False, "symbol_gap": " ", "group": ".", "point": ",", "grouping": "western", "income": 2100, "family_first": False, "tax": {"default": 0.21, "food": 0.10},
     },
     "fr-FR": {
-        "script": "Latin", "first": {"f": ["Camille", "Léa", "Chloé", "Inès"], "m": ["Louis", "Jules", "Hugo", "Théo"]}, "last": ["Martin", "Bernard", "Lefèvre", "Moreau"],
+        "script": "Latin", "first": {"f": ["Jade", "Louise", "Ambre", "Alba", "Romane"], "m": ["Gabriel", "Raphaël", "Léo", "Maël", "Noé"]}, "last": ["Petit", "Durand", "Dubois", "Leroy", "Girard"],
         "cities": ["Lyon", "Nantes", "Besançon"], "phone": "+33 6 ## ## ## ##", "phone_regex": r"\+33 6( \d{2}){4}", "id": "[12]##############", "id_regex": r"[12]\d{14}", "id_check": None,
         "date": "dd/MM/yyyy", "currency": "EUR", "symbol": "€", "symbol_first": False, "symbol_gap": " ", "group": " ", "point": ",", "grouping": "western", "income": 2500, "family_first": False, "tax": {"default": 0.20, "food": 0.055},
     },

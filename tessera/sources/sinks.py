@@ -14,9 +14,12 @@ import sqlite3
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from graphlib import CycleError, TopologicalSorter
+from itertools import islice
 from pathlib import Path
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,87 +60,116 @@ def schema_of(tables: dict[str, DataFrame], graph: Graph | None = None) -> dict[
     return out
 
 
-TYPES = {
-    "sqlite": {"int": "INTEGER", "float": "REAL", "bool": "INTEGER", "datetime": "TEXT", "date": "TEXT"},
-    "postgresql": {"int": "BIGINT", "float": "DOUBLE PRECISION", "bool": "BOOLEAN", "datetime": "TIMESTAMP", "date": "DATE"},
-    "mysql": {"int": "BIGINT", "float": "DOUBLE", "bool": "TINYINT(1)", "datetime": "DATETIME", "date": "DATE"},
-    "ansi": {"int": "BIGINT", "float": "DOUBLE PRECISION", "bool": "BOOLEAN", "datetime": "TIMESTAMP", "date": "DATE"},
-}
-
-
-def sql_type(c: ColumnDef, dialect: str) -> str:
-    """Text is VARCHAR of the next multiple of 16, or TEXT over 255."""
-    if c.kind != "str":
-        return TYPES[dialect][c.kind]
-    size = -(-max(1, c.max_len or 1) // 16) * 16
-    return f"VARCHAR({size})" if size <= 255 else "TEXT"
+@dataclass(frozen=True)
+class Dialect:
+    """How one database writes names, types and literals, and what opens and closes a script."""
+
+    types: dict[str, str]
+    quote: str = '"'
+    booleans: tuple[str, str] = ("TRUE", "FALSE")
+    escapes: bool = False  # whether a backslash in a text must be doubled
+    opening: tuple[str, ...] = ("BEGIN",)
+    closing: tuple[str, ...] = ("COMMIT",)
+
+    def name(self, text: str) -> str:
+        return self.quote + text.replace(self.quote, 2 * self.quote) + self.quote
+
+    def names(self, texts: Iterable[str]) -> str:
+        return "(" + ", ".join(self.name(t) for t in texts) + ")"
+
+    def type_of(self, c: ColumnDef) -> str:
+        """Text is VARCHAR of the next multiple of 16, or TEXT over 255."""
+        if c.kind in self.types:
+            return self.types[c.kind]
+        room = 16 * max(1, ((c.max_len or 0) + 15) // 16)
+        return "TEXT" if room > 255 else f"VARCHAR({room})"
+
+    def text(self, c: Column) -> Column:
+        """A text column in quotes; NUL is dropped."""
+        for found, put in (("\0", ""), *([("\\", "\\\\")] if self.escapes else []), ("'", "''")):
+            c = F.replace(c, F.lit(found), F.lit(put))
+        return F.concat(F.lit("'"), c, F.lit("'"))
+
+    def value(self, c: Column, kind: str) -> Column:
+        """A column as SQL text; NULL for nulls, NaN and infinities."""
+        if kind == "bool":
+            shown = F.when(c, self.booleans[0]).when(~c, self.booleans[1])
+        elif kind in {"int", "float"}:
+            shown = F.when(F.abs(c.cast("double")) < float("inf"), c.cast("string"))
+        else:
+            shown = self.text(c.cast("string"))
+        return F.coalesce(shown, F.lit("NULL"))
+
+
+#: Type names of the databases.
+SQL99 = {"int": "BIGINT", "float": "DOUBLE PRECISION", "bool": "BOOLEAN", "date": "DATE", "datetime": "TIMESTAMP"}
+DIALECTS = {
+    "ansi": Dialect(SQL99),
+    "postgresql": Dialect(SQL99),
+    "mysql": Dialect(SQL99 | {"float": "DOUBLE", "bool": "TINYINT(1)", "datetime": "DATETIME"}, "`", ("1", "0"), True, ("SET FOREIGN_KEY_CHECKS = 0", "START TRANSACTION"), ("COMMIT", "SET FOREIGN_KEY_CHECKS = 1")),
+    "sqlite": Dialect({"int": "INTEGER", "float": "REAL", "bool": "INTEGER", "date": "TEXT", "datetime": "TEXT"}, booleans=("1", "0")),
+}
 
 
-def quoted(name: str, dialect: str) -> str:
-    return f"`{name.replace('`', '``')}`" if dialect == "mysql" else '"' + name.replace('"', '""') + '"'
+def literal(c: Column, kind: str, dialect: str) -> Column:
+    """A value as SQL text in ``dialect``."""
+    return DIALECTS[dialect].value(c, kind)
 
 
-def create_table(t: TableSchema, dialect: str, drop: bool = False) -> str:
-    q = lambda n: quoted(n, dialect)
-    parts = [f"  {q(c.name)} {sql_type(c, dialect)}{'' if c.nullable else ' NOT NULL'}{' UNIQUE' if c.unique else ''}" for c in t.columns]
+def table_body(t: TableSchema, d: Dialect) -> Iterator[str]:
+    """The clauses of a table's definition: columns, then the key, then references."""
+    for c in t.columns:
+        rules = [rule for rule, holds in (("NOT NULL", not c.nullable), ("UNIQUE", c.unique)) if holds]
+        yield " ".join([d.name(c.name), d.type_of(c), *rules])
     if t.key:
-        parts.append(f"  PRIMARY KEY ({', '.join(map(q, t.key))})")
-    parts += [f"  FOREIGN KEY ({', '.join(map(q, cols))}) REFERENCES {q(parent)} ({', '.join(map(q, keys))})" for cols, parent, keys in t.references]
-    head = f"DROP TABLE IF EXISTS {q(t.name)};\n" if drop else ""
-    return f"{head}CREATE TABLE {q(t.name)} (\n" + ",\n".join(parts) + "\n);\n"
+        yield f"PRIMARY KEY {d.names(t.key)}"
+    for own, parent, theirs in t.references:
+        yield f"FOREIGN KEY {d.names(own)} REFERENCES {d.name(parent)} {d.names(theirs)}"
 
 
-def literal(c: Column, kind: str, dialect: str) -> Column:
-    """A value as SQL text: quotes doubled, NUL dropped, NaN and infinities NULL."""
-    if kind in {"int", "float"}:
-        v = F.when(F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")), None).otherwise(c.cast("string"))
-    elif kind == "bool":
-        v = F.when(c, "TRUE").otherwise("FALSE") if dialect in {"postgresql", "ansi"} else c.cast("int").cast("string")
-        v = F.when(c.isNotNull(), v)
-    else:
-        text = F.replace(F.replace(c.cast("string"), F.lit("\0"), F.lit("")), F.lit("'"), F.lit("''"))
-        if dialect == "mysql":
-            text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-        v = F.concat(F.lit("'"), text, F.lit("'"))
-    return F.coalesce(v, F.lit("NULL"))
+def definition(t: TableSchema, dialect: str) -> str:
+    """The CREATE TABLE statement, without a closing semicolon."""
+    d = DIALECTS[dialect]
+    return f"CREATE TABLE {d.name(t.name)} (\n    " + ",\n    ".join(table_body(t, d)) + "\n)"
 
 
 def ordered(schema: dict[str, TableSchema]) -> list[str]:
     """Parents before children."""
-    left = {n: {p for _, p, _ in t.references if p != n and p in schema} for n, t in schema.items()}
-    out: list[str] = []
-    while left:
-        ready = [n for n, up in left.items() if not up & left.keys()]
-        if not ready:
-            raise ValueError("the tables refer to each other in a cycle")
-        out += ready
-        for n in ready:
-            del left[n]
-    return out
+    above = {name: {parent for _, parent, _ in t.references} & (schema.keys() - {name}) for name, t in schema.items()}
+    try:
+        return list(TopologicalSorter(above).static_order())
+    except CycleError as why:
+        raise ValueError("the tables refer to each other in a cycle") from why
+
+
+def inserts(df: DataFrame, t: TableSchema, dialect: str, batch: int) -> DataFrame:
+    """(v string): INSERT statements of at most ``batch`` rows each, made where the rows are."""
+    d = DIALECTS[dialect]
+    cells = [d.value(F.col(f"`{c.name}`"), c.kind) for c in t.columns]
+    start = f"INSERT INTO {d.name(t.name)} {d.names(c.name for c in t.columns)} VALUES "
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (v for b in batches for v in b.column(0).to_pylist())
+        while held := list(islice(rows, batch)):
+            yield pa.RecordBatch.from_arrays([pa.array([start + ", ".join(held)])], names=["v"])
+
+    return df.select(F.concat(F.lit("("), F.concat_ws(", ", *cells), F.lit(")")).alias("v")).mapInArrow(joined, "v string")
 
 
 def sql_dump(tables: dict[str, DataFrame], graph: Graph | None = None, dialect: str = "ansi", batch: int = 500) -> Iterator[str]:
-    """A script: tables parents first, then rows in INSERTs of ``batch``, in one transaction."""
-    schema = schema_of(tables, graph)
-    names = ordered(schema)
-    yield "SET FOREIGN_KEY_CHECKS = 0;\n" if dialect == "mysql" else ""
-    yield "START TRANSACTION;\n" if dialect == "mysql" else "BEGIN;\n"
-    for n in names:
-        yield create_table(schema[n], dialect, drop=True)
-    for n in names:
-        df, t = visible(tables[n]), schema[n]
-        values = df.select(F.concat(F.lit("("), F.concat_ws(", ", *[literal(F.col(f"`{c.name}`"), c.kind, dialect) for c in t.columns]), F.lit(")")).alias("v"))
-        head = f"INSERT INTO {quoted(n, dialect)} ({', '.join(quoted(c.name, dialect) for c in t.columns)}) VALUES\n"
-        held: list[str] = []
-        for row in values.toLocalIterator(prefetchPartitions=True):
-            held.append(row["v"])
-            if len(held) == batch:
-                yield head + ",\n".join(held) + ";\n"
-                held = []
-        if held:
-            yield head + ",\n".join(held) + ";\n"
-    yield "COMMIT;\n"
-    yield "SET FOREIGN_KEY_CHECKS = 1;\n" if dialect == "mysql" else ""
+    """A script in one transaction: tables, parents first, then their rows."""
+    d, schema = DIALECTS[dialect], schema_of(tables, graph)
+
+    def statements() -> Iterator[str]:
+        yield from d.opening
+        for n in ordered(schema):
+            yield f"DROP TABLE IF EXISTS {d.name(n)}"
+            yield definition(schema[n], dialect)
+        for n in ordered(schema):
+            yield from (r.v for r in inserts(visible(tables[n]), schema[n], dialect, batch).toLocalIterator(prefetchPartitions=True))
+        yield from d.closing
+
+    return (s + ";\n" for s in statements())
 
 
 def csv_lines(df: DataFrame) -> Iterator[str]:
@@ -160,14 +192,28 @@ def json_lines(df: DataFrame) -> Iterator[str]:
 
 
 def json_array(df: DataFrame) -> Iterator[str]:
-    yield "["
-    for i, line in enumerate(json_lines(df)):
-        yield (",\n" if i else "\n") + line.rstrip("\n")
-    yield "\n]\n"
+    between = "[\n"
+    for line in json_lines(df):
+        yield between + line.rstrip("\n")
+        between = ",\n"
+    yield "\n]\n" if between[0] == "," else "[]\n"
+
+
+def json_object(tables: dict[str, DataFrame]) -> Iterator[str]:
+    """One table as an array; several as an object with an array for each table's name."""
+    if len(tables) == 1:
+        yield from json_array(_only(tables))
+        return
+    between = "{"
+    for name, df in tables.items():
+        yield between + json.dumps(name, ensure_ascii=False) + ": "
+        yield from json_array(df)
+        between = ","
+    yield "}\n" if tables else "{}\n"
 
 
 EXPORTERS: dict[str, Callable[[dict[str, DataFrame], Graph | None], Iterator[str]]] = {
-    "csv": lambda t, g: csv_lines(_only(t)), "jsonl": lambda t, g: json_lines(_only(t)), "json": lambda t, g: json_array(_only(t)), "sql": lambda t, g: sql_dump(t, g),
+    "csv": lambda t, g: csv_lines(_only(t)), "jsonl": lambda t, g: json_lines(_only(t)), "json": lambda t, g: json_object(t), "sql": lambda t, g: sql_dump(t, g),
 }
 
 
@@ -256,7 +302,7 @@ def load_sqlite(tables: dict[str, DataFrame], path: str, graph: Graph | None = N
     """Load in one transaction and count again; a dry run does all of it and rolls back."""
     if mode not in {"create", "append", "replace"}:
         raise ValueError(f"unknown mode {mode}")
-    schema, counts = schema_of(tables, graph), {}
+    schema, counts, quoted = schema_of(tables, graph), {}, DIALECTS["sqlite"].name
     con = sqlite3.connect(path, isolation_level=None)
     try:
         con.execute("PRAGMA foreign_keys = ON")
@@ -264,14 +310,14 @@ def load_sqlite(tables: dict[str, DataFrame], path: str, graph: Graph | None = N
         names = ordered(schema)
         if mode == "replace":
             for n in reversed(names):
-                con.execute(f"DROP TABLE IF EXISTS {quoted(n, 'sqlite')}")
+                con.execute(f"DROP TABLE IF EXISTS {quoted(n)}")
         for n in names:
             if mode != "append":
-                con.execute(create_table(schema[n], "sqlite").rstrip().rstrip(";"))
+                con.execute(definition(schema[n], "sqlite"))
             cols = schema[n].columns
             plain = [F.col(f"`{c.name}`").cast("int") if c.kind == "bool" else F.col(f"`{c.name}`").cast("string") if c.kind in {"datetime", "date"} else F.col(f"`{c.name}`") for c in cols]
-            before = con.execute(f"SELECT count(*) FROM {quoted(n, 'sqlite')}").fetchone()[0]
-            insert = f"INSERT INTO {quoted(n, 'sqlite')} VALUES ({', '.join('?' * len(cols))})"
+            before = con.execute(f"SELECT count(*) FROM {quoted(n)}").fetchone()[0]
+            insert = f"INSERT INTO {quoted(n)} VALUES ({', '.join('?' * len(cols))})"
             sent, held = 0, []
             for row in visible(tables[n]).select(*plain).toLocalIterator():
                 held.append(tuple(row))
@@ -280,7 +326,7 @@ def load_sqlite(tables: dict[str, DataFrame], path: str, graph: Graph | None = N
                     sent, held = sent + len(held), []
             con.executemany(insert, held)
             sent += len(held)
-            after = con.execute(f"SELECT count(*) FROM {quoted(n, 'sqlite')}").fetchone()[0]
+            after = con.execute(f"SELECT count(*) FROM {quoted(n)}").fetchone()[0]
             if after - before != sent:
                 raise RuntimeError(f"{n}: sent {sent} rows, found {after - before}")
             counts[n] = sent
