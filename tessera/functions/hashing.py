@@ -33,28 +33,60 @@ def integer(seed: int, stream: str, row_id: Column, low: int, high: int) -> Colu
     return (F.floor(uniform(seed, stream, row_id) * (high - low + 1)) + low).cast("long")
 
 
-def pick(seed: int, stream: str, row_id: Column, values: list, weights: list[float] | None = None) -> Column:
-    """One of ``values``, by weight."""
-    u = uniform(seed, stream, row_id)
-    total, mass, out = sum(weights or [1.0] * len(values)), 0.0, None
-    for value, w in zip(values[:-1], weights or [1.0] * len(values), strict=False):
+def by_share(u: Column, values: list, weights: list[float]) -> Column:
+    """The value whose part of [0, 1), in list order and by weight, holds ``u``."""
+    edges, mass, total = [], 0.0, sum(weights)
+    for w in weights[:-1]:
         mass += w / total
-        out = F.when(u < mass, F.lit(value)) if out is None else out.when(u < mass, F.lit(value))
+        edges.append(mass)
+    if len(values) > 32:  # a search in an array, not a branch for each value
+        return F.element_at(F.array(*map(F.lit, values)), F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= u)) + 1)
+    out = None
+    for value, edge in zip(values, edges, strict=False):
+        out = F.when(u < edge, F.lit(value)) if out is None else out.when(u < edge, F.lit(value))
     return F.lit(values[-1]) if out is None else out.otherwise(F.lit(values[-1]))
 
 
-def poisson(u: Column, lam: float, most: int = 60) -> Column:
-    """Inverse CDF of a Poisson variable, up to ``most``."""
+def pick(seed: int, stream: str, row_id: Column, values: list, weights: list[float] | None = None) -> Column:
+    """One of ``values``, by weight."""
+    return by_share(uniform(seed, stream, row_id), values, weights or [1.0] * len(values))
+
+
+def poisson(u: Column, lam: float) -> Column:
+    """Inverse CDF of a Poisson variable, up to where its upper tail is below 2**-52, the grain of ``u``."""
+    if not 0 <= lam <= 500:
+        raise ValueError("means from 0 to 500 only")
     p = mass = math.exp(-lam)
-    out = None
-    for k in range(most):
+    out, k = None, 0
+    while k <= lam or p > 2.0**-54:
         out = F.when(u < mass, F.lit(k)) if out is None else out.when(u < mass, F.lit(k))
-        p *= lam / (k + 1)
+        k += 1
+        p *= lam / k
         mass += p
-    return out.otherwise(F.lit(most)).cast("int")
-
-
-def exactly(df, k: int, seed: int, stream: str, row_id: str):
-    """Exactly ``k`` rows of ``df``, chosen by their hashes; a top-k, not a full sort."""
-    u = uniform(seed, stream, F.col(f"`{row_id}`"))
-    return df.withColumn("__u", u).orderBy("__u", row_id).limit(k).drop("__u")
+    return out.otherwise(F.lit(k)).cast("int")
+
+
+def exactly(df, k: int, seed: int, stream: str, row_id: str, few: int = 50_000):
+    """Exactly ``k`` rows of ``df``, those of the smallest hashes; ``row_id`` is distinct.
+
+    The ``k``-th hash is found by counts over 4,096 ranges of it, then over 4,096 parts of the range that
+    holds it, until a range holds ``few`` rows: only those are sorted. The rows are then a filter.
+    """
+    if k <= 0:
+        return df.limit(0)
+    bits = F.floor(uniform(seed, stream, F.col(f"`{row_id}`")) * float(1 << 52)).cast("long")
+    hashed = df.select(bits.alias("h"), F.col(f"`{row_id}`").alias("id"))
+    left, shift, rank = hashed, 52, k
+    while True:
+        shift -= 12
+        sizes = sorted((r["b"], r["count"]) for r in left.groupBy(F.shiftright("h", shift).alias("b")).count().collect())
+        for bucket, n in sizes:
+            if rank <= n:
+                break
+            rank -= n
+        else:
+            return df
+        left = hashed.where(F.shiftright("h", shift) == bucket)
+        if n <= few or shift <= 4:
+            last = left.orderBy("h", "id").limit(rank).agg(F.max(F.struct("h", "id")).alias("e")).first()["e"]
+            return df.where((bits < last["h"]) | ((bits == last["h"]) & (F.col(f"`{row_id}`") <= F.lit(last["id"]))))

@@ -91,6 +91,21 @@ def _run(spark, store: Store, job: str, kind: str, params: dict) -> dict:
     return {"files": files, "output_hash": hashlib.sha256(canonical(sorted(f["sha256"] for f in files)).encode()).hexdigest()}
 
 
+def saved(spark, store: Store, kind: str, params: dict, act) -> dict:
+    """Keep an explicit action as a job: ``act()`` is called, and its result, or its failure, goes to a manifest
+    that can be rerun like any other. What the action returns or raises is passed on."""
+    params = validated(kind, params)
+    job = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:6]}"
+    manifest = {"id": job, "kind": kind, "params": params, "parent": None, "action": True, "files": []}
+    try:
+        result = act()
+    except Exception as why:
+        store.save(job, manifest | {"state": "failed", "error": f"{type(why).__name__}: {why}"[:500]})
+        raise
+    store.save(job, manifest | {"state": "done", "result_hash": hashlib.sha256(canonical(result).encode()).hexdigest()})
+    return {"id": job, "result": result}
+
+
 def rerun(spark, store: Store, job: str, **overrides) -> dict:
     """The job again; ``reproduced`` tells whether the output is the same."""
     old = store.read(job)

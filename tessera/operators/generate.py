@@ -7,6 +7,8 @@ partitioning, and every generator is one narrow projection over ``spark.range``.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
+from math import gcd
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +21,10 @@ from tessera.schema import Graph, family
 
 #: Points of a quantile grid.
 GRID = 101
+#: Most values that a profile or a draw holds on the driver; more are kept as a table.
+FEW = 1_000
+#: Ranges of [0, 1) by which a draw meets a table of shares.
+RANGES = 1_024
 
 
 @dataclass
@@ -34,6 +40,26 @@ class Profile:
     prefix: str = ""
     width: int = 6
     null_rate: float = 0.0
+    #: (v, n, low, high): all values with their counts and their parts of [0, 1), where they are too many for ``values``.
+    table: DataFrame | None = None
+
+
+def shares_table(counts: DataFrame) -> DataFrame:
+    """(v, n, low, high) of a frame (v, n): each value's part of [0, 1), in the order of a hash of the values."""
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    placed = stats.cumulative(counts.select("v", "n", F.xxhash64("v").cast("double").alias("__o")), "__o", {"before": "n"}, strict=True)
+    return placed.select("v", "n", (F.col("before") / total).alias("low"), ((F.col("before") + F.col("n")) / total).alias("high"))
+
+
+def drawn(df: DataFrame, u: str, table: DataFrame, name: str, kind: str) -> DataFrame:
+    """``df`` with ``name``: the value of ``table`` (v, low, high) whose part of [0, 1) holds the column ``u``.
+
+    Both sides meet on a range of u, then by comparison; a frequent value lies in many ranges, so no range
+    holds more than its share of the rows.
+    """
+    parts = table.select(F.col("v").cast(kind).alias(name), F.col("low").alias("__low"), F.col("high").alias("__high"), F.explode(F.sequence(F.floor(F.col("low") * RANGES), F.least(F.floor(F.col("high") * RANGES), F.lit(RANGES - 1)))).alias("__range"))
+    keyed = df.withColumn("__at", F.least(F.floor(F.col(u) * RANGES), F.lit(RANGES - 1)))
+    return keyed.join(parts, (F.col("__at") == F.col("__range")) & (F.col(u) >= F.col("__low")) & (F.col(u) < F.col("__high")), "left").drop("__at", "__range", "__low", "__high")
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> list[Profile]:
@@ -55,9 +81,12 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> list[Profile]:
             p.prefix = sample.rstrip("0123456789")
             p.width = max(1, len(sample) - len(p.prefix))
         else:
-            rows = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(1000).collect()
-            total = sum(r["count"] for r in rows) or 1
-            p.values, p.shares = [r["v"] for r in rows], [r["count"] / total for r in rows]
+            counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            if distinct > FEW:
+                p.table = shares_table(counts)
+            else:
+                rows = counts.orderBy(F.desc("n"), "v").collect()
+                p.values, p.shares = [r["v"] for r in rows], [r["n"] / (present or 1) for r in rows]
         out.append(p)
     return out
 
@@ -67,12 +96,7 @@ def marginal(p: Profile, u: Column, row_id: Column) -> Column:
     if p.kind == "identifier":
         return F.concat(F.lit(p.prefix), F.lpad((row_id + 1).cast("string"), p.width, "0"))
     if p.kind == "category":
-        out, mass = None, 0.0
-        for v, s in zip(p.values[:-1], p.shares, strict=False):
-            mass += s
-            out = F.when(u < mass, F.lit(v)) if out is None else out.when(u < mass, F.lit(v))
-        last = F.lit(p.values[-1] if p.values else None)
-        return (last if out is None else out.otherwise(last)).cast(p.type)
+        return hashing.by_share(u, p.values or [None], p.shares or [1.0]).cast(p.type)
     grid, m = F.array(*[F.lit(float(g)) for g in p.grid]), len(p.grid) - 1
     at = u * m
     low = F.least(F.floor(at), F.lit(m - 1)).cast("int")
@@ -111,6 +135,10 @@ def normal_scores(df: DataFrame, profiles: list[Profile]) -> DataFrame:
     for i, p in enumerate(profiles):
         c = F.col(f"`{p.name}`")
         v = F.unix_micros(c.cast("timestamp")).cast("double") if p.kind == "datetime" else c.cast("double") if p.kind == "numeric" else None
+        if v is None and p.table is not None:
+            parts = p.table.select(F.col("v").alias("__pv"), F.col("low").alias(f"__v{i}"))
+            made = made.join(parts, F.col(f"`{p.name}`").cast("string") == F.col("__pv"), "left").drop("__pv")
+            continue
         if v is None:
             # a category is ranked by its place in the profile: frequent values first
             place = F.array_position(F.array(*[F.lit(x) for x in p.values]), c.cast("string")) if p.values else F.lit(None)
@@ -171,7 +199,10 @@ def sample(spark: SparkSession, model: Copula, n: int, seed: int = 0, given: Dat
     z = [sum((F.lit(float(model.factor[i, j])) * F.col(f"__e{j}") for j in range(i + 1)), F.lit(0.0)).alias(f"__z{i}") for i in range(len(used))]
     df = df.select("__id", *z)
     place = {p.name: i for i, p in enumerate(used)}
-    cols = [marginal(p, phi(F.col(f"__z{place[p.name]}")) if p.name in place else F.lit(0.0), F.col("__id")).alias(p.name) for p in model.profiles]
+    for i, p in enumerate(used):
+        if p.table is not None:
+            df = drawn(df.withColumn("__u", phi(F.col(f"__z{i}"))), "__u", p.table, f"__t{i}", p.type)
+    cols = [(F.col(f"__t{place[p.name]}") if p.table is not None else marginal(p, phi(F.col(f"__z{place[p.name]}")) if p.name in place else F.lit(0.0), F.col("__id"))).alias(p.name) for p in model.profiles]
     return df.select("__id", *cols)
 
 
@@ -194,7 +225,10 @@ def sample_given(model: Copula, given: DataFrame, row_id: str, columns: list[str
     for k, i in enumerate(b):
         mean = sum((F.lit(float(gain[k, m])) * F.col(f"__g{m}") for m in range(len(a))), F.lit(0.0))
         noise = sum((F.lit(float(root[k, m])) * F.col(f"__e{m}") for m in range(k + 1)), F.lit(0.0))
-        df = df.withColumn(used[i].name, marginal(used[i], phi(mean + noise), F.col(row_id)))
+        if used[i].table is not None:
+            df = drawn(df.withColumn("__gu", phi(mean + noise)), "__gu", used[i].table, used[i].name, used[i].type)
+        else:
+            df = df.withColumn(used[i].name, marginal(used[i], phi(mean + noise), F.col(row_id)))
     return df.drop(*[c for c in df.columns if c.startswith(("__g", "__e"))])
 
 
@@ -225,11 +259,12 @@ def nulls_injected(df: DataFrame, column: str, rate: float, seed: int, row_id: s
 def outliers_injected(df: DataFrame, column: str, rate: float, seed: int, row_id: str, method: str = "iqr") -> DataFrame:
     """Exactly round(rate * n) present values become outliers: beyond the quartiles, by deviations, or scaled."""
     v = F.col(f"`{column}`").cast("double")
-    s = df.agg(F.count(v).alias("n"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count(F.lit(1)).alias("rows")).first()
+    s = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count(F.lit(1)).alias("rows")).first()
     k = int(rate * s["rows"] + 0.5)
     chosen = hashing.exactly(df.where(v.isNotNull()).select(row_id), k, seed, f"outlier/{column}", row_id).withColumn("__hit", F.lit(True))
     u, side = hashing.uniform(seed, f"size/{column}", F.col(row_id)), hashing.uniform(seed, f"side/{column}", F.col(row_id)) < 0.5
-    q1, q3 = s["q"] or (0.0, 0.0)
+    quarters = stats.quantiles(df, column, 5) if method == "iqr" else None
+    q1, q3 = (quarters[1], quarters[3]) if quarters else (0.0, 0.0)
     spread = (q3 - q1) or 1.0
     made = {
         "iqr": F.when(side, F.lit(q3) + (1.5 + 1.5 * u) * spread).otherwise(F.lit(q1) - (1.5 + 1.5 * u) * spread),
@@ -284,9 +319,10 @@ def edge_cases(df: DataFrame, column: str, pack: str, rate: float, seed: int, ro
     c = F.col(f"`{column}`")
     fit_rows = df.where(F.length(c) >= 3) if pack == "typos" else df.where(c.isNotNull())
     k = int(rate * df.count() + 0.5)
-    u = hashing.uniform(seed, f"edge/{pack}/{column}", F.col(row_id))
-    top = fit_rows.select(row_id, u.alias("__u")).orderBy("__u", row_id).limit(k)
-    chosen = top.select(row_id, (F.row_number().over(Window.orderBy("__u", row_id)) - 1).alias("__turn"))  # k rows
+    stream = f"edge/{pack}/{column}"
+    top = hashing.exactly(fit_rows.select(row_id), k, seed, stream, row_id)
+    numbered = top.select(row_id, hashing.uniform(seed, stream, F.col(row_id)).alias("__u"), F.lit(1).alias("__one"))
+    chosen = stats.cumulative(numbered, "__u", {"__turn": "__one"}, strict=True).select(row_id, "__turn")
     hit = df.join(chosen, row_id, "left")
     out, tag = None, None
     for i, (case, value) in enumerate(cases.items()):
@@ -320,8 +356,8 @@ def duplicates_added(df: DataFrame, column: str, rate: float, seed: int, row_id:
 
 # relational
 
-def child_counts(parents: DataFrame, parent_id: str, kind: str, seed: int, stream: str, *, lam: float = 2.0, value: int = 1, learned: list[tuple[int, float]] | None = None, most: int = 10_000) -> DataFrame:
-    """``parents`` with ``children``: poisson, fixed, zipf, or drawn from learned (count, share) pairs."""
+def child_counts(parents: DataFrame, parent_id: str, kind: str, seed: int, stream: str, *, lam: float = 2.0, value: int = 1, learned: DataFrame | None = None, most: int = 10_000) -> DataFrame:
+    """``parents`` with ``children``: poisson, fixed, zipf (``most`` at most), or drawn from ``learned`` (v, n, low, high)."""
     u = hashing.uniform(seed, f"children/{stream}", F.col(parent_id))
     if kind == "fixed":
         n = F.lit(value)
@@ -330,7 +366,7 @@ def child_counts(parents: DataFrame, parent_id: str, kind: str, seed: int, strea
     elif kind == "zipf":
         n = F.least(F.lit(most), F.floor(F.pow(F.greatest(1 - u, F.lit(1e-12)), F.lit(-1.0 / max(lam - 1, 0.05))))).cast("int")
     elif kind == "learned":
-        n = hashing.pick(seed, f"children/{stream}", F.col(parent_id), [c for c, _ in learned], [s for _, s in learned])
+        return drawn(parents.withColumn("__u", u), "__u", learned, "children", "int").drop("__u")
     else:
         raise ValueError(f"unknown cardinality {kind}")
     return parents.withColumn("children", n.cast("int"))
@@ -355,10 +391,12 @@ def exploded(parents: DataFrame, parent_id: str, fk: str, line: str = "line") ->
 
 
 def other_reference(children: DataFrame, row_id: str, n_parents: int, seed: int, stream: str, null_rate: float = 0.0) -> Column:
-    """A second foreign key with popular parents: squares of uniforms favour small numbers, shuffled by a multiplication."""
+    """A second foreign key with popular parents: squares of uniforms favour small numbers, shuffled by a
+    multiplication with a number that has no common divisor with ``n_parents``, so that all parents are reached."""
+    factor = next(f for f in count(7919) if gcd(f, n_parents) == 1)
     u = hashing.uniform(seed, f"fk/{stream}", F.col(row_id))
     rank = F.floor(u * u * n_parents)
-    key = F.pmod(rank * 7919 + 13, F.lit(n_parents)) + 1
+    key = F.pmod(rank * factor + 13, F.lit(n_parents)) + 1
     none = hashing.uniform(seed, f"fk-null/{stream}", F.col(row_id)) < null_rate
     return F.when(~none, key.cast("long"))
 
@@ -396,10 +434,9 @@ def relational(spark: SparkSession, tables: dict[str, DataFrame], graph: Graph,
         plain = [c for c in df.columns if c not in keys]
         if ups:
             driver = max(ups, key=lambda k: real[k.parent])
-            seen = children(df, tables[driver.parent], driver).groupBy("children").count().orderBy("children").limit(10_000).collect()
-            total = sum(r["count"] for r in seen)
+            seen = children(df, tables[driver.parent], driver).groupBy(F.col("children").alias("v")).agg(F.count(F.lit(1)).alias("n"))
             parents = out[driver.parent].select(F.col(driver.parent_columns[0]).alias("__p"))
-            counted = child_counts(parents, "__p", "learned", seed, name, learned=[(r["children"], r["count"] / total) for r in seen])
+            counted = child_counts(parents, "__p", "learned", seed, name, learned=shares_table(seen))
             # ids follow the running sum of the counts, which is taken in ranges and not in one task
             order = F.col("__p").cast("double") if dict(counted.dtypes)["__p"] != "string" else F.xxhash64("__p").cast("double")
             placed = stats.cumulative(counted.withColumn("__o", order), "__o", {"__before": "children"}, strict=True).where("children > 0")

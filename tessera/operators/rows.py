@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing
+from tessera.operators.stats import kth_smallest
 
 
 def repeats(df: DataFrame, keys: list[str], order: list[str], keep: str = "first") -> DataFrame:
@@ -40,18 +41,22 @@ def first_last(df: DataFrame, account: str, seq: str, value: str) -> DataFrame:
 
 
 def flag_top(df: DataFrame, score: Column, rate: float, row_id: str, name: str = "flag") -> DataFrame:
-    """Exactly round(rate * n) rows flagged, highest scores first, ties by id.
+    """Exactly round(rate * n) rows flagged, highest scores first, nulls last, ties by ``row_id``, a distinct number.
 
-    A top-k gives the last score that counts; the flag is then a comparison, so no row moves.
+    The last score that counts is found by narrowing ranges; the flag is then a comparison, so no row moves.
     """
-    k = int(rate * df.count() + 0.5)
+    n, scores = df.agg(F.count(F.lit(1)), F.count(score)).first()
+    k = int(rate * n + 0.5)
     scored = df.withColumn("__s", score)
     if k == 0:
         return scored.withColumn(name, F.lit(False)).drop("__s")
-    edge = scored.select("__s", row_id).orderBy(F.desc_nulls_last("__s"), row_id).limit(k).agg(F.min_by(F.struct("__s", row_id), F.struct(F.col("__s"), -F.col(row_id).cast("long"))).alias("e")).first()["e"]
-    after = F.col("__s") > F.lit(edge["__s"])
-    tie = (F.col("__s") == F.lit(edge["__s"])) & (F.col(row_id) <= F.lit(edge[row_id]))
-    return scored.withColumn(name, F.coalesce(after | tie, F.lit(False))).drop("__s")
+    if k <= scores:
+        least, better = kth_smallest(scored.select((-F.col("__s").cast("double")).alias("__s")), "__s", k)
+        above, tied = F.col("__s").cast("double") > F.lit(-least), F.col("__s").cast("double") == F.lit(-least)
+    else:
+        better, above, tied = scores, F.col("__s").isNotNull(), F.col("__s").isNull()
+    last, _ = kth_smallest(scored.where(tied).select(row_id), row_id, k - better)
+    return scored.withColumn(name, F.coalesce(above, F.lit(False)) | F.coalesce(tied & (F.col(row_id) <= F.lit(last)), F.lit(False))).drop("__s")
 
 
 def spread_sample(df: DataFrame, order: str, k: int) -> DataFrame:
@@ -100,16 +105,29 @@ def select_only(spark, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def pairs_of_entities(records: DataFrame, entity: str, record: str, name: str) -> DataFrame:
+def pairs_of_entities(records: DataFrame, entity: str, record: str, name: str, n_negative: int = 0, seed: int = 0) -> DataFrame:
     """a, b, label: pairs of records of one entity (1), and of one name but different entities (0).
 
-    Both are equi-joins on their key; groups are entities and names, which are small by construction.
+    Both are equi-joins on their key and return every pair, so entities and names should be small groups.
+    ``n_negative`` more pairs of different entities and names are drawn by hash: the records, dealt in a random
+    order, are paired with the next one in it.
     """
     a = records.select(F.col(entity).alias("e1"), F.col(record).alias("a"), F.lower(F.trim(name)).alias("n1"))
     b = records.select(F.col(entity).alias("e2"), F.col(record).alias("b"), F.lower(F.trim(name)).alias("n2"))
     same = a.join(b, (F.col("e1") == F.col("e2")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1).alias("label"))
     alike = a.join(b, (F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")) & (F.col("e1") != F.col("e2"))).select("a", "b", F.lit(0).alias("label"))
-    return same.unionByName(alike)
+    found = same.unionByName(alike)
+    if n_negative <= 0:
+        return found
+    # a random order, cut into ranges of the hash; each record meets its next one in its range
+    u = hashing.uniform(seed, "negatives", F.col("a"))
+    ranges = max(1, records.count() // 1_000)
+    order = Window.partitionBy(F.floor(u * ranges)).orderBy(u, "a")
+    follow = a.select("a", "e1", "n1", *[F.lead(c).over(order).alias(f"{c}_") for c in ("a", "e1", "n1")])
+    far = follow.where("a_ is not null and e1 <> e1_ and not (n1 <=> n1_)").select(F.least("a", "a_").alias("a"), F.greatest("a", "a_").alias("b"))
+    key = F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string"))
+    drawn = hashing.exactly(far.withColumn("__k", key), n_negative, seed, "negatives/pick", "__k")
+    return found.unionByName(drawn.select("a", "b", F.lit(0).alias("label")))
 
 
 def sampled(df: DataFrame, k: int, seed: int, row_id: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tessera.operators.rules import plans
 from tessera.operators.rules.language import Call, Literal, Name
 from tessera.schema import Graph, Table, family
 
-#: Most rounds of oversampling.
+#: Most rounds of oversampling; each draws by the acceptance rate measured so far.
 ROUNDS = 12
 
 
@@ -45,7 +45,7 @@ def with_rules(spark: SparkSession, model: generate.Copula, n: int, rules: list[
 
     ``repair`` rewrites columns; ``reject`` oversamples by the measured acceptance and keeps what fits;
     ``hybrid`` repairs first and then rejects what is still broken. Row ids run on over the rounds, so the
-    result depends on the seed alone.
+    result depends on the seed alone. Raises if the rounds do not bring enough rows.
     """
     if mode not in {"repair", "reject", "hybrid"}:
         raise ValueError(f"unknown mode {mode}")
@@ -73,7 +73,14 @@ def with_rules(spark: SparkSession, model: generate.Copula, n: int, rules: list[
         rate = have / sampled
         if have >= n:
             break
-    out = reduce(DataFrame.unionByName, parts).orderBy("__id").limit(n)
+    if have < n:
+        raise ValueError(f"only {have} of {n} rows keep the rules after {sampled} samples")
+    out = reduce(DataFrame.unionByName, parts)
+    if n:
+        last, _ = stats.kth_smallest(out, "__id", n)
+        out = out.where(F.col("__id") <= F.lit(last))
+    else:
+        out = out.limit(0)
     return out, {"mode": mode, "rounds": k + 1, "sampled": sampled, "kept": min(have, n)}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import inference, integrity, stats
 from tessera.schema import Graph, family
+from tessera.session import checkpoints
 
 #: Weights of the scores.
 FIDELITY = {"columns": 0.40, "correlation": 0.25, "tstr": 0.20, "relational": 0.15}
@@ -83,14 +84,15 @@ def encoded(df: DataFrame, model: dict) -> Column:
 def encoder(df: DataFrame, most_levels: int = 20) -> dict:
     """What ``encoded`` needs: medians, deviations and levels of ``df``."""
     numbers = [c for c, t in df.dtypes if family(t) in {"int", "float"}]
-    row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(numbers)], *[F.stddev_pop(F.col(f"`{c}`").cast("double")).alias(f"s{i}") for i, c in enumerate(numbers)]).first() if numbers else None
+    middles = {c: (stats.quantiles(df, c, 3) or [0.0] * 3)[1] for c in numbers}
+    row = df.agg(*[F.stddev_pop(F.col(f"`{c}`").cast("double")).alias(f"s{i}") for i, c in enumerate(numbers)]).first() if numbers else None
     levels = []
     for c, t in df.dtypes:
         if family(t) in {"str", "bool"}:
             found = [r[0] for r in df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string")).count().orderBy(F.desc("count")).limit(most_levels + 1).collect()]
             if 1 < len(found) <= most_levels:
                 levels.append((c, sorted(found)))
-    return {"numbers": [(c, row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(numbers)], "levels": levels}
+    return {"numbers": [(c, middles[c], row[f"s{i}"] or 1.0) for i, c in enumerate(numbers)], "levels": levels}
 
 
 def copied(train: DataFrame, synthetic: DataFrame) -> float | None:
@@ -107,13 +109,15 @@ def copied(train: DataFrame, synthetic: DataFrame) -> float | None:
 
 def privacy(train: DataFrame, synthetic: DataFrame, holdout: DataFrame, row_id: str = "__id") -> dict:
     """Distances to the closest training row, exact copies, and a membership attack, all over all rows."""
+    checkpoints(train.sparkSession)
     model = encoder(train.drop(row_id))
     vec = lambda df, base: df.select((F.col(row_id).cast("long") + base).alias("id"), encoded(df, model).alias("v"))
     whole, synth = vec(train, 0), vec(synthetic, 1 << 40)
     made = stats.nearest(synth, whole, "id", "v")
     held = stats.nearest(vec(holdout, 1 << 41), whole, "id", "v")
-    a = made.agg(F.percentile("distance", F.lit(0.5)).alias("m")).first()
-    b = held.agg(F.percentile("distance", F.lit(0.5)).alias("m")).first()
+    # each search is used more than once: kept in the shared folder, not worked again
+    made, held = made.checkpoint(), held.checkpoint()
+    a, b = ({"m": (stats.quantiles(d, "distance", 3) or [0.0, None, 0.0])[1]} for d in (made, held))
     # membership: are training rows closer to the synthetic ones than held-out rows are?
     inside = stats.nearest(whole, synth, "id", "v").withColumn("y", F.lit(1))
     outside = stats.nearest(vec(holdout, 1 << 41), synth, "id", "v").withColumn("y", F.lit(0))
@@ -131,7 +135,8 @@ def edge_coverage(real: DataFrame, synthetic: DataFrame, rare: float = 0.05, mos
         v = F.col(f"`{c}`")
         if family(t) in {"int", "float"}:
             d = v.cast("double")
-            q = real.agg(F.percentile(d, F.array(F.lit(0.01), F.lit(0.99))).alias("q")).first()["q"] or [0.0, 0.0]
+            grid = stats.quantiles(real, c, 101) or [0.0] * 101
+            q = [grid[1], grid[99]]
             checks = [F.count_if(d <= q[0]), F.count_if(d >= q[1]), F.count_if(d == 0), F.count_if(d < 0), F.count_if(v.isNull())]
             names = ["low_tail", "high_tail", "zero", "negative", "null"]
         else:

@@ -30,14 +30,83 @@ def cumulative(df: DataFrame, order: str, sums: dict[str, str], buckets: int | N
     return inside.join(F.broadcast(offsets), "__b").select(*df.columns, *[(F.col(f"__r_{new}") + F.col(f"__o_{new}")).alias(new) for new in sums])
 
 
+def even_quantiles(df: DataFrame, column: str, steps: int) -> DataFrame:
+    """i, value: the exact linear quantile at i / ``steps``, for i from 0 to ``steps``; no rows without values.
+
+    Values are counted, and of the running counts, which are taken in ranges, the ranks that a quantile
+    lies between are picked: no task holds all values.
+    """
+    counts = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    n = counts.agg(F.sum("c")).first()[0] or 0
+    if not n:
+        return df.sparkSession.createDataFrame([], "i long, value double")
+    if n == 1:
+        return counts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))).alias("i"), F.col("v").alias("value"))
+    # quantile i lies at place i * last / steps, between its floor and its ceiling; a value holds the places
+    # from ``before`` to ``before + c - 1``, which gives the quantiles it is the lower or the upper end of
+    last = n - 1
+    run = cumulative(counts, "v", {"before": "c"}, strict=True)
+    places = run.selectExpr(
+        "v",
+        f"(before * {steps} + {last - 1}) div {last} AS low_first",
+        f"((before + c) * {steps} + {last - 1}) div {last} - 1 AS low_last",
+        f"CASE WHEN before = 0 THEN 0 ELSE ((before - 1) * {steps}) div {last} + 1 END AS high_first",
+        f"((before + c - 1) * {steps}) div {last} AS high_last",
+    )
+
+    def ends(side: str) -> DataFrame:
+        first, final = F.col(f"{side}_first").cast("long"), F.least(F.col(f"{side}_last"), F.lit(steps)).cast("long")
+        return places.where(first <= final).select(F.explode(F.sequence(first, final)).alias("i"), F.lit(side).alias("side"), "v")
+
+    both = ends("low").unionByName(ends("high")).groupBy("i").agg(F.max(F.when(F.col("side") == "low", F.col("v"))).alias("a"), F.max(F.when(F.col("side") == "high", F.col("v"))).alias("b"))
+    part = F.pmod(F.col("i") * F.lit(last), F.lit(steps)) / F.lit(float(steps))
+    return both.select("i", F.when(part == 0, F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b")).alias("value"))
+
+
+def kth_smallest(df: DataFrame, column: str, k: int, few: int = 50_000) -> tuple[float, int]:
+    """(the ``k``-th smallest value of a numeric column, from 1; the number of smaller ones); nulls are left out.
+
+    Approximate quantiles narrow the range that holds it until ``few`` rows or one value are left; only
+    those are sorted.
+    """
+    v = F.col(f"`{column}`")
+    left = df.where(v.isNotNull()).select(v.alias("v"))
+    below = 0
+    while True:
+        row = left.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).first()
+        rank = k - below
+        if not 1 <= rank <= row["n"]:
+            raise ValueError(f"there is no value number {k}")
+        if row["a"] == row["b"]:
+            return row["a"], below
+        if row["n"] <= few:
+            last = left.orderBy("v").limit(rank).agg(F.max("v")).first()[0]
+            return last, below + left.where(F.col("v") < F.lit(last)).count()
+        share = rank / row["n"]
+        low, high = left.approxQuantile("v", [max(0.0, share - 0.01), min(1.0, share + 0.01)], 0.004)
+        counts = left.agg(F.count_if(F.col("v") < F.lit(low)).alias("under"), F.count_if(F.col("v") <= F.lit(high)).alias("upto")).first()
+        if counts["under"] < rank <= counts["upto"] and (low > row["a"] or high < row["b"]):
+            left, below = left.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high))), below + counts["under"]
+        elif row["n"] > few and low == row["a"] and high == row["b"]:  # a range of very few values: take the middle apart
+            at = left.where(F.col("v") == F.lit(row["a"])).count()
+            if rank <= at:
+                return row["a"], below
+            left, below = left.where(F.col("v") > F.lit(row["a"])), below + at
+        else:
+            raise RuntimeError("the approximate quantiles miss their error bound")
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, min, q1, median, q3, max, mean, std (population) for numeric columns, in one pass."""
-    aggs = []
+    """column, n, min, q1, median, q3, max, mean, std (population) for numeric columns."""
+    aggs, quarters = [], None
     for c in columns:
         v = F.col(f"`{c}`").cast("double")
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.min(v).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")))
-    return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")))
+        q = even_quantiles(df, c, 4).where("i between 1 and 3").select(F.lit(c).alias("column"), "i", "value")
+        quarters = q if quarters is None else quarters.unionByName(q)
+    wide = quarters.groupBy("column").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(("q1", "median", "q3"), 1)])
+    rows = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+    return rows.join(wide, "column", "left").select("column", "n", "min", "q1", "median", "q3", "max", "mean", "std")
 
 
 def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -50,16 +119,14 @@ def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def quantile_grid(df: DataFrame, column: str, points: int = 101) -> DataFrame:
     """p, value: exact linear quantiles on an even grid of at most 1000 points."""
-    points = min(points, 1000)
-    probes = [i / (points - 1) for i in range(points)]
-    grid = F.percentile(F.col(f"`{column}`").cast("double"), F.array(*[F.lit(p) for p in probes]))
-    return df.agg(F.arrays_zip(F.array(*[F.lit(p) for p in probes]).alias("p"), grid.alias("value")).alias("z")).select(F.inline("z")).toDF("p", "value")
+    steps = min(points, 1000) - 1
+    return even_quantiles(df, column, steps).select((F.col("i") / steps).alias("p"), "value")
 
 
-def quantiles(df: DataFrame, column: str, points: int) -> list[float]:
-    """The grid on the driver; at most 1000 numbers."""
-    probes = [i / (points - 1) for i in range(points)]
-    return df.agg(F.percentile(F.col(f"`{column}`").cast("double"), F.array(*[F.lit(p) for p in probes]))).first()[0]
+def quantiles(df: DataFrame, column: str, points: int) -> list[float] | None:
+    """The grid on the driver; at most 1000 numbers. None without values."""
+    found = {r["i"]: r["value"] for r in even_quantiles(df, column, min(points, 1000) - 1).collect()}
+    return [found[i] for i in range(len(found))] or None
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:
@@ -254,10 +321,10 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, block
             d = (own**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * own @ part.T
             same = own_ids[:, None] == part_ids[None, :]
             d[same] = np.inf
-            at = d.argmin(1)
-            # the product picks the row, its distance is that of the differences
-            exact = ((own - part[at]) ** 2).sum(1)
-            best = np.minimum(best, np.where(same[np.arange(len(at)), at], np.inf, exact))
+            # the product only rules rows out: all that may be nearest within its rounding are measured by differences
+            scale = (own**2).sum(1) + (part**2).sum(1).max(initial=0)
+            a, b = np.nonzero((d <= (d.min(1) + 1e-13 * (own.shape[1] + 4) * scale)[:, None]) & ~same)
+            np.minimum.at(best, a, ((own[a] - part[b]) ** 2).sum(1))
         keep = np.isfinite(best)
         return pa.table({"id": pa.array(own_ids[keep], pa.int64()), "d2": pa.array(best[keep], pa.float64())})
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.language import requests
 from tessera.operators import integrity, repair, semantics
 from tessera.operators.rules import plain, plans
+from tessera.session import checkpoints
 from tessera.sources import datasets, sinks, suites
 from tessera.sources.tables import read, tpc, tpc_graph
 from tessera.streaming import events
@@ -84,8 +85,7 @@ def shop_integrity(spark, sf_dir):
 
 @query("shop_enforced", "SELECT CAST(0 AS BIGINT) AS violations")
 def shop_enforced(spark, sf_dir):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints")
+    checkpoints(spark)
     t, g = datasets.shop(spark, 200, 3, True), datasets.shop_graph(True)
     broken = t | {"orders": t["orders"].withColumn("total", F.col("total") + 1).withColumn("discount", F.col("discount") + 0.25)}
     fixed, report = repair.enforce(broken, g, datasets.SHOP_RULES, {"customers": "customer_id", "products": "product_id", "orders": "order_id", "order_items": "item_id", "shipments": "shipment_id"}, seed=1)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import checksums, hashing
 from tessera.functions.normal import phi_inverse
-from tessera.operators import generate, repair, rows
+from tessera.operators import claims, generate, repair, rows
 from tessera.operators.rules import plans
+from tessera.schema import Graph
 from tessera.sources.tables import read, tpc, tpc_graph
 
 from .registry import query
@@ -325,3 +326,18 @@ def check_round_trip(spark, sf_dir):
         part = read(spark, sf_dir, "customer").agg(F.lit(a).alias("algorithm"), F.count(F.lit(1)).alias("n"), F.count_if(checksums.valid(a, full)).alias("valid"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("claims_held", """
+SELECT 0 AS claim, count(*) FILTER (WHERE n IS NOT NULL) = count(*) AS accepted, round(count(*) FILTER (WHERE n IS NOT NULL) / count(*), 6) AS share FROM (SELECT c_custkey AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+UNION ALL SELECT 1, bool_and(o_totalprice <= 300000), round(avg(CAST(o_totalprice <= 300000 AS DOUBLE)), 6) FROM orders
+UNION ALL SELECT 2, bool_and(regexp_matches(c_name, '^-?[0-9.]+$')), round(avg(CAST(regexp_matches(c_name, '^-?[0-9.]+$') AS DOUBLE)), 6) FROM customer
+""")
+def claims_held(spark, sf_dir):
+    wanted = [
+        {"kind": "reference", "child": "orders", "columns": ["o_custkey"], "parent": "customer", "parent_columns": ["c_custkey"]},
+        {"kind": "constraint", "table": "orders", "type": "range", "column": "o_totalprice", "max": 300_000},
+        {"kind": "type", "table": "customer", "column": "c_name", "type": "number"},
+    ]
+    _, verdicts = claims.held({t: read(spark, sf_dir, t) for t in ("orders", "customer")}, Graph(), wanted)
+    return spark.createDataFrame([(i, v["accepted"], round(v["share"], 6)) for i, v in enumerate(verdicts)], "claim int, accepted boolean, share double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import generate, sampling
+from tessera.session import checkpoints
 from tessera.sources.tables import read, tpc, tpc_graph
 
 from .registry import query
@@ -19,8 +20,7 @@ def accepted_rows(spark, sf_dir):
 
 def _sampled(mode: str):
     def fn(spark, sf_dir):
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints")
+        checkpoints(spark)
         model = generate.fit(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"])
         made, _ = sampling.with_rules(spark, model, 1_000, RULES, mode, seed=4)
         return made.agg(F.count(F.lit(1)).alias("rows"), F.count_if((F.col("l_discount") > 0.05) | (F.col("l_quantity") < 10)).alias("broken"))
@@ -34,8 +34,7 @@ for _mode in ("reject", "hybrid"):
 
 @query("naive_or_enforced")
 def naive_or_enforced(spark, sf_dir):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints")
+    checkpoints(spark)
     lines = read(spark, sf_dir, "lineitem")
     return sampling.compare(spark, generate.fit(lines, ["l_quantity", "l_discount"]), lines, 1_000, RULES, seed=4)
 

@@ -33,10 +33,10 @@ query("quantile_grid", ORACLE_GRID)(quantile_grid)
 
 @query("iqr_bounds", "SELECT round(q[1] - 1.5 * (q[2] - q[1]), 6) AS low, round(q[2] + 1.5 * (q[2] - q[1]), 6) AS high FROM (SELECT quantile_cont(o_totalprice, [0.25, 0.75]) AS q FROM orders)")
 def iqr_bounds(spark, sf_dir):
-    q = F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.75)))
-    made = read(spark, sf_dir, "orders").agg(q.alias("q"))
-    spread = F.col("q")[1] - F.col("q")[0]
-    return made.select(F.round(F.col("q")[0] - 1.5 * spread, 6).alias("low"), F.round(F.col("q")[1] + 1.5 * spread, 6).alias("high"))
+    quarters = stats.even_quantiles(read(spark, sf_dir, "orders"), "o_totalprice", 4)
+    made = quarters.agg(F.max(F.when(F.col("i") == 1, F.col("value"))).alias("a"), F.max(F.when(F.col("i") == 3, F.col("value"))).alias("b"))
+    spread = F.col("b") - F.col("a")
+    return made.select(F.round(F.col("a") - 1.5 * spread, 6).alias("low"), F.round(F.col("b") + 1.5 * spread, 6).alias("high"))
 
 
 @query("hist_numeric", "SELECT CAST(least(10, greatest(1, floor((l_quantity - 0) / (50 / 10)) + 1)) AS INTEGER) AS bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM lineitem GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SEMANTICS = {
@@ -20,3 +22,17 @@ def session(app: str = "tessera", master: str | None = None, **conf: str) -> Spa
     for key, value in (SEMANTICS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Let checkpoints go to the shared folder that ``spark.checkpoint.dir`` names.
+
+    A local session without one gets a folder of its own; on a cluster, where executors and the driver do not
+    share local disks, that is an error.
+    """
+    if spark.sparkContext.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoints-"))

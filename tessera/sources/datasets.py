@@ -133,6 +133,15 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return promoted(reader.schema(schema).csv(path) if schema else reader.csv(path))
 
 
+def first_rows(spark: SparkSession, path: str, schema: str | None = None, rows: int = 20_000) -> DataFrame:
+    """The first ``rows`` rows of a CSV file, for scores of a large run that need a bounded look only.
+
+    Only the leading part of the file is read: the limit stops the scan.
+    """
+    reader = spark.read.option("header", True)
+    return promoted((reader.schema(schema) if schema else reader).csv(path).limit(rows))
+
+
 def records(spark: SparkSession, rows: list[dict], most: int = 200_000) -> DataFrame:
     """Row objects as a table."""
     if len(rows) > most:

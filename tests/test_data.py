@@ -14,7 +14,7 @@ from tessera import jobs
 from tessera.functions import checksums, formats, hashing
 from tessera.functions.normal import phi, phi_inverse
 from tessera.language import requests
-from tessera.operators import documents, generate, inference, people, scoring, stats
+from tessera.operators import claims, documents, generate, inference, people, rows, sampling, scoring, stats
 from tessera.plans import row_queries
 from tessera.schema import ForeignKey, Graph, Table
 from tessera.sources import datasets, sinks
@@ -164,6 +164,79 @@ def test_quantiles_are_linear(spark, values):
     assert np.allclose(stats.quantiles(df, "v", 5), np.quantile(values, [0, 0.25, 0.5, 0.75, 1]))
 
 
+def test_kth_smallest_narrows_to_the_value(spark):
+    r = random.Random(4)
+    values = [r.choice([1.0, 2.0, r.gauss(0, 1)]) for _ in range(3_000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    ranked = sorted(values)
+    for k in (1, 700, 1_500, 2_999, 3_000):
+        value, below = stats.kth_smallest(df, "v", k, few=50)
+        assert value == ranked[k - 1] and below == sum(v < value for v in values)
+    with pytest.raises(ValueError):
+        stats.kth_smallest(df, "v", 3_001)
+
+
+def test_exactly_is_the_smallest_hashes(spark):
+    df = spark.range(5_000)
+    hashes = {x.id: x.u for x in df.select("id", hashing.uniform(2, "s", F.col("id")).alias("u")).collect()}
+    want = sorted(hashes, key=hashes.get)
+    for k in (0, 1, 777, 5_000, 9_000):
+        found = {x.id for x in hashing.exactly(df, k, 2, "s", "id", few=3).collect()}
+        assert found == set(want[:k])
+
+
+def test_flags_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else float(i % 2)) for i in range(30)], "id long, s double")
+    for rate in (0.2, 0.5, 0.8, 1.0):
+        flagged = {x.id for x in rows.flag_top(df, F.col("s"), rate, "id").where("flag").collect()}
+        order = sorted(range(30), key=lambda i: (i % 3 == 0, -(i % 2) if i % 3 else 0, i))
+        assert flagged == set(order[: int(rate * 30 + 0.5)])
+
+
+def test_rare_categories_are_kept(spark, monkeypatch):
+    """More values than are held on the driver: all of them are drawn, by their shares."""
+    monkeypatch.setattr(generate, "FEW", 20)
+    df = spark.range(4_000).select(F.when(F.col("id") < 2_000, "often").otherwise(F.concat(F.lit("v"), (F.col("id") % 40).cast("string"))).alias("c"), (F.col("id") % 97).cast("double").alias("x"))
+    model = generate.fit(df)
+    assert model.profiles[0].table is not None
+    counts = {r.c: r["count"] for r in generate.sample(spark, model, 8_000, 3).groupBy("c").count().collect()}
+    assert len(counts) == 41 and sum(counts.values()) == 8_000 and abs(counts["often"] - 4_000) < 300
+    given = generate.sample_given(model, spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 97).cast("double").alias("x")), "k", ["x"])
+    assert given.where("c is null").count() == 0 and given.count() == 500
+
+
+def test_every_parent_is_within_reach(spark):
+    """Also where the number of parents is a multiple of the usual factor."""
+    keys = spark.range(60_000).select(generate.other_reference(None, "id", 7_919, 1, "x").alias("k"))
+    assert keys.distinct().count() > 7_000
+
+
+def test_unreachable_samples_raise(spark):
+    model = generate.from_spec([{"name": "x", "min": 0.0, "max": 1.0}])
+    with pytest.raises(ValueError, match="of 50 rows"):
+        sampling.with_rules(spark, model, 50, ["x > 2"], "reject", seed=1)
+
+
+def test_random_negatives(spark):
+    df = spark.range(3_000).select(F.col("id"), (F.col("id") % 1_000).alias("e"), F.concat(F.lit("n"), (F.col("id") % 1_000).cast("string")).alias("n"))
+    found = rows.pairs_of_entities(df, "e", "id", "n", n_negative=500, seed=2).collect()
+    none = [x for x in found if not x.label]
+    assert len(none) == 500 and len(found) == 3_500 and all(x.a % 1_000 != x.b % 1_000 for x in none) and len({(x.a, x.b) for x in none}) == 500
+
+
+def test_claims_are_held_against_the_data(spark):
+    t = {"a": spark.createDataFrame([(1, "x@y.org", "03/02/2024"), (2, "u@v.com", "28/02/2024"), (3, None, None)], "id int, mail string, day string"), "b": spark.createDataFrame([(1,), (2,), (2,), (9,), (None,)], "a_id int")}
+    said = [
+        {"kind": "type", "table": "a", "column": "mail", "type": "email"}, {"kind": "type", "table": "a", "column": "day", "type": "date", "format": "dd/MM/yyyy"},
+        {"kind": "type", "table": "a", "column": "day", "type": "number"}, {"kind": "type", "table": "a", "column": "nothing", "type": "email"},
+        {"kind": "reference", "child": "b", "columns": ["a_id"], "parent": "a", "parent_columns": ["id"]}, {"kind": "constraint", "table": "a", "type": "not_null", "column": "id"}, {"kind": "x"},
+    ]
+    graph, found = claims.held(t, Graph(), said)
+    assert [v["accepted"] for v in found] == [True, True, False, False, False, True, False] and found[4]["share"] == 0.75 and not graph.keys
+    graph, found = claims.held(t | {"b": t["b"].where("a_id < 9")}, Graph(), said)
+    assert found[4]["accepted"] and [k.name for k in graph.keys] == ["b(a_id)->a(id)"]
+
+
 def test_known_check_digits(spark):
     row = spark.range(1).select(checksums.valid("luhn", F.lit("4539 1488 0343 6467")).alias("a"), checksums.valid("luhn", F.lit("8273123273520569")).alias("b"), checksums.valid("verhoeff", F.lit("2363")).alias("c"), checksums.valid("verhoeff", F.lit("2364")).alias("d"), checksums.valid("dni", F.lit("12345678Z")).alias("e"), checksums.valid("iso7064", F.lit("11010519491231002X")).alias("f"), checksums.valid("iso7064", F.lit("110105194912310021")).alias("g")).first()
     assert tuple(row) == (True, False, True, False, True, True, False)
@@ -193,6 +266,8 @@ def test_requests_and_edits():
     assert (found.config.rows, found.config.flag_rate, found.config.months, list(found.config.locales)) == (50_000, 0.02, 12, ["es-ES"])
     ops, questions = requests.interpret("double the vip segment; outliers 1%", found.config)
     assert ops == [{"op": "scale_segment", "segment": "vip", "factor": 2.0}] and len(questions) == 1
+    said = {q.kind: q.value for q in requests.quantities("one thousand two hundred and fifty rows, 2.5 %, twenty two months, 3x")}
+    assert said == {"count": 1_250, "share": 2.5, "period": 22, "times": 3}
 
 
 def test_sinks_round_trip(spark, tmp_path):
@@ -202,6 +277,11 @@ def test_sinks_round_trip(spark, tmp_path):
 
     assert list(csv.reader(open(done.path, newline=""))) == [["id", "s", "v"], ["1", 'a,"b"', ""], ["2", "x\ny", "1.5"]]
     assert json.loads("".join(sinks.json_array(df))) == [{"id": 1, "s": 'a,"b"', "v": None}, {"id": 2, "s": "x\ny", "v": 1.5}]
+    both = json.loads("".join(sinks.exporter("json")({"a": df, "empty": df.limit(0)}, None)))
+    assert both["empty"] == [] and [r["id"] for r in both["a"]] == [1, 2]
+    (tmp_path / "rows.csv").write_text("n,t\n" + "".join(f"{i},2024-01-0{1 + i % 9}\n" for i in range(500)))
+    first = datasets.first_rows(spark, str(tmp_path / "rows.csv"), rows=100)
+    assert first.count() == 100 and dict(first.dtypes)["t"] == "timestamp_ntz"
     gz = [sinks.merged(sinks.json_lines(df), str(tmp_path / f"{i}.gz"), compress=True).sha256 for i in range(2)]
     assert gz[0] == gz[1]
 
@@ -238,6 +318,8 @@ def test_jobs_reproduce(spark, tmp_path):
     assert jobs.submit(spark, store, "dataset", {"name": "nothing"})["state"] == "failed"
     with pytest.raises(ValueError):
         store.path(first["id"], "../../x")
+    kept = jobs.saved(spark, store, "dataset", {"name": "customers", "rows": 5, "seed": 1}, lambda: {"rows": 5})
+    assert kept["result"] == {"rows": 5} and jobs.rerun(spark, store, kept["id"])["state"] == "done"
 
 
 def test_streams_agree_with_batches(spark, tmp_path):

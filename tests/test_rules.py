@@ -62,6 +62,9 @@ def test_plain_sentences():
     assert plain.translate("The ship date must be after the order date", columns) == "ship_date > order_date"
     assert plain.translate("if status is 'shipped' then ship date is required", columns) == "status = 'shipped' => ship_date is not null"
     assert plain.translate("status must be one of placed, shipped or returned", columns) == "status in ('placed', 'shipped', 'returned')"
+    assert plain.translate("ship_date is on or after order date and status cannot be empty", columns) == "ship_date >= order_date and status is not null"
+    assert plain.translate("discount must not exceed 5", columns) == "discount <= 5" and plain.translate("discount is no more than 3.", columns) == "discount <= 3"
+    assert plain.translate("the ship date is not before the order date", columns) == "ship_date >= order_date"
     assert plain.to_rule("discount < 1", columns) == ("discount < 1", False)
     with pytest.raises(language.RuleError):
         plain.translate("status is shipped", columns)
