@@ -30,10 +30,15 @@ CHUNK_BYTES = 2 << 20
 NULL_ID = -(1 << 63)
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """(chunk long, bytes long, rows binary): ``docs`` (doc_id long, text string, more columns) in chunks.
+#: Bytes of text for each partition of an exchange, about.
+PART_BYTES = 256 << 20
 
-    ``rows`` is an Arrow stream of the documents in ascending doc_id order, nulls first.
+
+def pack(docs: DataFrame, prepare: Callable[[list[bytes]], bytes] | None = None) -> DataFrame:
+    """(chunk long, bytes long, rows binary, more binary): ``docs`` (doc_id long, text string, more columns) in chunks.
+
+    ``rows`` is an Arrow stream of the documents in ascending doc_id order, nulls first. ``more`` is what
+    ``prepare`` makes of their texts, for passes that need no text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +53,8 @@ def pack(docs: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
-            row = pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "bytes", "rows"])
+            more = prepare(texts_of(table)) if prepare else None
+            row = pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([more], pa.binary())], names=["chunk", "bytes", "rows", "more"])
             held, size, seq = [], 0, seq + 1
             return row
 
@@ -70,18 +76,33 @@ def pack(docs: DataFrame) -> DataFrame:
         if held:
             yield chunk()
 
-    return written(docs.mapInArrow(worker("chunks", run), "chunk long, bytes long, rows binary"), "chunks")
+    return written(docs.mapInArrow(worker("chunks", run), "chunk long, bytes long, rows binary, more binary"), "chunks")
+
+
+def parts_of(packed: DataFrame) -> int:
+    """Partitions for an exchange between chunks: by the bytes of text, the session's number at least.
+
+    A part then holds what so many bytes of text send, at any size of the table; and a chunk sends a
+    block to a part only where it has entries for it, so blocks never outnumber entries.
+    """
+    size = packed.agg(F.sum("bytes")).first()[0] or 0
+    return max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
+def texts_of(table: pa.Table) -> list[bytes]:
+    return [b"" if t is None else t.encode() for t in table.column("text").to_pylist()]
 
 
 class Chunk:
-    """The documents of one packed row."""
+    """The documents of one packed row, and what was prepared of them."""
 
-    def __init__(self, name: int, rows: bytes):
+    def __init__(self, name: int, rows: bytes, more: bytes | None = None):
         self.name = name
+        self.more = more
         self.table = pa.ipc.open_stream(rows).read_all()
         ids = self.table.column("doc_id").combine_chunks()
         self.doc_ids = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.texts = [b"" if t is None else t.encode() for t in self.table.column("text").to_pylist()]
+        self.texts = texts_of(self.table)
         #: All texts, a blank after each; and where each begins.
         self.blob = b" ".join([*self.texts, b""])
         self.starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in self.texts])]).astype(np.int64)
@@ -92,13 +113,24 @@ def each(chunks: DataFrame, fn: Callable[[Chunk], Iterator[pa.RecordBatch]], sch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, rows = batch.column("chunk"), batch.column("rows")
+            names, rows, more = batch.column("chunk"), batch.column("rows"), batch.column("more")
             for i in range(batch.num_rows):
-                yield from fn(Chunk(names[i].as_py(), rows[i].as_py()))
+                yield from fn(Chunk(names[i].as_py(), rows[i].as_py(), more[i].as_py()))
 
     return chunks.mapInArrow(worker("chunks", run), schema)
 
 
+def each_prepared(chunks: DataFrame, fn: Callable[[int, bytes], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Apply ``fn`` to every chunk's name and what was prepared of it; texts are not read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from fn(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+
+    return chunks.select("chunk", "more").mapInArrow(worker("chunks", run), schema)
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """Numbers as byte planes under zstandard."""
     zstd = zstandard.ZstdCompressor(level=1)
@@ -162,8 +194,9 @@ def by_key(answer: Callable[..., np.ndarray]) -> Callable[[list[int], list[int],
     return meet
 
 
-def answered(sent: DataFrame, parts: int, meeting: Callable[[list[int], list[int], list[tuple[bytes, ...]]], np.ndarray], label: str) -> tuple[str, int]:
-    """Let the blocks of each part meet; returns the folder with one file of answers per chunk, and the largest answer.
+def answered(sent: DataFrame, parts: int, meeting: Callable[[list[int], list[int], list[tuple[bytes, ...]]], np.ndarray], label: str, every_bit: bool = False) -> tuple[str, int]:
+    """Let the blocks of each part meet; returns the folder with one file of answers per chunk, and the largest answer
+    (with ``every_bit``, the bits that any answer has).
 
     ``meeting(chunks, counts, data)`` gets the blocks of one part, in any order, and returns one
     number from 0 to 255 for each of the entries that the blocks count, in the blocks' order.
@@ -196,7 +229,7 @@ def answered(sent: DataFrame, parts: int, meeting: Callable[[list[int], list[int
                 out.write(raw)
             fs.move(own, f"{base}/{name}")
             done.append(name)
-            top.append(max(raw))
+            top.append(int(np.bitwise_or.reduce(np.frombuffer(raw, np.uint8))) if every_bit else max(raw))
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -211,7 +244,7 @@ def answered(sent: DataFrame, parts: int, meeting: Callable[[list[int], list[int
 
     marks = sent.repartitionById(parts, F.col("part")).mapInArrow(worker("chunks", meet), "chunk long, part int, marks binary")
     saved = marks.repartition(parts, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(worker("chunks", keep), "chunk long, top int")
-    return folder, written(saved, f"{label}-names").agg(F.max("top")).first()[0] or 0
+    return folder, written(saved, f"{label}-names").agg(F.bit_or("top") if every_bit else F.max("top")).first()[0] or 0
 
 
 def answers(folder: str, name: int, count: int) -> np.ndarray:

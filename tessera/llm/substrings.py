@@ -129,12 +129,11 @@ def repeated_words(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     Returns doc_id, n_words, n_removed, kept_sha256; with ``with_text`` also kept_text and every
     other column of ``docs`` (columns of those names are replaced).
     """
-    spark = docs.sparkSession
     own = {"doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept_text"}
     others = [c for c in docs.columns if c not in own | {id_col, text_col}] if with_text else []
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in others])
     packed = ch.pack(source)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = ch.parts_of(packed)
     total = packed.agg(F.sum("bytes")).first()[0] or 1
     lengths = levels(window)
     # short keys at the pruning levels: enough bits that chance repeats are rare at this size

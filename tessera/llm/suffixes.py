@@ -2,17 +2,21 @@
 
 Which strings of ``length`` bytes start in more than one place? Two equal strings agree on every
 sub-string, so on their smallest hashed sub-string of K bytes as well: their anchor, at the same place
-in both. Strings therefore need comparing only under one anchor. Consecutive starts with the same
-anchor are one stretch, and the suffixes to sort are those that begin at anchors:
-
-1. Every chunk sends (anchor hash, stretch hash) once; copies of a whole stretch are found by that
-   128-bit pair, and so are the anchors under which different stretches meet.
-2. Different stretches under one anchor are sent, once each, to the partition of the anchor. There
-   the anchor suffixes are sorted deep-shallow: multikey quicksort to K bytes, then blind tries order
-   the groups that still agree, both to the right of the anchor and, reversed, to its left. Cut at
-   every depth, the two orders tell which strings of ``length`` bytes around the anchor are equal.
-3. An anchor under which very many different stretches meet would be an unbounded group; the strings
-   under it are asked for one by one instead, by 96-bit fingerprints that spread evenly.
+in both. Strings therefore need comparing only under one anchor, and the suffixes to sort are those
+that begin at anchors. Consecutive starts with the same anchor are one stretch.
+
+1. ``pack`` cuts every chunk into stretches, once.
+2. A census counts the stretches of each anchor. An anchor that occurs once holds nothing repeated.
+3. The stretches of all other anchors are sent to the partition of the anchor, equal ones of a chunk
+   once with their number. There the anchor suffixes are sorted deep-shallow: multikey quicksort to
+   the anchor's K bytes, then blind tries order the groups that still agree, both to the right of the
+   anchor and, reversed, to its left. Cut at every depth, the two orders tell which strings of
+   ``length`` bytes around the anchor are equal. What is removed comes from these orders alone: hashes
+   only say where suffixes meet, never that they are equal.
+4. Hot anchors. Where very many different stretches share an anchor, their starts are cut again under
+   anchors of twice the bytes, up to ``length``, where a group holds equal strings only. Where very
+   many chunks share an anchor, they meet in several groups, and one stretch of each kind goes on
+   from every group to the next round. No group is unbounded, and none is left out.
 
 Bytes covered by a repeated string go. Null texts count as empty; matches never cross documents;
 repeated rows are copies of each other; a null doc_id is a document like any other.
@@ -21,6 +25,7 @@ repeated rows are copies of each other; a null doc_id is a document like any oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
@@ -32,12 +37,16 @@ from pyspark.sql import functions as F
 
 from . import chunks as ch
 
-#: Bytes of an anchor, and of the shallow sort.
+#: Bytes of an anchor of the first level.
 K = 96
-#: Most different stretches that are sorted under one anchor.
+#: Most different stretches that are sorted under one anchor; with more, its starts get deeper anchors.
 GROUP = 2048
-#: Answers of the first pass.
-COPIED, CONTESTED, SENDER, HOT = 1, 2, 4, 8
+#: Answers of the census, and above them log2 of the number of groups of a split anchor.
+AGAIN, HOT, GROUPS = 1, 2, 4
+#: Answers of the sort for each start; a survivor is the first stretch of its kind in the group.
+REPEATED, SURVIVOR = 1, 2
+#: Rounds after which the work must be done: levels of anchors, and splits by a factor of eight.
+ROUNDS = 24
 
 
 def anchors(raw: bytes, length: int, k: int = K) -> np.ndarray:
@@ -61,39 +70,91 @@ def anchors(raw: bytes, length: int, k: int = K) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+@dataclass
 class Stretches:
-    """The stretches of a chunk's texts: row, first start, number of starts, anchor place, two hashes."""
-
-    def __init__(self, texts: list[bytes], length: int, k: int = K):
-        digest = xxhash.xxh3_64_intdigest
-        row, first, count, place, anchor, whole = [], [], [], [], [], []
-        for i, raw in enumerate(texts):
-            at = anchors(raw, length, k)
-            if not len(at):
-                continue
-            begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            stop = np.r_[begin[1:], len(at)]
-            row += [i] * len(begin)
-            first += begin.tolist()
-            count += (stop - begin).tolist()
-            place += (places := at[begin].tolist())
-            anchor += [digest(raw[p : p + k]) for p in places]
-            whole += [digest(raw[a : b - 1 + length]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
-        self.row, self.first, self.count, self.place = (np.array(v, np.int64) for v in (row, first, count, place))
-        self.anchor, self.whole = np.array(anchor, np.uint64), np.array(whole, np.uint64)
-        order, firsts, self.group = ch.grouped(self.anchor, self.whole)
-        #: One stretch for each distinct (anchor, whole), sorted by anchor; and how often each occurs here.
-        self.one = order[firsts]
-        self.times = np.bincount(self.group, minlength=len(firsts))
+    """Stretches of a chunk: row, first start, number of starts, anchor place and bytes, and the hashes of both."""
+
+    row: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    place: np.ndarray
+    depth: np.ndarray
+    anchor: np.ndarray
+    whole: np.ndarray
+
+    KINDS = ("<u4", "<u4", "<u4", "<u4", "<u4", "<u8", "<u8")
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.row, self.first, self.count, self.place, self.depth, self.anchor, self.whole
+
+    def take(self, at: np.ndarray) -> Stretches:
+        return Stretches(*(c[at] for c in self.columns()))
+
+    def plus(self, other: Stretches) -> Stretches:
+        return Stretches(*(np.concatenate(p) for p in zip(self.columns(), other.columns(), strict=True)))
+
+    def packed(self) -> bytes:
+        raw = b"".join(np.ascontiguousarray(c.astype(k)).tobytes() for c, k in zip(self.columns(), self.KINDS, strict=True))
+        return len(self.row).to_bytes(4, "little") + zstandard.compress(raw, 1)
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Stretches:
+        n, raw, at, out = int.from_bytes(raw[:4], "little"), zstandard.decompress(raw[4:]), 0, []
+        for k in cls.KINDS:
+            size = n * np.dtype(k).itemsize
+            out.append(np.frombuffer(raw[at : at + size], k).astype(np.uint64 if k == "<u8" else np.int64))
+            at += size
+        return cls(*out)
+
+    def content(self, texts: list[bytes], i: int, length: int) -> bytes:
+        return texts[self.row[i]][self.first[i] : self.first[i] + self.count[i] - 1 + length]
+
+
+def cut(pieces: list[tuple[int, int, bytes]], length: int, depth: int) -> Stretches:
+    """The stretches of ``pieces`` (row, first start, bytes) under anchors of ``depth`` bytes."""
+    digest = xxhash.xxh3_64_intdigest
+    row, first, count, place, anchor, whole = [], [], [], [], [], []
+    for i, base, raw in pieces:
+        at = anchors(raw, length, depth)
+        if not len(at):
+            continue
+        begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        stop = np.r_[begin[1:], len(at)]
+        row += [i] * len(begin)
+        first += (begin + base).tolist()
+        count += (stop - begin).tolist()
+        place += (at[begin] + base).tolist()
+        anchor += [digest(raw[p : p + depth], seed=depth) for p in at[begin].tolist()]
+        whole += [digest(raw[a : b - 1 + length]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+    numbers = [np.array(v, np.int64) for v in (row, first, count, place)]
+    return Stretches(*numbers, np.full(len(row), depth, np.int64), np.array(anchor, np.uint64), np.array(whole, np.uint64))
+
+
+class Kinds:
+    """The stretches of a chunk by (anchor, content): one of each kind in ``one``, in anchor order, and how often it occurs."""
+
+    def __init__(self, s: Stretches):
+        self.order, self.firsts, self.group = ch.grouped(s.anchor, s.whole)
+        self.one = self.order[self.firsts]
+        self.times = np.bincount(self.group, minlength=len(self.firsts))
+
+    def checked(self, s: Stretches, texts: list[bytes], length: int) -> None:
+        """Holds what counts as equal against the bytes."""
+        for g in np.flatnonzero(self.times > 1).tolist():
+            members = self.order[self.firsts[g] : self.firsts[g] + self.times[g]].tolist()
+            if len({s.content(texts, i, length) for i in members}) > 1:
+                raise RuntimeError("two stretches with equal hashes differ")
 
 
 def multikey(words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Order the rows of ``words`` by three-way radix quicksort on one column after another.
 
-    Returns the order and the runs (start, stop) of more than one row that agree in all columns.
+    Returns the order and the runs (start, stop) of more than one row that agree in all columns. Short
+    ranges are finished by comparing whole rows.
     """
     n, depth = words.shape
     order, runs, todo = np.arange(n), [], [(0, n, 0)]
+    swapped = np.ascontiguousarray(words.astype(">u8"))  # bytes compare like the numbers
     while todo:
         a, b, d = todo.pop()
         if b - a < 2:
@@ -102,6 +163,17 @@ def multikey(words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
             runs.append((a, b))
             continue
         rows = order[a:b]
+        if b - a <= 24:
+            keys = [swapped[r].tobytes() for r in rows.tolist()]
+            ranked = sorted(range(b - a), key=keys.__getitem__)
+            order[a:b] = rows[ranked]
+            start = 0
+            for i in range(1, b - a + 1):
+                if i == b - a or keys[ranked[i]] != keys[ranked[start]]:
+                    if i - start > 1:
+                        runs.append((a + start, a + i))
+                    start = i
+            continue
         key = words[rows, d]
         pivot = key[len(key) // 2]
         less, more = key < pivot, key > pivot
@@ -182,6 +254,15 @@ def repeated_in(content: list[bytes], place: list[int], length: int) -> list[np.
     ``place`` is the anchor's place in each stretch.
     """
     m = len(content)
+    if m == 2:  # a trie of two leaves: one common prefix on either side
+        (a, b), (p, q) = content, place
+        right, left = common(a[p:], b[q:]), common(a[:p][::-1], b[:q][::-1])
+        out = []
+        for c, at in ((a, p), (b, q)):
+            offset = at - np.arange(len(c) - length + 1)  # bytes left of the anchor
+            within = np.minimum(p, q) >= offset
+            out.append(within & (offset <= left) & (length - offset <= right))
+        return out
     starts = np.array([len(c) - length + 1 for c in content])
     at = np.array(place)
     low, high = at - starts + 1, at  # bytes left of the anchor, at the last and the first start
@@ -211,15 +292,16 @@ def repeated_in(content: list[bytes], place: list[int], length: int) -> list[np.
     return [found[h - lo - s + 1 : h - lo + 1, i][::-1] for i, (h, s) in enumerate(zip(high.tolist(), starts.tolist(), strict=True))]
 
 
-def _first(names: np.ndarray, anchor: np.ndarray, whole: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Answers to the first pass, as sums of COPIED, CONTESTED, SENDER and HOT."""
-    order, firsts, group = ch.grouped(anchor, whole)
-    total = np.bincount(group, weights=times.astype(np.float64), minlength=len(firsts))
-    sender = np.minimum.reduceat(names[order], firsts)[group] == names
-    kinds = np.bincount(ch.grouped(anchor[order[firsts]])[2])  # different stretches of each anchor
-    of_anchor = kinds[ch.grouped(anchor[order[firsts]])[2]][group]
-    out = COPIED * (total[group] > 1) + CONTESTED * (of_anchor > 1) + SENDER * sender
-    return out + HOT * (of_anchor > GROUP)
+def _census(names: np.ndarray, anchor: np.ndarray, whole: np.ndarray, times: np.ndarray, depth: np.ndarray, group: int, length: int) -> np.ndarray:
+    """For each kind of each chunk: whether its anchor occurs again, is hot, and in how many groups it meets."""
+    order, firsts, of = ch.grouped(anchor)
+    total = np.bincount(of, weights=times.astype(np.float64), minlength=len(firsts))
+    entries = np.bincount(of, minlength=len(firsts))
+    _, kind_firsts, kind = ch.grouped(anchor, whole)
+    kinds = np.bincount(of[ch.grouped(anchor, whole)[0][kind_firsts]], minlength=len(firsts))
+    hot = (kinds > group) & (depth[order[firsts]] < length)
+    split = np.ceil(np.log2(np.maximum(entries / (8 * group), 1))).astype(np.int64)
+    return (AGAIN * (total > 1) + HOT * ((total > 1) & hot) + GROUPS * np.where(hot, 0, np.minimum(split, 63)))[of]
 
 
 def _sort(length: int):
@@ -228,133 +310,183 @@ def _sort(length: int):
     def meet(names: list[int], counts: list[int], data: list[tuple[bytes, ...]]) -> np.ndarray:
         content: list[bytes] = []
         place: list[int] = []
+        depth: list[int] = []
+        times: list[int] = []
+        unzstd = zstandard.ZstdDecompressor()
         for (raw,) in data:
-            raw = zstandard.decompress(raw)
+            raw = unzstd.decompress(raw)
             n = int.from_bytes(raw[:4], "little")
-            head = np.frombuffer(raw[4 : 4 + 8 * n], "<u4").reshape(2, n)
-            at = 4 + 8 * n
-            for size, p in zip(head[0].tolist(), head[1].tolist(), strict=True):
+            sizes, *more = np.frombuffer(raw[4 : 4 + 16 * n], "<u4").reshape(4, n).tolist()
+            for column, values in zip((place, depth, times), more, strict=True):
+                column += values
+            at = 4 + 16 * n
+            for size in sizes:
                 content.append(raw[at : at + size])
-                place.append(p)
                 at += size
-        marks = [np.zeros(len(c) - length + 1, bool) for c in content]
-        words = np.frombuffer(b"".join(c[p : p + K] for c, p in zip(content, place, strict=True)), ">u8").reshape(len(content), K // 8)
-        order, runs = multikey(words.astype(np.uint64))
-        for a, b in runs:
-            rows = order[a:b].tolist()
-            for i, found in zip(rows, repeated_in([content[i] for i in rows], [place[i] for i in rows], length), strict=True):
-                marks[i] = found
-        return np.concatenate(marks)
+        starts = np.array([len(c) - length + 1 for c in content], np.int64)
+        ends = np.cumsum(starts)
+        marks = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+        for k in sorted(set(depth)):
+            mine = [i for i, d in enumerate(depth) if d == k]
+            wide = -(-k // 8)
+            words = np.frombuffer(b"".join(content[i][place[i] : place[i] + k].ljust(8 * wide, b"\0") for i in mine), ">u8").reshape(len(mine), wide)
+            order, runs = multikey(words.astype(np.uint64))
+            alone = np.ones(len(mine), bool)
+            for a, b in runs:
+                alone[a:b] = False
+            runs += [(a, a + 1) for a in np.flatnonzero(alone).tolist()]
+            for a, b in runs:
+                rows = [mine[i] for i in order[a:b].tolist()]
+                kinds: dict[tuple[bytes, int], list[int]] = {}
+                for i in rows:
+                    kinds.setdefault((content[i], place[i]), []).append(i)
+                several = repeated_in([c for c, _ in kinds], [p for _, p in kinds], length) if len(kinds) > 1 else [None]
+                for members, found in zip(kinds.values(), several, strict=True):
+                    again = sum(times[i] for i in members) > 1
+                    for i in members:
+                        at = int(ends[i] - starts[i])
+                        if again:
+                            marks[at : at + int(starts[i])] |= REPEATED
+                        elif found is not None:
+                            marks[at : at + int(starts[i])] |= found.astype(np.uint8) * np.uint8(REPEATED)
+                    first = members[0]
+                    marks[int(ends[first] - starts[first])] |= SURVIVOR
+        return marks
 
     return meet
 
 
-def _windows(raw: bytes, first: int, count: int, length: int) -> list[bytes]:
-    return [xxhash.xxh3_128_digest(raw[s : s + length])[:12] for s in range(first, first + count)]
+class Sent:
+    """What a chunk sends to the sort after a census: kinds of repeated anchors, in the order of their groups."""
+
+    def __init__(self, name: int, s: Stretches, kinds: Kinds, marks: np.ndarray):
+        chosen = np.flatnonzero((marks & AGAIN > 0) & (marks & HOT == 0))
+        split = (marks[chosen] // GROUPS).astype(np.uint64)
+        salt = ch.mixed(np.full(len(chosen), name, np.int64).astype(np.uint64), s.anchor[kinds.one[chosen]]) >> np.uint64(8) & ((np.uint64(1) << split) - np.uint64(1))
+        key = np.where(split > 0, ch.mixed(s.anchor[kinds.one[chosen]], salt), s.anchor[kinds.one[chosen]])
+        order = np.argsort(key, kind="stable")
+        #: Numbers of the kinds, the groups they meet in, and whether these are of a split anchor.
+        self.kinds, self.key, self.split = chosen[order], key[order], split[order] > 0
+        self.one = kinds.one[self.kinds]
+        self.n = int(s.count[self.one].sum())
 
 
-def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
+def replay(name: int, texts: list[bytes] | None, s: Stretches, stages: list[tuple[str, str]], length: int, covered: np.ndarray | None = None, starts: np.ndarray | None = None) -> Stretches:
+    """The stretches of a chunk that are still open after ``stages`` (census and sort answers).
+
+    With ``covered``, counts of removed bytes as differences over the chunk's texts (which begin at
+    ``starts``) are added to it.
+    """
+    for known, sorted_ in stages:
+        kinds = Kinds(s)
+        marks = ch.answers(known, name, len(kinds.one))
+        sent = Sent(name, s, kinds, marks)
+        found = ch.answers(sorted_, name, sent.n)
+        counts = s.count[sent.one]
+        at = np.cumsum(counts) - counts
+        repeated = np.add.reduceat(found & REPEATED, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+        if covered is not None:
+            full = np.zeros(len(kinds.one), bool)
+            full[sent.kinds[repeated == counts]] = True
+            all_of = np.flatnonzero(full[kinds.group])
+            begin = starts[s.row[all_of]] + s.first[all_of]
+            np.add.at(covered, begin, 1)
+            np.add.at(covered, begin + s.count[all_of] - 1 + length, -1)
+            for i in np.flatnonzero((repeated > 0) & (repeated < counts)).tolist():
+                edge = np.flatnonzero(np.diff((found[at[i] : at[i] + counts[i]] & REPEATED).astype(np.int8), prepend=0, append=0))
+                base = int(starts[s.row[sent.one[i]]] + s.first[sent.one[i]])  # a kind that is not full occurs once here
+                np.add.at(covered, base + edge[::2], 1)
+                np.add.at(covered, base + edge[1::2] - 1 + length, -1)
+        going = sent.one[sent.split & (found[at] & SURVIVOR > 0)] if len(at) else np.zeros(0, np.int64)
+        hot = np.flatnonzero((marks & HOT > 0)[kinds.group])
+        left = s.take(going)
+        for depth in np.unique(s.depth[hot]).tolist():
+            these = hot[s.depth[hot] == depth].tolist()
+            pieces = [(int(s.row[i]), int(s.first[i]), s.content(texts, i, length)) for i in these]
+            left = left.plus(cut(pieces, length, min(2 * depth, length)))
+        s = left
+        if not len(s.row):
+            break
+    return s
+
+
+def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, group: int = GROUP) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_bytes`` also kept (binary)
-    and spans array<struct<first,after>>.
+    and spans array<struct<first,after>>. ``group`` bounds the different stretches that are sorted under
+    one anchor; the result does not depend on it.
     """
     if length < 2 * K:
         raise ValueError(f"strings must have {2 * K} bytes at least")
-    spark = docs.sparkSession
-    packed = ch.pack(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def ask(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
-        s = Stretches(chunk.texts, length)
-        if len(s.one):
-            yield ch.blocks(chunk.name, s.anchor[s.one], parts, 64, s.whole[s.one], np.minimum(s.times, 2).astype(np.uint64))
-
-    known, top = ch.answered(ch.each(packed, ask, ch.BLOCK + ", v1 binary, v2 binary"), parts, ch.by_key(_first), "stretches")
-
-    def sorted_ones(s: Stretches, marks: np.ndarray) -> np.ndarray:
-        return np.flatnonzero((marks & CONTESTED > 0) & (marks & SENDER > 0) & (marks & HOT == 0))
-
-    def send(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
-        s = Stretches(chunk.texts, length)
-        ones = sorted_ones(s, ch.answers(known, chunk.name, len(s.one)))
-        if not len(ones):
-            return
-        at = s.one[ones]
-        edges = np.searchsorted(s.anchor[at], (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)) if parts > 1 else np.zeros(0, np.int64)
-        cuts = np.concatenate([[0], edges, [len(at)]]).astype(np.int64).tolist()
-        rows: list[list] = [[], [], [], []]
-        zstd = zstandard.ZstdCompressor(level=1)
-        for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if a == b:
-                continue
-            pieces = [chunk.texts[s.row[i]][s.first[i] : s.first[i] + s.count[i] - 1 + length] for i in at[a:b].tolist()]
-            head = np.array([[len(x) for x in pieces], (s.place[at[a:b]] - s.first[at[a:b]]).tolist()], "<u4")
-            raw = len(pieces).to_bytes(4, "little") + head.tobytes() + b"".join(pieces)
-            for column, value in zip(rows, (p, chunk.name, int(s.count[at[a:b]].sum()), zstd.compress(raw)), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], names=["part", "chunk", "n", "v0"])
-
-    equal, _ = ch.answered(ch.each(packed, send, ch.BLOCK), parts, _sort(length), "suffixes")
-
-    def hot_windows(chunk: ch.Chunk, s: Stretches, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(stretch, offset, keys, rest) of the strings under hot anchors, one stretch of each kind."""
-        ones = s.one[(marks & HOT) > 0]
-        raw = b"".join(b"".join(_windows(chunk.texts[s.row[i]], s.first[i], s.count[i], length)) for i in ones.tolist())
-        cells = np.frombuffer(raw, np.dtype([("k", "<u8"), ("r", "<u4")]))
-        owner = np.repeat(ones, s.count[ones])
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(s.count[ones]) - s.count[ones], s.count[ones])
-        return owner, offset, cells["k"].astype(np.uint64), cells["r"].astype(np.uint64)
-
-    def ask_hot(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
-        s = Stretches(chunk.texts, length)
-        _, _, keys, rest = hot_windows(chunk, s, ch.answers(known, chunk.name, len(s.one)))
-        if len(keys):
-            order, firsts, _ = ch.grouped(keys, rest)
-            yield ch.blocks(chunk.name, keys[order[firsts]], parts, 64, rest[order[firsts]])
-
-    def elsewhere(names: np.ndarray, keys: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        _, firsts, group = ch.grouped(keys, rest)
-        return np.bincount(group, minlength=len(firsts))[group] > 1
-
-    hot = ch.answered(ch.each(packed, ask_hot, ch.BLOCK + ", v1 binary"), parts, ch.by_key(elsewhere), "hot-strings")[0] if top & HOT else None
+    packed = ch.pack(
+        docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")),
+        lambda texts: cut([(i, 0, t) for i, t in enumerate(texts)], length, K).packed(),
+    )
+    parts = ch.parts_of(packed)
+    stages: list[tuple[str, str]] = []
+
+    def counted(name: int, s: Stretches) -> Iterator[pa.RecordBatch]:
+        kinds = Kinds(s)
+        if len(kinds.one):
+            yield ch.blocks(name, s.anchor[kinds.one], parts, 64, s.whole[kinds.one], np.minimum(kinds.times, 2).astype(np.uint64), s.depth[kinds.one].astype(np.uint64))
+
+    def meeting(names: np.ndarray, anchor: np.ndarray, whole: np.ndarray, times: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        return _census(names, anchor, whole, times, depth, group, length)
+
+    def sender(stages: list[tuple[str, str]], known: str):
+        def send(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
+            s = replay(chunk.name, chunk.texts, Stretches.unpacked(chunk.more), stages, length)
+            kinds = Kinds(s)
+            kinds.checked(s, chunk.texts, length)
+            sent = Sent(chunk.name, s, kinds, ch.answers(known, chunk.name, len(kinds.one)))
+            if not len(sent.one):
+                return
+            edges = np.searchsorted(sent.key, (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)) if parts > 1 else np.zeros(0, np.int64)
+            cuts = np.concatenate([[0], edges, [len(sent.one)]]).astype(np.int64).tolist()
+            rows: list[list] = [[], [], [], []]
+            zstd = zstandard.ZstdCompressor(level=1)
+            for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a == b:
+                    continue
+                at = sent.one[a:b]
+                pieces = [s.content(chunk.texts, i, length) for i in at.tolist()]
+                head = np.array([list(map(len, pieces)), (s.place[at] - s.first[at]).tolist(), s.depth[at].tolist(), np.minimum(kinds.times[sent.kinds[a:b]], 2).tolist()], "<u4")
+                raw = len(pieces).to_bytes(4, "little") + head.tobytes() + b"".join(pieces)
+                for column, value in zip(rows, (p, chunk.name, int(s.count[at].sum()), zstd.compress(raw)), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], names=["part", "chunk", "n", "v0"])
+
+        return send
+
+    schema = ch.BLOCK + ", v1 binary, v2 binary, v3 binary"
+    for turn in range(ROUNDS):
+        if turn == 0:
+            census = ch.each_prepared(packed, lambda name, more: counted(name, Stretches.unpacked(more)), schema)
+        else:
+            before = list(stages)
+            census = ch.each(packed, lambda c, before=before: counted(c.name, replay(c.name, c.texts, Stretches.unpacked(c.more), before, length)), schema)
+        known, top = ch.answered(census, parts, ch.by_key(meeting), f"census-{turn}", every_bit=True)
+        if not top & AGAIN:
+            break
+        sorted_, _ = ch.answered(ch.each(packed, sender(list(stages), known), ch.BLOCK), parts, _sort(length), f"sorted-{turn}")
+        stages.append((known, sorted_))
+        if top < HOT:
+            break
+    else:
+        raise RuntimeError(f"hot anchors are left after {ROUNDS} rounds")
 
     def result(chunk: ch.Chunk) -> Iterator[pa.RecordBatch]:
-        s = Stretches(chunk.texts, length)
-        marks = ch.answers(known, chunk.name, len(s.one))
-        changes = [np.zeros(len(t) + 1, np.int32) for t in chunk.texts]
-
-        def mark(i: int, first: int, after: int) -> None:
-            changes[s.row[i]][s.first[i] + first] += 1
-            changes[s.row[i]][s.first[i] + after - 1 + length] -= 1
-
-        copied = (marks & COPIED)[s.group] > 0
-        for i in np.flatnonzero(copied).tolist():
-            mark(i, 0, int(s.count[i]))
-        ones = sorted_ones(s, marks)
-        if len(ones):
-            found = ch.answers(equal, chunk.name, int(s.count[s.one[ones]].sum()))
-            at = 0
-            for i in s.one[ones].tolist():
-                n = int(s.count[i])
-                if not copied[i] and found[at : at + n].any():
-                    edge = np.flatnonzero(np.diff(found[at : at + n], prepend=0, append=0))
-                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                        mark(i, a, b)
-                at += n
-        if hot is not None:
-            owner, offset, keys, rest = hot_windows(chunk, s, marks)
-            if len(keys):
-                order, firsts, group = ch.grouped(keys, rest)
-                again = ch.answers(hot, chunk.name, len(firsts)) > 0
-                twice = np.bincount(group, minlength=len(firsts)) > 1
-                for i, o in zip(owner[(again | twice)[group]].tolist(), offset[(again | twice)[group]].tolist(), strict=True):
-                    mark(i, o, o + 1)
+        covered = np.zeros(len(chunk.blob) + 1, np.int32)
+        replay(chunk.name, chunk.texts, Stretches.unpacked(chunk.more), stages, length, covered, chunk.starts)
+        gone = np.cumsum(covered) > 0  # no string reaches the blank after its text
+        edge = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        begin, end = edge[::2], edge[1::2]
+        owner = np.searchsorted(begin, chunk.starts).tolist()
         rows: list[list] = [[], [], [], [], [], []]
-        for text, change in zip(chunk.texts, changes, strict=True):
-            gone = np.cumsum(change)[: len(text)] > 0
-            edge = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
-            spans = list(zip(edge[::2], edge[1::2], strict=True))
+        for i, text in enumerate(chunk.texts):
+            base = int(chunk.starts[i])
+            spans = [(a - base, b - base) for a, b in zip(begin[owner[i] : owner[i + 1]].tolist(), end[owner[i] : owner[i + 1]].tolist(), strict=True)]
             kept, at = [], 0
             for a, b in spans:
                 kept.append(text[at:a])

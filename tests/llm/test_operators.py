@@ -118,10 +118,22 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("group", [2048, 1])
-def test_repeated_bytes(docs, group, monkeypatch):
-    monkeypatch.setattr(suffixes, "GROUP", group)  # 1: every contested anchor takes the way of hot ones
-    same(suffixes.repeated_bytes(docs, 200).collect(), brute_bytes(pairs(docs), 200))
+@pytest.mark.parametrize("group", [suffixes.GROUP, 3, 1])
+def test_repeated_bytes(docs, group):
+    """With small groups, anchors are hot: cut again under deeper ones, and split where many chunks share them."""
+    same(suffixes.repeated_bytes(docs, 200, group=group).collect(), brute_bytes(pairs(docs), 200))
+
+
+@pytest.mark.parametrize("group", [suffixes.GROUP, 2, 1])
+def test_repeated_bytes_of_hot_passages(spark, monkeypatch, group):
+    """A passage shorter than a string in different surroundings, and copies in very many chunks."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randrange(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    line, copy, tail = text(30), text(90), text(25)
+    rows = [(i, f"{text(12)} {line} {r.choice([tail, text(12)])}") for i in range(60)] + [(100 + i, copy if i % 3 else f"{copy} {text(9)}") for i in range(60)] + [(None, copy), (7, ""), (8, None), (9, "ab" * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    same(suffixes.repeated_bytes(df, 200, group=group).collect(), brute_bytes(pairs(df), 200))
 
 
 def test_blind_tries_and_multikey_sort():
