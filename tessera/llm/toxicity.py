@@ -35,6 +35,15 @@ INVISIBLE = "­​‌‍⁠﻿"
 FOLD = str.maketrans(LOOKALIKES | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | dict.fromkeys(INVISIBLE, ""))
 #: Phrases in which a term is no insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown car", "stupid simple")
+#: Common insults, folded; what the lexicon starts from before anything is learned.
+INSULTS = (
+    "arsehole asshole bastard bitch bollocks brainless clown coward crap creep cretin cunt degenerate despicable dickhead dimwit dirtbag disgusting douchebag dumb dumbass "
+    "dunce fatso fool freak fuck fucker garbage halfwit idiot idiotic imbecile jackass jerk lame liar loser lowlife lunatic maggot moron moronic motherfucker nitwit nobody "
+    "numbskull parasite pathetic pig prick psycho rat retard revolting rubbish scum scumbag shit shitty sicko slut spineless stupid swine thug trash twat twit ugly useless vermin vile wanker whore worthless wretch "
+    "abschaum arschloch bloedmann dummkopf hurensohn idioten mistkerl scheisse schlampe schwachkopf spasti trottel versager wichser widerlich "
+    "abruti batard connard connasse cretin debile degueulasse encule imbecile merde minable ordure pourriture salaud salope "
+    "basura cabron escoria estupido gilipollas imbecil inutil mierda pendejo perdedor puta tonto"
+).split()
 WORD = re.compile(r"[^\W_]+")
 #: At most so many labelled rows of either label are learned from.
 SAMPLE = 3_000
@@ -149,13 +158,15 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int, rest: int, size: in
     return written(docs.join(F.broadcast(picked), "doc_id").where("text <> ''").dropDuplicates(["text", "toxic"]).select("text", "toxic").repartition(8), "toxicity-sample")
 
 
-def learn(rows: DataFrame, support: int = 6, odds: float = 2.5, cover: int = 2, most: int = 2_000) -> Lexicon:
+def learn(rows: DataFrame, support: int = 3, share: float = 0.01, odds: float = 2.0, cover: int = 2, most: int = 2_000) -> Lexicon:
     """A lexicon from (text, toxic) rows.
 
-    Candidates are features in ``support`` toxic rows at least whose log odds ratio is ``odds`` at
-    least. Of these, terms are taken while they cover toxic rows not yet covered ``cover`` times,
-    so that words that merely keep company with terms are left out. Of a beginning and its
-    extensions that cover nearly the same rows, the longest is the term.
+    Known insults come first: one that the rows have keeps its place if toxic rows have it ``odds``
+    times as often (as a logarithm) as clean ones, with that as its weight; one that they lack stays with
+    two thirds of the full weight. Further candidates are features in ``support`` toxic rows and in a
+    ``share`` of them at least whose log odds ratio is ``odds`` at least. Of these, terms are taken while they cover toxic
+    rows not yet covered ``cover`` times, so that words that merely keep company with terms are left out.
+    Of a beginning and its extensions that cover nearly the same rows, the longest is the term.
     """
 
     def count(wanted: frozenset[str] | None):
@@ -180,10 +191,14 @@ def learn(rows: DataFrame, support: int = 6, odds: float = 2.5, cover: int = 2,
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon()
-    toxic = totals(1, None, support)
-    clean = totals(0, frozenset(toxic), 1)
+    known = frozenset(w + " " for w in INSULTS)
+    support = max(support, math.ceil(share * n_toxic))
+    toxic = totals(1, known, 1) | totals(1, None, support)
+    clean = totals(0, frozenset(toxic) | known, 1)
     weight = {f: math.log((t + 0.5) / (n_toxic + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1)) for f, t in toxic.items()}
-    wanted = frozenset(f for f, w in weight.items() if w >= odds)
+    seeds = {f: weight.get(f, 0.0 if f in clean else 8 / 3) for f in known}
+    seeds = {f: w for f, w in seeds.items() if w >= odds}
+    wanted = frozenset(f for f, w in weight.items() if w >= odds and (toxic[f] >= support or f in seeds))
 
     def incidence(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([sorted(features(t) & wanted) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["found"])
@@ -194,7 +209,13 @@ def learn(rows: DataFrame, support: int = 6, odds: float = 2.5, cover: int = 2,
         for f in found:
             having.setdefault(f, []).append(i)
     need = np.full(len(held), cover)
-    terms: dict[str, float] = {}
+    terms: dict[str, float] = {f: round(min(4.0, w) / 4, 4) for f, w in sorted(seeds.items())}
+    for f in seeds:
+        need[[i for i in having.pop(f, ()) if need[i]]] -= 1
+    for f in list(having):
+        having[f] = [i for i in having[f] if need[i]]
+        if not having[f] or any(f.startswith(t.rstrip(" ")) or t.startswith(f) for t in seeds):
+            del having[f]
     queue = sorted(having, key=lambda f: (-len(having[f]), f))
     gain = {f: len(having[f]) for f in queue}
     while queue and len(terms) < most:
@@ -212,7 +233,8 @@ def learn(rows: DataFrame, support: int = 6, odds: float = 2.5, cover: int = 2,
         if done:
             for i in done:
                 for f in held[i]:
-                    gain[f] -= 1
+                    if f in gain:
+                        gain[f] -= 1
         queue = [f for f in queue if gain[f] >= support]
     lexicon = Lexicon(terms)
 
