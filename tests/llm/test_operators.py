@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -310,6 +311,43 @@ def test_cover_trees_cover():
     check(covertree.cover_tree(rows))
 
 
+def brute_top(rows, k, asked):
+    vectors = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    out = set()
+    for q, a in vectors:
+        if not asked(q):
+            continue
+        scores = [(-max(-(1 << 63) + 2, min((1 << 63) - 1, sum(x * y for x, y in zip(a, b)))), c) for c, b in vectors if c != q]
+        out |= {(q, rank, c, -s) for rank, (s, c) in enumerate(sorted(scores)[:k], 1)}
+    return out
+
+
+def test_top_k_of_large_components(spark):
+    """Scores beyond 2^53, beyond 2^62, and beyond what a long holds."""
+    r = random.Random(6)
+    for scale in (1.0, 3e5, 4e6, 1e12):
+        rows = [(i, [r.gauss(0, scale) for _ in range(4)]) for i in range(120)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = covertree.top_k(df, F.col("vec_id") % 10 == 0, k=5).collect()
+        assert {tuple(x) for x in found} == brute_top(rows, 5, lambda i: i % 10 == 0)
+
+
+def test_top_k_over_blocks_of_clusters(spark, monkeypatch):
+    """Many blocks, most pairs of which are out of reach; repeated vectors and one vector as a third of all."""
+    monkeypatch.setattr(covertree, "CANDIDATES", 40)
+    monkeypatch.setattr(covertree, "QUERIES", 8)
+    seen = []
+    reachable = covertree.reachable
+    monkeypatch.setattr(covertree, "reachable", lambda *a: seen.append(reachable(*a)) or seen[-1])
+    r = random.Random(7)
+    centres = [[r.gauss(0, 8) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [x + r.gauss(0, 0.05) for x in centres[i % 12]]) for i in range(400)] + [(1_000 + i, centres[0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns(clash("rank", "score"))
+    found = covertree.top_k(df, F.col("vec_id") % 7 == 0, k=10).select("query_id", "rank", "vec_id", "score").collect()
+    assert {tuple(x) for x in found} == brute_top(rows, 10, lambda i: i % 7 == 0)
+    assert 0 < seen[0].count() < 15 * 15
+
+
 LANG = {"en": ["the", "and", "thing", "with", "other", "ing"], "de": ["der", "und", "ung", "schön", "über", "nicht"], "fr": ["les", "été", "que", "où", "ça", "pour"]}
 
 
