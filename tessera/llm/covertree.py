@@ -37,6 +37,8 @@ from .common import shared_path, worker, written
 PIVOTS = 128
 #: Rows in a block of candidates and of queries, about.
 CANDIDATES, QUERIES = 4096, 1024
+#: Pairs of blocks in a task, about.
+PAIRS = 16
 #: Points in a leaf node.
 LEAF = 24
 
@@ -261,7 +263,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     """The best ``k`` other rows for every row for which ``is_query`` holds: query_id, rank, vec_id, score."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), whole(F.col(f"`{vector_col}`")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where("v is not null and vec_id is not null")
-    most = max(1, min(PIVOTS, rows.count() // CANDIDATES))  # so that blocks of few vectors are not many
+    n, m = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    most = max(1, min(PIVOTS, n // CANDIDATES, m // max(1, QUERIES // 4)))  # so that blocks of few vectors are not many
     pivots = [r.v for r in rows.select("v", F.xxhash64("vec_id", F.lit(9)).alias("h"), "vec_id").orderBy("h", "vec_id").limit(most).collect()]
     table = grid_of(pa.array(pivots or [[]], pa.list_(pa.float64())))
 
@@ -275,12 +278,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     placed = written(rows.mapInArrow(worker("covertree", place), "vec_id long, v array<double>, q boolean, pivot int"), "placed-vectors")
     sizes = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m")).collect()  # one row per pivot
     candidates, ranges = blocks(placed, CANDIDATES, {r.pivot: r.n for r in sizes})
-    queries, _ = blocks(placed.where("q"), QUERIES, {r.pivot: r.m for r in sizes if r.m})
+    queries, q_ranges = blocks(placed.where("q"), QUERIES, {r.pivot: r.m for r in sizes if r.m})
     side = candidates.select(*[F.col(c).alias(f"c_{c}") for c in ("block", "ids", "grid", "width", "tree")])
     # a query block's home: one of the candidate blocks of its pivot, which has one, as queries are candidates too
+    # pairs are few rows of much work: they are dealt by number, not by size
+    tasks = lambda pairs: max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // PAIRS)
     firsts, numbers = (F.array(*[F.lit(ranges.get(p, (0, 1))[i]).cast("long") for p in range(max(ranges, default=0) + 1)]) for i in (0, 1))
     homed = queries.withColumn("home", F.element_at(firsts, F.col("pivot") + 1) + F.pmod("block", F.element_at(numbers, F.col("pivot") + 1)))
-    first = written(solved(homed.withColumn("least", F.lit(None).cast("binary")).join(side, F.col("home") == F.col("c_block")).drop("c_block"), k), "first-scores")
+    at_home = homed.withColumn("least", F.lit(None).cast("binary")).join(side, F.col("home") == F.col("c_block")).drop("c_block")
+    first = written(solved(at_home.repartition(tasks(sum(n for _, n in q_ranges.values())), "block"), k), "first-scores")
     floors = first.select(F.col("a").alias("block"), "least")
     bounded = homed.join(floors, "block")
 
@@ -292,7 +298,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     path = shared_path(vectors.sparkSession, "query-blocks")
     bounded.select("block", "home", "centre", "radius", "least").mapInArrow(worker("covertree", worst), "a long, home long, centre array<double>, radius double, floor long").write.parquet(path)
     pairs = written(reachable(candidates, path), "block-pairs")
-    met = pairs.join(bounded.drop("centre", "radius", "pivot", "home"), F.col("a") == F.col("block")).drop("a").join(side, F.col("b") == F.col("c_block")).drop("b", "c_block")
-    found = first.unionByName(solved(met, k)).select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("f")).select("f.*")
+    met = pairs.join(bounded.drop("centre", "radius", "pivot", "home"), F.col("a") == F.col("block")).drop("a").join(side, F.col("b") == F.col("c_block")).drop("c_block")
+    found = first.unionByName(solved(met.repartition(tasks(pairs.count()), "block", "b").drop("b"), k)).select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("f")).select("f.*")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
