@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _own:
             _own[application] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
@@ -50,6 +52,17 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` does not have, upper or lower case alike."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): the ids as longs, null texts as empty ones."""
     return docs.select(

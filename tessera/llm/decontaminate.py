@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: A word is a run of ASCII digits, ASCII letters (lower-cased) and non-ASCII characters.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,7 +116,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents of which more than the share ``most`` of the words is hit."""
     found = contamination(docs, benchmark, n, id_col, text_col)
-    bad = found.where(F.col("contaminated") & (F.col("n_hit") > most * F.col("n_words"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    hashed = docs.withColumn("__own", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
-    return hashed.join(bad, same, "left_anti").drop("__own")
+    own, bad_id, bad_hash = fresh(docs, "own_hash", "bad_id", "bad_hash")
+    bad = found.where(F.col("contaminated") & (F.col("n_hit") > most * F.col("n_words"))).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    hashed = docs.withColumn(own, F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(bad_id)) & (F.col(own) == F.col(bad_hash))
+    return hashed.join(bad, same, "left_anti").drop(own)

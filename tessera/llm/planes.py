@@ -14,6 +14,7 @@ document offset u64, chunks u32, documents u64, ids u64, magic.
 from __future__ import annotations
 
 import io
+import json
 import os
 import struct
 import uuid
@@ -178,6 +179,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Bytes of text in a token file, about.
+FILE_BYTES = 64 << 20
+#: The normalizer and the splitting of the tokenizer files that ``WordCoder`` can take apart.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "truncation": None,
+    "padding": None,
+}
 #: Line ends and tabs as blanks.
 BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
 
@@ -201,7 +211,8 @@ class WordCoder:
     punctuation run after it, and take letters case by case; so each distinct lower-cased word is
     worked once and remembered, a closing punctuation run apart. A word of letters alone is one
     piece and goes straight to the library's model; anything else takes the library's whole path,
-    as does a text that may spell a special token.
+    as does a text that may spell a special token. All this holds for tokenizer files with the rules of
+    ``WORDWISE`` and special tokens that begin with "<|"; with any other file every text goes whole.
     """
 
     def __init__(self, path: str):
@@ -210,6 +221,8 @@ class WordCoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        rules = json.loads(self.tok.to_str())
+        self.wordwise = all(rules.get(k) == v for k, v in WORDWISE.items()) and all(t["content"].startswith("<|") for t in rules["added_tokens"])
         self.letters = {chr(b): c for b, c in byte_letters().items()}
         self.known = Known(self.word)
         self.table = str.maketrans(self.letters)
@@ -237,7 +250,7 @@ class WordCoder:
             self.known = Known(self.word, list(self.known.items())[len(self.known) // 2 :])
         known, out = self.known.__getitem__, []
         for text in texts:
-            if "<|" in text:
+            if not self.wordwise or "<|" in text:
                 out.append(np.array(self.whole(text), "<u4").tobytes())
             else:
                 words = text.encode().lower().translate(BLANKS).decode().split(" ")
@@ -331,9 +344,10 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the token files of ``docs`` in the shared folder and read them back.
 
-    ``files`` is by default the session's number of shuffle partitions.
+    ``files`` is by default one for every ``FILE_BYTES`` of text, the session's number of shuffle partitions at least.
     """
     spark = docs.sparkSession
     if files is None:
-        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     return read_token_files(write_token_files(docs, tokenizer_path, shared_path(spark, "ids"), end_id, files=files, id_col=id_col, text_col=text_col))

@@ -54,7 +54,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages"), again=1_000))
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages"), again=7))
     names = F.array_sort(F.map_keys("headers"))
     lines = F.transform(names, lambda k: F.concat(k, F.lit(": "), F.element_at("headers", k)))
     return found.select("record_id", "canonical_url", "captured_at", "ref_id", "ref_at", "outcome", F.sha2(F.array_join(lines, "\n"), 256).alias("headers_sha256"), "digest")
@@ -131,7 +131,7 @@ WITH bare AS (
 ), pg AS (
   SELECT page_id, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS curl, sha256(html) AS sha, octet_length(encode(html)) AS n FROM parts
 ), revisit AS (
-  SELECT 2 * page_id + 1 AS record_id, curl, page_id + 1000 AS cap, '"' || substr(sha, 1, 16) || '"' AS tag FROM pg
+  SELECT 2 * page_id + 1 AS record_id, curl, page_id + 7 AS cap, '"' || substr(sha, 1, 16) || '"' AS tag FROM pg
 ), ref AS (
   SELECT r.record_id, max((p.page_id, 2 * p.page_id)) AS best FROM revisit r JOIN pg p ON p.curl = r.curl AND (p.page_id < r.cap OR (p.page_id = r.cap AND 2 * p.page_id < r.record_id)) GROUP BY r.record_id
 ), full_ref AS (

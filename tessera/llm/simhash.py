@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, keyed, slices, worker, written
+from .common import by_batch, fresh, keyed, slices, worker, written
 from .components import connected
 
 #: Fingerprints in one chunk of a large bucket; a task compares two chunks.
@@ -233,10 +233,11 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int =
     rows = written(prints_with(docs, digest, shingle, seed), "fingerprints")
     roots = written(roots_of(rows, radius), "roots")
     named = rows.join(roots, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
-    keep = named.select(F.col("k.doc_id").alias("__id"), F.col("k.digest").alias("__digest"))
-    hashed = docs.withColumn("__own", digest)
-    left = hashed.join(keep, doc_id.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
+    own, kept_id, kept_digest = fresh(docs, "own_digest", "kept_id", "kept_digest")
+    keep = named.select(F.col("k.doc_id").alias(kept_id), F.col("k.digest").alias(kept_digest))
+    hashed = docs.withColumn(own, digest)
+    left = hashed.join(keep, doc_id.eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)), "left_semi")
     repeats = rows.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
     if repeats:
-        left = left.dropDuplicates(["doc_id", "__own"])
-    return left.drop("__own")
+        left = left.dropDuplicates(["doc_id", own])
+    return left.drop(own)

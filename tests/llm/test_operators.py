@@ -490,3 +490,88 @@ def test_pipeline_keeps_columns_and_takes_effect(spark, tmp_path):
     last = corpus_pipeline.run(spark, str(tmp_path))
     ids = {r.doc_id for r in last.select("doc_id").collect()}
     assert 5000 not in ids and 5001 not in ids and 201 not in ids
+
+
+def test_components_against_brute_force(spark):
+    """Chains of near copies, exact copies and empty texts: the smallest id that can be reached."""
+    r = random.Random(9)
+    base = [" ".join(r.choice(WORDS) + str(r.randrange(400)) for _ in range(900)) for _ in range(4)]
+    rows, i = [], 50
+    for text in base:
+        for _ in range(8):
+            words = text.split()
+            words[r.randrange(len(words))] = "changed"
+            text = " ".join(words)
+            rows.append((i, text))
+            i -= 1
+    rows += [(60, base[0]), (61, base[0]), (62, None), (63, ""), (64, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {x.doc_id: x for x in simhash.near_duplicates(df).collect()}
+    fps = {k: int(x.fingerprint, 16) for k, x in found.items()}
+    reach = {k: k for k in fps}
+    for _ in fps:
+        for a in fps:
+            for b in fps:
+                if (fps[a] ^ fps[b]).bit_count() <= 3:
+                    reach[a] = min(reach[a], reach[b])
+    assert {k: x.component_id for k, x in found.items()} == reach and len(set(reach.values())) < len(reach)
+
+
+def test_language_of_long_and_repeated_rows(spark):
+    df = labelled(spark, 300)
+    long = "der und nicht über " * 20_000
+    more = spark.createDataFrame([(2_000, long, None), (2_000, long, None), (2_001, "the", None), (2_001, "the", None)], "doc_id long, text string, lang string")
+    found = langid.languages(df.unionByName(more, allowMissingColumns=True)).where("doc_id >= 2000").collect()
+    assert len(found) == 4 and {x.lang_pred for x in found if x.doc_id == 2_000} == {"de"} and len({(x.doc_id, x.score) for x in found}) == 2
+    net = langid.Network.fresh(["a", "b"], 4, 3)
+    one = [b"abc" * 100, b"", b"x", b"abc" * 100, b"abcabcab", b"q" * 129]
+    together = langid.pooled(net, one)
+    for text, row in zip(one, together, strict=True):  # whatever else is in the batch
+        assert np.allclose(row, langid.pooled(net, [text])[0], atol=1e-6) and abs(row.sum() - bool(text)) < 1e-5
+
+
+def test_toxicity_of_repeated_rows_and_known_insults(spark):
+    df = spark.createDataFrame([(i, f"fine day number {i}") for i in range(30)] + [(40 + i, f"you are a scumbag {i}") for i in range(12)] + [(90, "what a wanker")] * 2 + [(91, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i >= 40)) for i in [*range(30), *range(40, 52)]], "doc_id long, toxic int")
+    found = [(x.doc_id, x.predicted) for x in toxicity.toxicity(df, marks).collect()]
+    assert found.count((90, 1)) == 2 and (91, 0) in found and len(found) == 45
+
+
+def test_decontamination_of_no_documents(spark, docs):
+    bench = spark.createDataFrame([("a", "alpha beta")], "item_id string, text string")
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0 and decontaminate.remove_documents(docs.limit(0), bench).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names that operators use themselves, and empty tables."""
+    import corpus_pipeline
+
+    mine = ["own_digest", "kept_id", "own_hash", "bad_id", "n_words", "n_removed", "kept_sha256", "kept_text", "__own", "__id", "x1"]
+    shared = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"the thing with other words {i} and {shared if i > 2 else i}", "en", 5) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").withColumns({n: F.lit(f"my {n}") for n in mine})
+    spark.createDataFrame([("a", "never seen words of any item at all in here")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        kept = out.collect()
+        assert kept and all(r[n] == f"my {n}" for r in kept for n in mine), name
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_other_tokenizer_files_take_the_whole_path(tmp_path):
+    import json
+    import os
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    raw = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    raw["normalizer"]["normalizers"] = raw["normalizer"]["normalizers"][:2]  # keeps capitals
+    path = os.path.join(tmp_path, "other.json")
+    json.dump(raw, open(path, "w", encoding="utf-8"))
+    texts = ["The Quick brown FOX", "", "ÉTÉ, ok", "a\tB\n c"]
+    coder, tok = planes.WordCoder(path), Tokenizer.from_file(path)
+    assert not coder.wordwise and planes.WordCoder(public_tokenizers.path("word_bpe_49k.json")).wordwise
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
