@@ -115,8 +115,22 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
     def floor_of(points: np.ndarray) -> float:
         return float(np.maximum(best_s[points, -1], least[points]).min())
 
-    def bound(q: Node, r: Node, dot: float) -> float:
-        return dot + norms_q[q.centre] * r.radius + norms_r[r.centre] * q.radius + q.radius * r.radius + slack
+    kids: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def children(node: Node) -> tuple[np.ndarray, np.ndarray]:
+        """Centres and radii of a node's children."""
+        if id(node) not in kids:
+            kids[id(node)] = np.array([c.centre for c in node.children]), np.array([c.radius for c in node.children])
+        return kids[id(node)]
+
+    parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def members(node: Node) -> tuple[np.ndarray, np.ndarray]:
+        """The points of a node's children, one child after another, and where each begins."""
+        if id(node) not in parts:
+            sizes = [len(c.points) for c in node.children]
+            parts[id(node)] = np.concatenate([c.points for c in node.children]), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        return parts[id(node)]
 
     def leaves(q: Node, r: Node) -> None:
         scores = queries[q.points] @ rows[r.points].T if exact else q_int[q.points] @ r_int[r.points].T
@@ -138,14 +152,23 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
         if not q.children and not r.children:
             leaves(q, r)
             return
-        pairs = [(q, c) for c in r.children] if r.children and (not q.children or r.radius >= q.radius) else [(c, r) for c in q.children]
-        a = queries[[x.centre for x, _ in pairs]]
-        b = rows[[y.centre for _, y in pairs]]
-        dots = (a * b).sum(1)
-        reach = [bound(x, y, d) for (x, y), d in zip(pairs, dots, strict=True)]
-        for i in sorted(range(len(pairs)), key=lambda i: -reach[i]):
-            if reach[i] >= floor_of(pairs[i][0].points):
-                descend(*pairs[i])
+        if r.children and (not q.children or r.radius >= q.radius):
+            centres, radii = children(r)
+            reach = rows[centres] @ queries[q.centre] + norms_q[q.centre] * radii + (norms_r[centres] + radii) * q.radius + slack
+            floor = floor_of(q.points)
+            for i in np.argsort(-reach, kind="stable").tolist():
+                if reach[i] < floor:  # and so are all that follow
+                    break
+                descend(q, r.children[i])
+                floor = floor_of(q.points)
+        else:
+            centres, radii = children(q)
+            reach = queries[centres] @ rows[r.centre] + norms_r[r.centre] * radii + (norms_q[centres] + radii) * r.radius + slack
+            # the children part the queries, so that no descent changes the floor of another child
+            points, starts = members(q)
+            floors = np.minimum.reduceat(np.maximum(best_s[points, -1], least[points]), starts)
+            for i in np.flatnonzero(reach >= floors).tolist():
+                descend(q.children[i], r)
 
     descend(q_tree, r_tree)
     out = []
