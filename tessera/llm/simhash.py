@@ -11,6 +11,10 @@
    its links, never all pairs.
 4. Connected components of the links, in tables.
 
+By similarity (``one_of_each(similarity=...)``), steps 2 to 4 run over fingerprints of 256 bits. So wide a
+radius has no small set of blocks in which every pair must meet: buckets are bands of sampled bits, as many
+as meet a pair just at the limit with the stated probability.
+
 Null texts count as empty; a text without words has fingerprint zero and links like any other.
 Repeated rows each keep their own output row. A component's id is its smallest non-null doc_id.
 """
@@ -20,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,8 @@ CHUNK = 512
 #: A bucket should hold about so many fingerprints at most when fingerprints are spread evenly.
 BUCKET = 64
 PIVOTS = 32
+#: 64-bit words of a wide fingerprint; pivots and rows of a chunk for these. At their radius few pivots discard anything.
+WORDS, WIDE_PIVOTS, WIDE_CHUNK = 4, 2, 4096
 
 
 def majority(hashes: list[list[int]]) -> np.ndarray:
@@ -107,45 +114,51 @@ def pivots(number: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}") for i in range(number)], np.uint64)
 
 
-def _keep(fps: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _keep(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (a, b) within ``radius``: by coordinate after coordinate, then bit by bit."""
     for column in table:
         near = np.abs(column[a] - column[b]) <= radius
         a, b = a[near], b[near]
         if not len(a):
             return a, b
-    near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+    near = np.bitwise_count(prints[:, a] ^ prints[:, b]).sum(axis=0, dtype=np.int32) <= radius
     return a[near], b[near]
 
 
-def links_in(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs within ``radius`` in each run of ``group``; two chunks (sides) meet crosswise only."""
-    table = np.bitwise_count(fps[None, :] ^ references[:, None]).astype(np.int8)
+def _reached(prints: np.ndarray, table: np.ndarray, start: int, size: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what pairs within ``radius`` join among ``size`` rows: a row met once is not compared again."""
+    rest, found = np.arange(start, start + size), []
+    while len(rest):
+        waiting, rest = [int(rest[0])], rest[1:]
+        while waiting and len(rest):
+            row = waiting.pop()
+            a, b = _keep(prints, table, np.full(len(rest), row), rest, radius)
+            if len(b):
+                found.append((a, b))
+                waiting += b.tolist()
+                rest = np.setdiff1d(rest, b, assume_unique=True)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def links_in(group: np.ndarray, prints: np.ndarray, radius: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs within ``radius`` in each run of ``group`` that join all such pairs; ``prints`` is one row of 64-bit
+    words for each word of a fingerprint, as is ``references``."""
+    table = np.bitwise_count(prints[:, None, :] ^ references[:, :, None]).sum(axis=0, dtype=np.int16)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    small = np.repeat(sizes <= 48, sizes)
-    rows = np.flatnonzero(small)
+    rows = np.flatnonzero(np.repeat(sizes <= 48, sizes))
     for step in range(1, int(sizes[sizes <= 48].max(initial=1))):
         rows = rows[rows + step < len(group)]
         rows = rows[group[rows] == group[rows + step]]
         if not len(rows):
             break
-        found.append(_keep(fps, table, rows, rows + step, radius))
+        found.append(_keep(prints, table, rows, rows + step, radius))
     for start, size in zip(starts[sizes > 48].tolist(), sizes[sizes > 48].tolist(), strict=True):
-        first = table[0, start : start + size]
-        for lo in range(0, size, 1024):
-            near = np.abs(first[lo : lo + 1024, None] - first[None, :]) <= radius
-            a, b = np.nonzero(near)
-            a += lo
-            ok = a < b
-            a, b = a[ok] + start, b[ok] + start
-            found.append(_keep(fps, table, a, b, radius))
+        found.append(_reached(prints, table, start, size, radius))
     a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
     b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-    split = side[starts][np.searchsorted(starts, a, side="right") - 1] >= 0
-    cross = ~split | (side[a] != side[b]) | (side[a] < 0)
-    return a[cross], b[cross]
+    return a, b
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,31 +175,36 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_links(points: DataFrame, radius: int = 3) -> DataFrame:
-    """(u, v) links that join every pair of distinct ``fp`` within ``radius`` bits, as forests."""
+def near_links(points: DataFrame, radius: int = 3, words: tuple[str, ...] = ("fp",), cuts: list[list[int]] | None = None, references: np.ndarray | None = None, most: int | None = None) -> DataFrame:
+    """(u, v) links, as forests, that join the ``fp`` of every two points within ``radius`` bits that agree on a mask.
+
+    ``words`` name the 64-bit words of a fingerprint; ``cuts`` are masks of one number for each word (by default those
+    on one of which every pair within the radius agrees). Buckets beyond ``most`` rows are dealt in chunks.
+    """
     count = points.count()
-    cuts = masks(count, radius)
-    dealt = points.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in cuts])).alias("band", "key"))
-    sizes = dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+    cuts = [[m] for m in masks(count, radius)] if cuts is None else cuts
+    references = pivots()[None, :] if references is None else references
+    most = most or CHUNK
+    keys = [[F.col(w).bitwiseAND(F.lit(m).cast("long")) for w, m in zip(words, cut, strict=True) if m] for cut in cuts]
+    dealt = points.select("fp", *[w for w in words if w != "fp"], F.posexplode(F.array(*[k[0] if len(words) == 1 else F.xxhash64(*k) for k in keys])).alias("band", "key"))
+    sizes = dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     joined = dealt.join(sizes, ["band", "key"], "left")
-    chunks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / CHUNK).cast("int")
+    chunks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / most).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(1)), chunks).cast("int")
-    met = joined.select("band", "key", "fp", own.alias("own"), chunks.alias("chunks")).select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    met = joined.withColumns({"own": own, "chunks": chunks}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     group = F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other"))
-    # a chunk that meets itself has one side only: all of its pairs count
-    tasks = met.select(group.alias("g"), F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"), "fp")
-    references = pivots()
+    tasks = met.select(group.alias("g"), "fp", *[w for w in words if w != "fp"])
+    first = 1 if len(words) == 1 else 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def solve(rows: np.ndarray) -> pa.RecordBatch:
-            fps = rows[2].view(np.uint64)
-            a, b = links_in(rows[0], rows[1], fps, radius, references)
-            root = forest(len(fps), a, b)
-            child = np.flatnonzero(root != np.arange(len(fps)))
-            u, v = rows[2][child], rows[2][root[child]]
+            a, b = links_in(rows[0], rows[first:].view(np.uint64), radius, references)
+            root = forest(rows.shape[1], a, b)
+            child = np.flatnonzero(root != np.arange(rows.shape[1]))
+            u, v = rows[1][child], rows[1][root[child]]
             differ = u != v
             return pa.RecordBatch.from_arrays([pa.array(u[differ]), pa.array(v[differ])], names=["u", "v"])
 
@@ -199,7 +217,7 @@ def near_links(points: DataFrame, radius: int = 3) -> DataFrame:
                 rows = np.concatenate(held, axis=1)
                 last = int(np.searchsorted(rows[0], rows[0, -1]))  # the last group may go on
                 if last:
-                    yield solve(rows[:, :last])
+                    yield solve(np.ascontiguousarray(rows[:, :last]))
                 held, size = [rows[:, last:]], rows.shape[1] - last
         if size:
             yield solve(np.concatenate(held, axis=1))
@@ -224,20 +242,89 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+def wide_printer(shingle: int, seed: int) -> Callable[[pa.Array], list[pa.Array]]:
+    """A text column -> the WORDS words of its fingerprints of 64 * WORDS bits, as longs."""
+    digests = [partial(xxhash.xxh3_128_digest, seed=seed + i) for i in range(WORDS // 2)]
+
+    def of(text: str) -> np.ndarray:
+        words = text.encode().lower().split()
+        if not words:
+            return np.zeros(WORDS, np.uint64)
+        number = max(1, len(words) - shingle + 1)
+        ones = np.zeros(64 * WORDS, np.int64)
+        for lo in range(0, number, 1 << 15):  # a very long text is never all bits at once
+            part = words[lo : lo + (1 << 15) + shingle - 1]
+            pieces = [b" ".join(part)] if number == 1 else list(map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)))
+            raw = np.hstack([np.frombuffer(b"".join(map(d, pieces)), np.uint8).reshape(-1, 16) for d in digests])
+            bits = np.unpackbits(raw, axis=1, bitorder="little")
+            ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        return np.packbits(2 * ones > number, bitorder="little").view(np.uint64)
+
+    def take(column: pa.Array) -> list[pa.Array]:
+        prints = np.stack([of(t) for texts in slices(column, 1_000_000) for t in texts]).view(np.int64)
+        return [pa.array(np.ascontiguousarray(w)) for w in prints.T]
+
+    return take
+
+
+def differing(similarity: float) -> int:
+    """Bits of a wide fingerprint in which texts of that similarity (Jaccard, of shingles) differ on average."""
+    return round(64 * WORDS * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def bands(count: int, radius: int, recall: float, seed: int = 1) -> list[list[int]]:
+    """Masks of as many bits as keep buckets of ``count`` spread fingerprints small, and so many masks that two
+    fingerprints ``radius`` bits apart agree on one with probability ``recall`` (closer ones with more)."""
+    width = 64 * WORDS
+    bits = max(8, (max(count, 1) - 1).bit_length() - 4)
+    agree = comb(width - radius, bits) / comb(width, bits)
+    number = ceil(log(1 - recall) / log(1 - agree))
+    rng = np.random.default_rng(seed)
+    drawn = np.concatenate([rng.permutation(width)[: width // bits * bits].reshape(-1, bits) for _ in range(ceil(number / (width // bits)))])[:number]
+    out = np.zeros((number, width), np.uint8)
+    np.put_along_axis(out, drawn, 1, axis=1)
+    return np.packbits(out, axis=1, bitorder="little").view(np.int64).tolist()
+
+
+def wide_groups(docs: DataFrame, digest: Column, shingle: int, similarity: float, recall: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, w0, ...) of every row, and (doc_id, digest): the smallest of each component of texts whose
+    similarity, as wide fingerprints estimate it, is ``similarity`` or more."""
+    take, words = wide_printer(shingle, seed), tuple(f"w{i}" for i in range(WORDS))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *take(batch.column(1))], names=["doc_id", "digest", *words])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), digest.alias("digest"))
+    rows = written(by_batch(texts, run, "doc_id long, digest long, " + ", ".join(f"{w} long" for w in words), "simhash"), "fingerprints")
+    # numbers are given once, then read: repeated tasks see the same ones
+    points = rows.groupBy(*words).agg(F.min(F.struct("doc_id", "digest")).alias("k"))
+    points = written(points.withColumn("fp", F.monotonically_increasing_id()), "points")
+    radius = differing(similarity)
+    references = np.stack([pivots(WORDS * WIDE_PIVOTS)[i::WORDS] for i in range(WORDS)])
+    links = near_links(points.select("fp", *words), radius, words, bands(points.count(), radius, recall), references, WIDE_CHUNK)
+    joined = connected(links).withColumnRenamed("node", "fp")
+    roots = points.select("fp", "k").join(joined, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    return rows, roots.agg(F.min("k").alias("k")).select("k.doc_id", "k.digest")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42, similarity: float | None = None, recall: float = 0.95) -> DataFrame:
     """``docs`` (doc_id, text, more columns) with one row of each component: that of the smallest
     (doc_id, hash of text), nulls first. Rows of equal id and text are one document and keep one row.
+
+    With ``similarity``, texts are linked not by ``radius`` of 64 bits but where wide fingerprints estimate their
+    similarity (Jaccard, of shingles) at so much or more; a pair just at the limit is met with probability ``recall``.
     """
     doc_id, digest = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    # the fingerprint decides the component, so (doc_id, digest) -> fingerprint -> component is one lookup
-    rows = written(prints_with(docs, digest, shingle, seed), "fingerprints")
-    roots = written(roots_of(rows, radius), "roots")
-    named = rows.join(roots, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
     own, kept_id, kept_digest = fresh(docs, "own_digest", "kept_id", "kept_digest")
-    keep = named.select(F.col("k.doc_id").alias(kept_id), F.col("k.digest").alias(kept_digest))
-    hashed = docs.withColumn(own, digest)
-    left = hashed.join(keep, doc_id.eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)), "left_semi")
-    repeats = rows.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
-    if repeats:
+    if similarity is None:
+        # the fingerprint decides the component, so (doc_id, digest) -> fingerprint -> component is one lookup
+        rows = written(prints_with(docs, digest, shingle, seed), "fingerprints")
+        roots = written(roots_of(rows, radius), "roots")
+        named = rows.join(roots, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select("k.doc_id", "k.digest")
+    else:
+        rows, named = wide_groups(docs, digest, shingle, similarity, recall, seed)
+    keep = named.select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest))
+    left = docs.withColumn(own, digest).join(keep, doc_id.eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)), "left_semi")
+    if rows.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
         left = left.dropDuplicates(["doc_id", own])
     return left.drop(own)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -282,6 +283,66 @@ def test_fingerprints_and_components(docs):
     assert kept.columns == docs.columns and kept.count() == groups
 
 
+@pytest.mark.parametrize("words", [1, 4])
+def test_links_join_what_pairs_join(words):
+    """Runs of any length, dense and sparse, against all pairs."""
+    r = np.random.default_rng(8)
+    sizes = [1, 2, 40, 60, 300]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    prints = r.integers(0, 1 << 63, (words, len(group)), np.uint64)
+    for i in range(len(group) - 1):  # chains of near ones
+        if group[i] == group[i + 1] and r.random() < 0.7:
+            prints[:, i + 1] = prints[:, i]
+            prints[r.integers(words), i + 1] ^= np.uint64(1 << int(r.integers(64))) | np.uint64(1 << int(r.integers(64)))
+    near = np.bitwise_count(prints[:, :, None] ^ prints[:, None, :]).sum(axis=0) <= 3
+    a, b = np.nonzero(np.triu(near & (group[:, None] == group[None, :]), 1))
+    references = simhash.pivots(words * 2).reshape(words, 2)
+    found = simhash.links_in(group, prints, 3, references)
+    assert (simhash.forest(len(group), *found) == simhash.forest(len(group), a, b)).all()
+
+
+def test_copies_by_similarity(spark, monkeypatch):
+    """Five words, similarity 0.8: near copies leave, texts that share half of their shingles stay."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    jaccard = lambda s, t: (lambda x, y: len(x & y) / len(x | y))(*({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (s, t)))
+    rows, wanted, number = [], [], 0
+    for k in range(60):
+        first = [word() for _ in range(r.randrange(150, 400))]
+        near = list(first)
+        near[r.randrange(len(near))] = word()
+        half = first[: len(first) * 2 // 3] + [word() for _ in range(len(first) // 3)]
+        assert jaccard(first, near) > 0.9 and jaccard(first, half) < 0.6
+        rows += [(number, first), (number + 1, near), (number + 2, half), (number + 3, [w.upper() for w in first])]
+        wanted += [number, number + 2]
+        number += 4
+    base = [word() for _ in range(300)]
+    for k in range(100):  # one large group of different near copies
+        rows.append((number + k, base[:k] + [word()] + base[k + 1 :]))
+    wanted.append(number)
+    texts = [(i, " ".join(w), 1, 2) for i, w in rows] + [(9000, "", 1, 2), (9001, None, 1, 2), (9002, "one two", 1, 2), (9003, "one two", 1, 2), (9003, "one two", 1, 2), (None, "none at all of these here", 1, 2)]
+    wanted += [9000, 9002, None]
+    monkeypatch.setattr(simhash, "WIDE_CHUNK", 16)
+    docs = spark.createDataFrame(texts, "doc_id long, text string, fp long, w0 int")
+    kept = simhash.one_of_each(docs, shingle=5, similarity=0.8)
+    assert kept.columns == docs.columns
+    key = lambda v: -1 if v is None else v
+    assert sorted((x.doc_id for x in kept.collect()), key=key) == sorted(wanted, key=key)
+    assert simhash.one_of_each(docs.limit(0), shingle=5, similarity=0.8).count() == 0
+
+
+def test_wide_fingerprints_of_long_texts():
+    """Texts beyond one block of shingles, against all bits at once."""
+    take = simhash.wide_printer(5, 42)
+    text = " ".join(str(i % 50_021) for i in range(70_000))
+    words = text.encode().split()
+    pieces = [b" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
+    raw = np.stack([np.frombuffer(xxhash.xxh3_128_digest(p, 42) + xxhash.xxh3_128_digest(p, 43), np.uint8) for p in pieces])
+    ones = np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    want = np.packbits(2 * ones > len(pieces), bitorder="little").view(np.int64)
+    assert [c[0].as_py() for c in take(pa.array([text]))] == want.tolist()
+
+
 def test_top_k_is_exact(spark):
     r = np.random.default_rng(3)
     rows = [(i, (r.integers(0, 4, 6) / 4).tolist()) for i in range(300)] + [(900, None), (901, [1.0, None]), (902, [float("nan")] * 6), (904, [float("inf")] * 6), (905, [9.5]), (1000, [])]
