@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, langid, planes, simhash, substrings, suffixes, toxicity, warc
+from . import bpe, covertree, decontaminate, langid, negatives, pii, planes, simhash, substrings, suffixes, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,24 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "captured_at", "ref_id", "ref_at", "outcome", F.sha2(F.array_join(lines, "\n"), 256).alias("headers_sha256"), "digest")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.base)
+    kinds = F.transform(base, lambda s: s.kind)
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k_positive=5, k_negative=5, share=80, scale=256, label=moved)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_byte_bpe": op2_byte_bpe,
@@ -71,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_personal_data": op11_personal_data,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
 OP1_SQL = r"""
@@ -146,4 +167,62 @@ SELECT CAST(record_id AS BIGINT) AS record_id, curl AS canonical_url, CAST(cap A
 FROM full_ref
 """
 
-ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_substrings": OP4_SQL, "op5_decontaminate": OP5_SQL, "op10_warc_revisits": OP10_SQL}
+OP11_SQL = r"""
+WITH kinds(k, kind, pat, base) AS (VALUES
+  (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', true), (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', true),
+  (3, 'card', '[0-9](?:[\x20-]?[0-9])+', true), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]', true),
+  (5, 'iban', '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b', false), (6, 'social', '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', false),
+  (7, 'local_phone', '\b[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}\b', false)
+), norm AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), cut AS (
+  SELECT rid, k, t, regexp_extract_all(t, pat, 0) AS m, list_transform(string_split_regex(t, pat), lambda x: length(x)) AS gap FROM norm, kinds
+), met AS (
+  SELECT rid, k, t, m[i] AS s, CAST(list_sum(gap[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut WHERE len(m) > 0)
+), accounts AS (
+  SELECT rid, k, t, a, list_filter(list_transform(range(len(string_split(s, ' ')), 0, -1), lambda n: array_to_string(string_split(s, ' ')[1:n], ' ')),
+    lambda c: length(replace(c, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(substr(replace(c, ' ', ''), 5) || substr(replace(c, ' ', ''), 1, 4), ''),
+      lambda d: CASE WHEN d BETWEEN '0' AND '9' THEN d ELSE CAST(ascii(d) - 55 AS VARCHAR) END), ''), ''), lambda d: CAST(d AS INTEGER))), lambda x, y: (x * 10 + y) % 97) = 1)[1] AS s
+  FROM met WHERE k = 5
+), digits AS (SELECT *, list_reverse(list_transform(string_split(regexp_replace(s, '[^0-9]', '', 'g'), ''), lambda d: try_cast(d AS INTEGER))) AS d FROM met WHERE k <> 5
+), valid AS (
+  SELECT rid, k, t, s, a, a + length(s) AS b FROM digits
+  WHERE CASE k WHEN 2 THEN len(list_filter(string_split(s, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 3 THEN len(d) BETWEEN 12 AND 19 AND list_sum(list_transform(d, lambda v, i: CASE WHEN i % 2 = 1 THEN v WHEN v > 4 THEN 2 * v - 9 ELSE 2 * v END)) % 10 = 0
+    WHEN 4 THEN len(d) BETWEEN 9 AND 15
+    WHEN 6 THEN substr(s, 1, 3) NOT IN ('000', '666') AND substr(s, 1, 3) < '900' AND substr(s, 5, 2) <> '00' AND substr(s, 8) <> '0000' ELSE true END
+  UNION ALL SELECT rid, k, t, s, a, a + length(s) FROM accounts WHERE s IS NOT NULL
+), near AS (
+  SELECT *, translate(substr(t, CAST(greatest(1, a - 39) AS BIGINT), CAST(least(40, a) AS BIGINT)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l, translate(substr(t, CAST(b + 1 AS BIGINT), 20), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM valid WHERE k >= 6
+), words(k, pro, con) AS (VALUES (6, '\b(?:ssn|social|security|taxpayer)\b', '\b(?:order|invoice|part)\b'), (7, '\b(?:tel|telephone|phone|mobile|call|fax|whatsapp)\b', '\b(?:order|invoice|isbn)\b')
+), further AS (
+  SELECT rid, k, a, b FROM near JOIN words USING (k) WHERE (regexp_matches(l, pro) OR regexp_matches(r, pro)) AND NOT (regexp_matches(l, con) OR regexp_matches(r, con))
+  UNION ALL SELECT rid, k, a, b FROM valid WHERE k = 5
+), kept AS (
+  SELECT rid, k, a, b FROM valid WHERE k <= 4
+  UNION ALL SELECT f.rid, f.k, f.a, f.b FROM further f WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.k <= 4 AND v.rid = f.rid AND v.a < f.b AND f.a < v.b)
+), lists AS (
+  SELECT rid, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card, count(*) FILTER (k = 4) AS n_phone,
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k <= 4) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans
+  FROM kept JOIN kinds USING (k) GROUP BY rid
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM norm LEFT JOIN lists USING (rid)
+"""
+
+OP12_SQL = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.rid AS aid, a.vec_id AS anchor_id, c.rid, c.vec_id, c.label = a.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON c.rid <> a.rid WHERE a.vec_id % 100 = 0
+), pos AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id) AS k FROM scored WHERE same AND vec_id <> anchor_id) WHERE k <= 5
+), met AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.aid, p.rid ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM pos p JOIN scored s ON s.aid = p.aid AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op11_personal_data": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op1_top_k": OP1_SQL, "op4_substrings": OP4_SQL, "op5_decontaminate": OP5_SQL, "op10_warc_revisits": OP10_SQL}
