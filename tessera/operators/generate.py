@@ -1,4 +1,4 @@
-"""Synthetic rows: profiles, Gaussian copulas, injection, edge cases, relational generation.
+"""Synthetic rows: profiles, Gaussian copulas, injection, edge cases, child counts.
 
 Every value is a function of the seed, a stream name and the row id, so results do not depend on
 partitioning, and every generator is one narrow projection over ``spark.range``.
@@ -11,18 +11,20 @@ from itertools import count
 from math import gcd
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing
 from tessera.functions.normal import phi, phi_inverse
 from tessera.operators import stats
-from tessera.schema import Graph, family
+from tessera.schema import family
 
 #: Points of a quantile grid.
 GRID = 101
 #: Most values that a profile or a draw holds on the driver; more are kept as a table.
 FEW = 1_000
+#: Most rows of scores that are broadcast.
+BROADCAST = 200_000
 #: Ranges of [0, 1) by which a draw meets a table of shares.
 RANGES = 1_024
 
@@ -67,14 +69,16 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> list[Profile]:
     columns = columns or df.columns
     types = dict(df.dtypes)
     first = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], *[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    kinds = {c: family(types[c]) for c in columns}
+    ranged = {c: F.unix_micros(F.col(f"`{c}`").cast("timestamp")) if kinds[c] == "datetime" else F.col(f"`{c}`") for i, c in enumerate(columns) if kinds[c] in {"datetime", "float"} or (kinds[c] == "int" and first[f"d{i}"] > 10)}
+    grids = stats.quantile_grids(df, ranged, GRID) if ranged else {}
     out = []
     for i, c in enumerate(columns):
-        kind, present, distinct = family(types[c]), first[f"c{i}"], first[f"d{i}"]
+        kind, present, distinct = kinds[c], first[f"c{i}"], first[f"d{i}"]
         p = Profile(c, "category", types[c], null_rate=1 - present / first["n"] if first["n"] else 0.0)
-        if kind == "datetime" or kind == "float" or (kind == "int" and distinct > 10):
+        if c in ranged:
             p.kind = "datetime" if kind == "datetime" else "numeric"
-            source = df.select(F.unix_micros(F.col(f"`{c}`").cast("timestamp")).alias("v")) if kind == "datetime" else df.select(F.col(f"`{c}`").alias("v"))
-            p.grid = stats.quantiles(source, "v", GRID) or [0.0] * GRID
+            p.grid = grids.get(c) or [0.0] * GRID
         elif kind == "str" and distinct >= 50 and distinct > 0.5 * present:
             p.kind = "identifier"
             sample = df.where(F.col(f"`{c}`").isNotNull()).agg(F.min(f"`{c}`")).first()[0]
@@ -112,6 +116,8 @@ class Copula:
 
     profiles: list[Profile]
     correlation: np.ndarray
+    #: Mean and deviation of each column's normal scores, which are below 0 and 1 where few values share ranks.
+    scores: list[tuple[float, float]] = field(default_factory=list)
 
     @property
     def factor(self) -> np.ndarray:
@@ -129,28 +135,33 @@ def valid_correlation(c: np.ndarray, least: float = 1e-6) -> np.ndarray:
 
 
 def normal_scores(df: DataFrame, profiles: list[Profile]) -> DataFrame:
-    """z0, z1, ...: each value's mean rank over (n + 1), through the inverse normal; from value counts alone."""
-    made = df
-    cols = []
+    """z0, z1, ...: each value's mean rank over (n + 1), through the inverse normal; from value counts alone.
+
+    All columns are counted and ranked in one pass; the cells then meet their scores in one join, by row.
+    """
+    made, columns = df, {}
     for i, p in enumerate(profiles):
         c = F.col(f"`{p.name}`")
-        v = F.unix_micros(c.cast("timestamp")).cast("double") if p.kind == "datetime" else c.cast("double") if p.kind == "numeric" else None
-        if v is None and p.table is not None:
-            parts = p.table.select(F.col("v").alias("__pv"), F.col("low").alias(f"__v{i}"))
-            made = made.join(parts, F.col(f"`{p.name}`").cast("string") == F.col("__pv"), "left").drop("__pv")
-            continue
-        if v is None:
-            # a category is ranked by its place in the profile: frequent values first
+        if p.kind in {"datetime", "numeric"}:
+            v = F.unix_micros(c.cast("timestamp")).cast("double") if p.kind == "datetime" else c.cast("double")
+        elif p.table is not None:
+            # a category is ranked by its place in the profile: the part of [0, 1) of many values, frequent ones first of few
+            parts = p.table.select(F.col("v").alias(f"__pv{i}"), F.col("low").alias(f"__v{i}"))
+            made = made.join(parts, c.cast("string") == F.col(f"__pv{i}"), "left")
+            v = F.col(f"__v{i}")
+        else:
             place = F.array_position(F.array(*[F.lit(x) for x in p.values]), c.cast("string")) if p.values else F.lit(None)
             v = F.when(c.isNotNull() & (place > 0), place.cast("double"))
-        made = made.withColumn(f"__v{i}", v)
-    for i in range(len(profiles)):
-        ranks = stats.ranked(made.select(F.col(f"__v{i}")), f"__v{i}", f"__v{i}")
-        n = made.agg(F.count(f"__v{i}").alias("n")).first()["n"]
-        scores = ranks.select(f"__v{i}", phi_inverse(F.col("rank") / (n + 1)).alias(f"z{i}"))
-        made = made.join(F.broadcast(scores) if n < 100_000 else scores, f"__v{i}", "left")
-        cols.append(f"z{i}")
-    return made.select(*cols)
+        columns[p.name] = v
+    values = made.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(columns.values())])
+    named = {f"v{i}": F.col(f"v{i}") for i in range(len(profiles))}
+    ranks = stats.running_counts(stats.value_counts(values, named))
+    scores = ranks.select("i", "v", phi_inverse((F.col("before") + (F.col("c") + 1) / 2) / (F.col("n") + 1)).alias("z")).checkpoint()
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(named.values())])
+    melted = values.select(F.monotonically_increasing_id().alias("__row"), F.explode(cells).alias("s")).select("__row", "s.*")
+    few = scores.count() < BROADCAST
+    met = melted.join(F.broadcast(scores) if few else scores, ["i", "v"], "left")
+    return met.groupBy("__row").agg(*[F.max(F.when(F.col("i") == i, F.col("z"))).alias(f"z{i}") for i in range(len(profiles))]).drop("__row")
 
 
 def fit(df: DataFrame, columns: list[str] | None = None) -> Copula:
@@ -159,11 +170,15 @@ def fit(df: DataFrame, columns: list[str] | None = None) -> Copula:
     z = normal_scores(df, used)
     pairs = [(i, j) for i in range(len(used)) for j in range(i + 1, len(used))]
     c = np.eye(len(used))
-    if pairs:
-        row = z.agg(*[F.corr(f"z{i}", f"z{j}").alias(f"r{i}_{j}") for i, j in pairs]).first()
+    scores = []
+    if used:
+        sums = [f(f"z{i}", f"z{j}").alias(f"{n}{i}_{j}") for i, j in pairs for n, f in (("xy", F.regr_sxy), ("xx", F.regr_sxx), ("yy", F.regr_syy))]
+        row = z.agg(*sums, *[f(f"z{i}").alias(f"{n}{i}") for i in range(len(used)) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         for i, j in pairs:
-            c[i, j] = c[j, i] = row[f"r{i}_{j}"] or 0.0
-    return Copula(profiles, valid_correlation(c))
+            spread = (row[f"xx{i}_{j}"] or 0.0) * (row[f"yy{i}_{j}"] or 0.0)  # 0 for a column of one value
+            c[i, j] = c[j, i] = row[f"xy{i}_{j}"] / spread**0.5 if spread > 0 else 0.0
+        scores = [(row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i in range(len(used))]
+    return Copula(profiles, valid_correlation(c), scores)
 
 
 def from_spec(spec: list[dict], correlations: dict[tuple[str, str], float] | None = None) -> Copula:
@@ -219,7 +234,9 @@ def sample_given(model: Copula, given: DataFrame, row_id: str, columns: list[str
     root = np.linalg.cholesky(valid_covariance(c[np.ix_(b, b)] - gain @ c[np.ix_(a, b)]))
     df = given
     for k, i in enumerate(a):
-        df = df.withColumn(f"__g{k}", F.coalesce(phi_inverse(quantile_of(used[i], F.col(f"`{used[i].name}`"))), F.lit(0.0)))
+        mean, spread = model.scores[i] if model.scores else (0.0, 1.0)
+        score = (phi_inverse(quantile_of(used[i], F.col(f"`{used[i].name}`"))) - mean) / spread
+        df = df.withColumn(f"__g{k}", F.coalesce(score, F.lit(0.0)))
     for k, i in enumerate(b):
         df = df.withColumn(f"__e{k}", hashing.gaussian(seed, f"given/{used[i].name}", F.col(row_id)))
     for k, i in enumerate(b):
@@ -229,6 +246,9 @@ def sample_given(model: Copula, given: DataFrame, row_id: str, columns: list[str
             df = drawn(df.withColumn("__gu", phi(mean + noise)), "__gu", used[i].table, used[i].name, used[i].type)
         else:
             df = df.withColumn(used[i].name, marginal(used[i], phi(mean + noise), F.col(row_id)))
+    for p in model.profiles:
+        if p.kind == "identifier":
+            df = df.withColumn(p.name, marginal(p, F.lit(0.0), F.col(row_id)))
     return df.drop(*[c for c in df.columns if c.startswith(("__g", "__e"))])
 
 
@@ -406,61 +426,3 @@ def self_reference(row_id: Column, seed: int, root_rate: float = 0.05) -> Column
     u = hashing.uniform(seed, "self", row_id)
     root = (row_id <= 1) | (hashing.uniform(seed, "self-root", row_id) < root_rate)
     return F.when(~root, (F.floor(u * (row_id - 1)) + 1).cast("long"))
-
-
-def weighted_partners(weights: DataFrame, parent: str, partner: str, weight: str, k: str, seed: int) -> DataFrame:
-    """``k`` distinct partners for each parent, without replacement and by weight (exponential keys)."""
-    u = F.greatest(hashing.uniform(seed, "partners", F.concat_ws("/", F.col(parent).cast("string"), F.col(partner).cast("string"))), F.lit(1e-15))
-    order = Window.partitionBy(parent).orderBy(-F.log(u) / F.col(weight), partner)
-    return weights.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col(k)).drop("__r")
-
-
-def relational(spark: SparkSession, tables: dict[str, DataFrame], graph: Graph, seed: int = 0, scale: float = 1.0) -> dict[str, DataFrame]:
-    """A synthetic dataset in the shape of ``tables``: parents first, child counts and other columns as learned.
-
-    A table's first foreign key (to its largest parent) drives its row count; other foreign keys are drawn
-    among the parents. Keys are 1..n. Columns that are no keys come from the table's copula.
-    """
-    from tessera.operators.inference import children
-
-    out: dict[str, DataFrame] = {}
-    sizes: dict[str, int] = {}
-    real = {t: df.count() for t, df in tables.items()}
-    for name in graph.order():
-        df, table = tables[name], graph.tables[name]
-        ups = [k for k in graph.parents(name) if k.parent != name and len(k.columns) == 1]
-        selfs = [k for k in graph.parents(name) if k.parent == name]
-        keys = {*table.key, *(c for k in graph.parents(name) for c in k.columns)}
-        plain = [c for c in df.columns if c not in keys]
-        if ups:
-            driver = max(ups, key=lambda k: real[k.parent])
-            seen = children(df, tables[driver.parent], driver).groupBy(F.col("children").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            parents = out[driver.parent].select(F.col(driver.parent_columns[0]).alias("__p"))
-            counted = child_counts(parents, "__p", "learned", seed, name, learned=shares_table(seen))
-            # ids follow the running sum of the counts, which is taken in ranges and not in one task
-            order = F.col("__p").cast("double") if dict(counted.dtypes)["__p"] != "string" else F.xxhash64("__p").cast("double")
-            placed = stats.cumulative(counted.withColumn("__o", order), "__o", {"__before": "children"}, strict=True).where("children > 0")
-            rows = placed.select(F.col("__p").alias(driver.columns[0]), "__before", F.explode(F.sequence(F.lit(1), F.col("children"))).alias("__line")).select(driver.columns[0], (F.col("__before") + F.col("__line") - 1).alias("__id"))
-            sizes[name] = counted.agg(F.sum("children")).first()[0] or 0
-        else:
-            driver = None
-            sizes[name] = max(1, int(real[name] * scale + 0.5))
-            rows = spark.range(sizes[name]).select(F.col("id").alias("__id"))
-        made = rows
-        for k in ups:
-            if k is not driver:
-                made = made.withColumn(k.columns[0], other_reference(made, "__id", sizes[k.parent], seed, k.name))
-        for k in selfs:
-            made = made.withColumn(k.columns[0], self_reference(F.col("__id") + 1, seed))
-        if len(table.key) == 1 and table.key[0] not in {c for k in graph.parents(name) for c in k.columns}:
-            kind = dict(df.dtypes)[table.key[0]]
-            made = made.withColumn(table.key[0], (F.col("__id") + 1).cast(kind) if kind != "string" else F.format_string(f"{name[:3].upper()}-%06d", F.col("__id") + 1))
-        if plain:
-            model = fit(df, plain)
-            values = sample(spark, model, sizes[name], seed + 1).withColumnRenamed("__id", "__sid")
-            made = made.join(values, F.col("__id") == F.col("__sid"), "left")
-        for k in graph.parents(name):
-            if k.columns[0] in made.columns:
-                made = made.withColumn(k.columns[0], F.col(k.columns[0]).cast(dict(df.dtypes)[k.columns[0]]))
-        out[name] = made.select(*[c for c in df.columns if c in made.columns])
-    return out

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoints
+
 
 def cumulative(df: DataFrame, order: str, sums: dict[str, str], buckets: int | None = None, strict: bool = False) -> DataFrame:
     """``df`` with running sums over the whole frame: {new column: summed column}, in ``order``.
@@ -63,6 +65,61 @@ def even_quantiles(df: DataFrame, column: str, steps: int) -> DataFrame:
     return both.select("i", F.when(part == 0, F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b")).alias("value"))
 
 
+def value_counts(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """i, v, c: how often column number i has the double v, for all columns in one pass; nulls are left out."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), e.cast("double").alias("v")) for i, e in enumerate(columns.values())])
+    return df.select(F.explode(cells).alias("s")).select("s.*").where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"))
+
+
+def running_counts(counts: DataFrame) -> DataFrame:
+    """``counts`` (i, v, c) with ``before``, the counts of smaller values of the same column, and ``n``, the column's total.
+
+    All columns are ranged together by (i, v); a window runs within each range, and the ranges' totals, one row
+    for each range and column, are summed beside. The ranges are drawn from a sample, so they are written once.
+    """
+    spark = counts.sparkSession
+    checkpoints(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(parts, "i", "v").withColumn("__b", F.spark_partition_id()).checkpoint()
+    run = Window.partitionBy("__b", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__b", "i").agg(F.sum("c").alias("__t"))
+    column = Window.partitionBy("i")
+    before = column.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__b", "i", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"), F.sum("__t").over(column).alias("n"))
+    inside = dealt.withColumn("__r", F.coalesce(F.sum("c").over(run), F.lit(0)))
+    return inside.join(F.broadcast(offsets), ["__b", "i"]).select("i", "v", "c", (F.col("__r") + F.col("__o")).alias("before"), "n")
+
+
+def quantile_table(df: DataFrame, columns: dict[str, Column], steps: int) -> DataFrame:
+    """i, q, value: the exact linear quantile at q / ``steps`` of column number i, for all columns in one pass."""
+    run = running_counts(value_counts(df, columns))
+    # as in ``even_quantiles``: the quantiles of which a value is the lower or the upper end, by its places
+    places = run.selectExpr(
+        "i", "v", "n", "before", "c",
+        f"(before * {steps} + n - 2) div greatest(n - 1, 1) AS low_first",
+        f"((before + c) * {steps} + n - 2) div greatest(n - 1, 1) - 1 AS low_last",
+        f"CASE WHEN before = 0 THEN 0 ELSE ((before - 1) * {steps}) div greatest(n - 1, 1) + 1 END AS high_first",
+        f"((before + c - 1) * {steps}) div greatest(n - 1, 1) AS high_last",
+    )
+
+    def ends(side: str) -> DataFrame:
+        first = F.when(F.col("n") == 1, 0).otherwise(F.col(f"{side}_first")).cast("long")
+        final = F.when(F.col("n") == 1, steps).otherwise(F.least(F.col(f"{side}_last"), F.lit(steps))).cast("long")
+        return places.where(first <= final).select("i", "n", F.explode(F.sequence(first, final)).alias("q"), F.lit(side).alias("side"), "v")
+
+    both = ends("low").unionByName(ends("high")).groupBy("i", "n", "q").agg(F.max(F.when(F.col("side") == "low", F.col("v"))).alias("a"), F.max(F.when(F.col("side") == "high", F.col("v"))).alias("b"))
+    part = F.pmod(F.col("q") * (F.col("n") - 1), F.lit(steps)) / F.lit(float(steps))
+    return both.select("i", "q", F.when(part == 0, F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b")).alias("value"))
+
+
+def quantile_grids(df: DataFrame, columns: dict[str, Column], points: int) -> dict[str, list[float]]:
+    """The grids of several columns on the driver, at most 1000 numbers each; columns without values are left out."""
+    found: dict[int, dict[int, float]] = {}
+    for r in quantile_table(df, columns, min(points, 1000) - 1).collect():
+        found.setdefault(r["i"], {})[r["q"]] = r["value"]
+    return {name: [found[i][q] for q in range(len(found[i]))] for i, name in enumerate(columns) if i in found}
+
+
 def kth_smallest(df: DataFrame, column: str, k: int, few: int = 50_000) -> tuple[float, int]:
     """(the ``k``-th smallest value of a numeric column, from 1; the number of smaller ones); nulls are left out.
 
@@ -98,13 +155,13 @@ def kth_smallest(df: DataFrame, column: str, k: int, few: int = 50_000) -> tuple
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, min, q1, median, q3, max, mean, std (population) for numeric columns."""
-    aggs, quarters = [], None
+    aggs = []
     for c in columns:
         v = F.col(f"`{c}`").cast("double")
         aggs.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")))
-        q = even_quantiles(df, c, 4).where("i between 1 and 3").select(F.lit(c).alias("column"), "i", "value")
-        quarters = q if quarters is None else quarters.unionByName(q)
-    wide = quarters.groupBy("column").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(("q1", "median", "q3"), 1)])
+    quarters = quantile_table(df, {c: F.col(f"`{c}`") for c in columns}, 4).where("q between 1 and 3")
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
+    wide = quarters.groupBy(names.alias("column")).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in enumerate(("q1", "median", "q3"), 1)])
     rows = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
     return rows.join(wide, "column", "left").select("column", "n", "min", "q1", "median", "q3", "max", "mean", "std")
 

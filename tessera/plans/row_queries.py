@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import checksums, hashing
 from tessera.functions.normal import phi_inverse
-from tessera.operators import claims, generate, repair, rows
+from tessera.operators import claims, generate, relational, repair, rows
 from tessera.operators.rules import plans
 from tessera.schema import Graph
 from tessera.sources.tables import read, tpc, tpc_graph
@@ -210,7 +210,7 @@ def copula_conditional(spark, sf_dir):
 @query("relational_generation")
 def relational_generation(spark, sf_dir):
     tables, graph = tpc(spark, sf_dir, "customer", "orders"), tpc_graph("customer", "orders")
-    return generate.relational(spark, tables, graph, seed=3)["orders"]
+    return relational.generate_all(relational.fit(tables, graph), seed=3).tables["orders"]
 
 
 @query("child_counts_poisson", "SELECT c_custkey, 0 AS bad FROM customer")

@@ -14,7 +14,7 @@ from tessera import jobs
 from tessera.functions import checksums, formats, hashing
 from tessera.functions.normal import phi, phi_inverse
 from tessera.language import requests
-from tessera.operators import claims, documents, generate, inference, people, rows, sampling, scoring, stats
+from tessera.operators import claims, documents, generate, inference, people, relational, rows, sampling, scoring, stats
 from tessera.plans import row_queries
 from tessera.schema import ForeignKey, Graph, Table
 from tessera.sources import datasets, sinks
@@ -112,7 +112,7 @@ def test_copula_keeps_marginals_and_dependence(spark):
 
 def test_relational_generation_has_whole_keys(spark):
     t, g = datasets.shop(spark, 120, 1), datasets.shop_graph()
-    made = generate.relational(spark, t, g, seed=2)
+    made = relational.generate_all(relational.fit(t, g), seed=2).tables
     from tessera.operators import integrity
 
     assert integrity.report(made, g).agg(F.sum("count")).first()[0] == 0
