@@ -23,8 +23,6 @@ from tessera.schema import family
 GRID = 101
 #: Most values that a profile or a draw holds on the driver; more are kept as a table.
 FEW = 1_000
-#: Most rows of scores that are broadcast.
-BROADCAST = 200_000
 #: Ranges of [0, 1) by which a draw meets a table of shares.
 RANGES = 1_024
 
@@ -157,11 +155,7 @@ def normal_scores(df: DataFrame, profiles: list[Profile]) -> DataFrame:
     named = {f"v{i}": F.col(f"v{i}") for i in range(len(profiles))}
     ranks = stats.running_counts(stats.value_counts(values, named))
     scores = ranks.select("i", "v", phi_inverse((F.col("before") + (F.col("c") + 1) / 2) / (F.col("n") + 1)).alias("z")).checkpoint()
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(named.values())])
-    melted = values.select(F.monotonically_increasing_id().alias("__row"), F.explode(cells).alias("s")).select("__row", "s.*")
-    few = scores.count() < BROADCAST
-    met = melted.join(F.broadcast(scores) if few else scores, ["i", "v"], "left")
-    return met.groupBy("__row").agg(*[F.max(F.when(F.col("i") == i, F.col("z"))).alias(f"z{i}") for i in range(len(profiles))]).drop("__row")
+    return stats.looked_up(values, scores, "z", "z")
 
 
 def fit(df: DataFrame, columns: list[str] | None = None) -> Copula:

@@ -72,7 +72,7 @@ def value_counts(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def running_counts(counts: DataFrame) -> DataFrame:
-    """``counts`` (i, v, c) with ``before``, the counts of smaller values of the same column, and ``n``, the column's total.
+    """``counts`` (i, v, c, others) with ``before``, the counts of smaller values of the same column, and ``n``, the column's total.
 
     All columns are ranged together by (i, v); a window runs within each range, and the ranges' totals, one row
     for each range and column, are summed beside. The ranges are drawn from a sample, so they are written once.
@@ -87,7 +87,24 @@ def running_counts(counts: DataFrame) -> DataFrame:
     before = column.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__b", "i", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"), F.sum("__t").over(column).alias("n"))
     inside = dealt.withColumn("__r", F.coalesce(F.sum("c").over(run), F.lit(0)))
-    return inside.join(F.broadcast(offsets), ["__b", "i"]).select("i", "v", "c", (F.col("__r") + F.col("__o")).alias("before"), "n")
+    return inside.join(F.broadcast(offsets), ["__b", "i"]).select(*counts.columns, (F.col("__r") + F.col("__o")).alias("before"), "n")
+
+
+#: Most rows of a table of values that are broadcast.
+BROADCAST = 200_000
+
+
+def looked_up(values: DataFrame, table: DataFrame, new: str, prefix: str) -> DataFrame:
+    """``values`` (v0, v1, ...) with each value replaced by ``table``'s (i, v, ``new``): columns ``prefix`` 0, 1, ...; one join for all, by row.
+
+    ``table`` is written already: it is counted, and broadcast where it is small.
+    """
+    n = len(values.columns)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(n)])
+    # rows get their numbers before they are parted into cells
+    melted = values.withColumn("__row", F.monotonically_increasing_id()).select("__row", F.explode(cells).alias("s")).select("__row", "s.*")
+    met = melted.join(F.broadcast(table) if table.count() < BROADCAST else table, ["i", "v"], "left")
+    return met.groupBy("__row").agg(*[F.max(F.when(F.col("i") == i, F.col(new))).alias(f"{prefix}{i}") for i in range(n)]).drop("__row")
 
 
 def quantile_table(df: DataFrame, columns: dict[str, Column], steps: int) -> DataFrame:
@@ -335,55 +352,32 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return r.agg(F.try_divide(rank_sum - pos * (pos + 1) / 2, pos * (all_n - pos)).alias("auc"))
 
 
-def distance2(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two arrays of doubles."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+def auc_by_class(df: DataFrame, label: str, classes: list, scores: dict) -> dict:
+    """class -> area under the ROC curve of its score against all other classes, by rank sums of all classes in one pass.
 
+    ``label`` is a column of ``df``, ``scores`` the columns of the classes. None for a class that has all rows or none.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), scores[k].cast("double").alias("v"), (F.col(f"`{label}`") == F.lit(k)).alias("y")) for i, k in enumerate(classes)])
+    counts = df.where(F.col(f"`{label}`").isNotNull()).select(F.explode(cells).alias("s")).select("s.*").where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"), F.count_if("y").alias("p"))
+    run = running_counts(counts)
+    rows = run.groupBy("i", "n").agg(F.sum("p").alias("p"), F.sum(F.col("p") * (F.col("before") + (F.col("c") + 1) / 2)).alias("r")).collect()
+    found = {r["i"]: (r["r"] - r["p"] * (r["p"] + 1) / 2) / (r["p"] * (r["n"] - r["p"])) if 0 < r["p"] < r["n"] else None for r in rows}
+    return {k: found.get(i) for i, k in enumerate(classes)}
+
+
+def confusion(df: DataFrame, label: str, predicted: str) -> dict[str, float | None]:
+    """accuracy and macro_f1 (the plain mean over all classes that occur as label or prediction), from the table of both."""
+    rows = df.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{label}`").alias("a"), F.col(f"`{predicted}`").alias("b")).count().collect()  # classes squared
+    n = sum(r["count"] for r in rows)
+    if not n:
+        return {"accuracy": None, "macro_f1": None}
+    f1 = []
+    for k in {r["a"] for r in rows} | {r["b"] for r in rows}:
+        hit, said, real = (sum(r["count"] for r in rows if ok(r)) for ok in (lambda r, k=k: r["a"] == r["b"] == k, lambda r, k=k: r["b"] == k, lambda r, k=k: r["a"] == k))
+        f1.append(2 * hit / (said + real))
+    return {"accuracy": sum(r["count"] for r in rows if r["a"] == r["b"]) / n, "macro_f1": sum(f1) / len(f1)}
 
-def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, block: int = 4_096) -> DataFrame:
-    """id, distance: exact distance of each query to its nearest other row.
 
-    Queries and rows are dealt into blocks of about ``block``; each pair of blocks is one task, and the
-    minima of all tasks are merged by one aggregation. Rows without id or vector take no part, nor do
-    vectors with components that are null or not finite.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    def whole(df: DataFrame) -> DataFrame:
-        picked = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-        return picked.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf))))
-
-    asked, others = whole(queries), whole(rows)
-    n_asked, n_others = asked.count(), others.count()
-    q_blocks, r_blocks = max(1, -(-n_asked // block)), max(1, -(-n_others // block))
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, q: bool) -> DataFrame:
-        number = F.pmod(F.xxhash64("id", "v"), F.lit(n_own)).cast("int")
-        return df.select("id", "v", F.lit(q).alias("q"), number.alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
-
-    met = dealt(asked, "a", q_blocks, "b", r_blocks, True).unionByName(dealt(others, "b", r_blocks, "a", q_blocks, False))
-
-    def solve(table: pa.Table) -> pa.Table:
-        ids, is_query = table.column("id").to_numpy(), table.column("q").to_numpy(zero_copy_only=False)
-        v = table.column("v").combine_chunks()
-        sizes = np.diff(v.offsets.to_numpy())
-        if len(set(sizes.tolist())) > 1:
-            raise ValueError("vectors of different lengths")
-        grid = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1 if sizes[0] else 0)
-        own_ids, own, other_ids, other = ids[is_query], grid[is_query], ids[~is_query], grid[~is_query]
-        best = np.full(len(own_ids), np.inf)
-        for start in range(0, len(other_ids) if len(own_ids) else 0, 1_024):
-            part, part_ids = other[start : start + 1_024], other_ids[start : start + 1_024]
-            d = (own**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * own @ part.T
-            same = own_ids[:, None] == part_ids[None, :]
-            d[same] = np.inf
-            # the product only rules rows out: all that may be nearest within its rounding are measured by differences
-            scale = (own**2).sum(1) + (part**2).sum(1).max(initial=0)
-            a, b = np.nonzero((d <= (d.min(1) + 1e-13 * (own.shape[1] + 4) * scale)[:, None]) & ~same)
-            np.minimum.at(best, a, ((own[a] - part[b]) ** 2).sum(1))
-        keep = np.isfinite(best)
-        return pa.table({"id": pa.array(own_ids[keep], pa.int64()), "d2": pa.array(best[keep], pa.float64())})
-
-    near = met.groupBy("a", "b").applyInArrow(solve, "id long, d2 double")
-    return near.groupBy("id").agg(F.sqrt(F.min("d2")).alias("distance"))
+def distance2(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance of two arrays of doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import scoring
+from tessera.operators import relational, relations, scoring, stats
 from tessera.sources.tables import read, tpc, tpc_graph
 
 from .registry import query
@@ -78,3 +78,49 @@ def tstr_report(spark, sf_dir):
 def trust_report(spark, sf_dir):
     found = scoring.trust(90.0, 75.0, 75.0)
     return spark.createDataFrame([(found["score"], found["band"])], "score double, band string")
+
+
+# lines against their orders, parts, suppliers and customers: every group effect and rank correlation
+_GROUPS = [("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("customer", "c_mktsegment")]
+_NUMBERS = [("orders", "o_totalprice"), ("part", "p_size"), ("part", "p_retailprice"), ("supplier", "s_acctbal"), ("customer", "c_acctbal")]
+_LINES = "lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN customer ON c_custkey = o_custkey"
+
+
+def _eta2_sql(table: str, column: str, y: str) -> str:
+    groups = f"SELECT {column} AS g, count({y}) AS n, sum({y}) AS s, sum({y} * {y}) AS q FROM wide WHERE {column} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1"
+    return f"SELECT 'group' AS kind, '{y}' AS child_column, '{table}' AS ancestor, '{column}' AS ancestor_column, round((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)), 6) AS effect FROM ({groups})"
+
+
+def _rank_sql(table: str, column: str, y: str) -> str:
+    mean = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
+    return f"SELECT 'rank', '{y}', '{table}', '{column}', round(corr(a, b), 6) FROM (SELECT {mean(column)} AS a, {mean(y)} AS b FROM wide)"
+
+
+@query("cross_effects", f"WITH wide AS (SELECT * FROM {_LINES}) " + " UNION ALL ".join([_eta2_sql(t, c, y) for t, c in _GROUPS for y in ("l_quantity", "l_extendedprice")] + [_rank_sql(t, c, y) for t, c in _NUMBERS for y in ("l_quantity", "l_extendedprice")]))
+def cross_effects(spark, sf_dir):
+    names = ("lineitem", "orders", "part", "supplier", "customer")
+    tables, graph = tpc(spark, sf_dir, *names), tpc_graph(*names)
+    picked = {"lineitem": ["l_quantity", "l_extendedprice"], "orders": ["o_orderstatus", "o_orderpriority", "o_totalprice"], "part": ["p_size", "p_retailprice"], "supplier": ["s_acctbal"], "customer": ["c_mktsegment", "c_acctbal"]}
+    few = {"o_orderstatus", "o_orderpriority", "c_mktsegment"}
+    known = {t: {c: 5 if c in few else relational.STRATA_VALUES + 1 for c in cs} for t, cs in picked.items()}
+    found = relations.effects(tables, graph, "lineitem", known, {t: relations.ANCESTOR_ROWS for t in names})
+    rows = [(e.kind, e.child_column, e.ancestor, e.ancestor_column, round(e.value, 6)) for e in found]
+    return spark.createDataFrame(rows, "kind string, child_column string, ancestor string, ancestor_column string, effect double")
+
+
+# return flags guessed from three scores of a line
+_SCORES = {"A": "l_discount", "N": "l_quantity / 50", "R": "l_tax * 4"}
+
+
+@query("classification_metrics", f"""
+WITH s AS (SELECT l_returnflag AS y, {', '.join(f'{e} AS s{k}' for k, e in _SCORES.items())} FROM lineitem
+), g AS (SELECT *, CASE WHEN sA >= sN AND sA >= sR THEN 'A' WHEN sN >= sR THEN 'N' ELSE 'R' END AS p FROM s
+), f AS (SELECT k, 2 * count(*) FILTER (WHERE y = k AND p = k) / (count(*) FILTER (WHERE y = k) + count(*) FILTER (WHERE p = k)) AS f1 FROM g, (SELECT unnest(['A', 'N', 'R']) AS k) GROUP BY k)
+SELECT 'accuracy' AS metric, round(avg(CAST(y = p AS DOUBLE)), 9) AS value FROM g UNION ALL SELECT 'macro_f1', round(avg(f1), 9) FROM f
+""" + "".join(f" UNION ALL SELECT 'auc_{k}', round((sum(r) FILTER (WHERE y = '{k}') - any_value(p) * (any_value(p) + 1) / 2) / (any_value(p) * (count(*) - any_value(p))), 9) FROM (SELECT y, rank() OVER (ORDER BY s{k}) + (count(*) OVER (PARTITION BY s{k}) - 1) / 2 AS r, count(*) FILTER (WHERE y = '{k}') OVER () AS p FROM s)" for k in _SCORES))
+def classification_metrics(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_returnflag", *[F.expr(e).alias(f"s{k}") for k, e in _SCORES.items()])
+    said = lines.withColumn("said", F.expr("CASE WHEN sA >= sN AND sA >= sR THEN 'A' WHEN sN >= sR THEN 'N' ELSE 'R' END"))
+    areas = stats.auc_by_class(lines, "l_returnflag", list(_SCORES), {k: F.col(f"s{k}") for k in _SCORES})
+    found = stats.confusion(said, "l_returnflag", "said") | {f"auc_{k}": v for k, v in areas.items()}
+    return spark.createDataFrame([(k, round(v, 9)) for k, v in found.items()], "metric string, value double")

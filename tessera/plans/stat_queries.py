@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import inference, stats
+from tessera.operators import inference, neighbours, stats
 from tessera.sources.tables import read, shop, shop_sql, tpc, tpc_graph
 
 from .registry import query
@@ -125,7 +125,7 @@ FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.label = 0 GR
 """)
 def nn_distance(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
-    return stats.nearest(rows.where("label = 0"), rows, "vec_id", "embedding").select("id", F.round("distance", 6).alias("distance"))
+    return neighbours.nearest(rows.where("label = 0"), rows, "vec_id", "embedding").select("id", F.round("distance", 6).alias("distance"))
 
 
 @query("nn_distance_all", """
@@ -134,7 +134,7 @@ FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id GROUP BY 1
 """)
 def nn_distance_all(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
-    return stats.nearest(rows, rows, "vec_id", "embedding").select("id", F.round("distance", 6).alias("distance"))
+    return neighbours.nearest(rows, rows, "vec_id", "embedding").select("id", F.round("distance", 6).alias("distance"))
 
 
 @query("key_stats", "\nUNION ALL\n".join(f"SELECT '{v}' AS \"table\", '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\" FROM {shop_sql(v)}" for v, cols in (("customers", ("customer_id", "name", "nation_id", "segment")), ("nations", ("nation_id", "name", "region_id"))) for c in cols))

@@ -14,7 +14,7 @@ from tessera import jobs
 from tessera.functions import checksums, formats, hashing
 from tessera.functions.normal import phi, phi_inverse
 from tessera.language import requests
-from tessera.operators import claims, documents, generate, inference, people, relational, rows, sampling, scoring, stats
+from tessera.operators import claims, documents, generate, inference, neighbours, people, relational, rows, sampling, scoring, stats
 from tessera.plans import row_queries
 from tessera.schema import ForeignKey, Graph, Table
 from tessera.sources import datasets, sinks
@@ -55,7 +55,7 @@ def test_nearest_of_any_number_of_queries(spark):
     vector = F.array(F.col("id").cast("double"), F.lit(3.0))
     queries = spark.range(60_000).select("id", vector.alias("v"))
     rows = spark.range(0, 60_000, 1_000).select("id", vector.alias("v"))
-    found = stats.nearest(queries, rows, "id", "v").collect()
+    found = neighbours.nearest(queries, rows, "id", "v").collect()
     assert len(found) == 60_000
     for r in found:
         low, over = r.id // 1_000 * 1_000, r.id % 1_000
@@ -67,11 +67,11 @@ def test_nearest_in_blocks(spark):
     r = random.Random(3)
     points = [(i, [r.gauss(0, 1) for _ in range(5)]) for i in range(300)] + [(300, [1e3] * 5), (301, [1e3] * 5)]
     df = spark.createDataFrame([*points, (302, None), (None, [0.0] * 5), (303, [0.0, None, 0.0, 0.0, 0.0])], "k long, v array<double>")
-    found = {x.id: x.distance for x in stats.nearest(df, df, "k", "v", block=40).collect()}
+    found = {x.id: x.distance for x in neighbours.nearest(df, df, "k", "v", block=40).collect()}
     assert found.keys() == {i for i, _ in points} and found[300] == found[301] == 0
     for i, v in points:
         assert abs(found[i] - min(math.dist(v, w) for j, w in points if j != i)) < 1e-9
-    assert stats.nearest(df.limit(0), df, "k", "v").count() == 0 and stats.nearest(df, df.limit(0), "k", "v").count() == 0
+    assert neighbours.nearest(df.limit(0), df, "k", "v").count() == 0 and neighbours.nearest(df, df.limit(0), "k", "v").count() == 0
 
 
 def test_privacy_sees_every_row(spark):
@@ -80,8 +80,10 @@ def test_privacy_sees_every_row(spark):
     train, holdout = spark.range(200).select(*row(0.0)), spark.range(200).select(*row(0.9))
     synthetic = spark.range(6_000).select(*row(0.3)).where("__id not in (7, 70, 170)").unionByName(train.where("__id in (7, 70, 170)"))
     near = synthetic.unionByName(train.limit(1).selectExpr("cast(9999 as long) as __id", "x", "'other' as c"))
-    assert abs(scoring.privacy(train, synthetic, holdout)["parts"]["copies"] - 100 * (1 - 3 / 6_000)) < 1e-9
-    assert abs(scoring.privacy(train, near, holdout)["parts"]["copies"] - 100 * (1 - 3 / 6_001)) < 1e-9
+    found = scoring.privacy(train, synthetic, holdout)
+    assert found["copies"]["any"] == 3 / 6_000 and abs(found["parts"]["copies"] - 100 * (1 - 20 * 3 / 6_000)) < 1e-9
+    assert {(a, b) for a, b, d in found["flagged"] if d == 0} == {(7, 7), (70, 70), (170, 170)}
+    assert scoring.copied(train.drop("__id"), near.drop("__id"))["any"] == 3 / 6_001
 
 
 def test_entity_pairs_of_the_whole_table(spark, tmp_path):
