@@ -13,7 +13,10 @@
 
 By similarity (``one_of_each(similarity=...)``), steps 2 to 4 run over fingerprints of 256 bits. So wide a
 radius has no small set of blocks in which every pair must meet: buckets are bands of sampled bits, as many
-as meet a pair just at the limit with the stated probability.
+as meet a pair just at the limit with the stated probability. Fingerprints estimate the similarity within some
+bits, so candidates are taken ``SPREADS`` deviations beyond the limit and each link is verified on the sets of
+shingles themselves. Candidates within one component of verified links need no verification: components grow over
+a few rounds, of which the last verifies all candidates between different components.
 
 Null texts count as empty; a text without words has fingerprint zero and links like any other.
 Repeated rows each keep their own output row. A component's id is its smallest non-null doc_id.
@@ -29,7 +32,7 @@ from math import acos, ceil, comb, log, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, fresh, keyed, slices, worker, written
@@ -40,15 +43,26 @@ CHUNK = 512
 #: A bucket should hold about so many fingerprints at most when fingerprints are spread evenly.
 BUCKET = 64
 PIVOTS = 32
+#: Shingles of a long text whose bits are laid out at once.
+PART = 1 << 15
 #: 64-bit words of a wide fingerprint; pivots and rows of a chunk for these. At their radius few pivots discard anything.
 WORDS, WIDE_PIVOTS, WIDE_CHUNK = 4, 2, 4096
+#: Deviations of the estimate by which candidates may lie beyond the limit.
+SPREADS = 2.0
+#: Candidates of a component that a round verifies; None: all that are left.
+ROUNDS = (1, 8, None)
 
 
 def majority(hashes: list[list[int]]) -> np.ndarray:
     """The fingerprint (uint64) of each list of 64-bit hashes: bits set in over half of them."""
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
     out = np.zeros(len(hashes), np.uint64)
-    some = np.flatnonzero(counts)
+    for i in np.flatnonzero(counts > PART):  # a very long text is never all bits at once
+        ones = np.zeros(64, np.int64)
+        for lo in range(0, len(hashes[i]), PART):
+            ones += np.unpackbits(np.array(hashes[i][lo : lo + PART], np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[i] = np.packbits(2 * ones > counts[i], bitorder="little").view(np.uint64)[0]
+    some = np.flatnonzero((counts > 0) & (counts <= PART))
     if len(some):
         flat = np.concatenate([np.array(hashes[i], np.uint64) for i in some])
         bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -175,11 +189,13 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_links(points: DataFrame, radius: int = 3, words: tuple[str, ...] = ("fp",), cuts: list[list[int]] | None = None, references: np.ndarray | None = None, most: int | None = None) -> DataFrame:
+def near_links(points: DataFrame, radius: int = 3, words: tuple[str, ...] = ("fp",), cuts: list[list[int]] | None = None, references: np.ndarray | None = None, most: int | None = None, all_found: bool = False) -> DataFrame:
     """(u, v) links, as forests, that join the ``fp`` of every two points within ``radius`` bits that agree on a mask.
 
     ``words`` name the 64-bit words of a fingerprint; ``cuts`` are masks of one number for each word (by default those
     on one of which every pair within the radius agrees). Buckets beyond ``most`` rows are dealt in chunks.
+    ``all_found``: not forests but what was found, which is every pair of a small bucket, and of a larger one each row
+    with the rows that it reached first.
     """
     count = points.count()
     cuts = [[m] for m in masks(count, radius)] if cuts is None else cuts
@@ -202,6 +218,8 @@ def near_links(points: DataFrame, radius: int = 3, words: tuple[str, ...] = ("fp
 
         def solve(rows: np.ndarray) -> pa.RecordBatch:
             a, b = links_in(rows[0], rows[first:].view(np.uint64), radius, references)
+            if all_found:
+                return pa.RecordBatch.from_arrays([pa.array(rows[1][a]), pa.array(rows[1][b])], names=["u", "v"])
             root = forest(rows.shape[1], a, b)
             child = np.flatnonzero(root != np.arange(rows.shape[1]))
             u, v = rows[1][child], rows[1][root[child]]
@@ -243,22 +261,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
 
 
 def wide_printer(shingle: int, seed: int) -> Callable[[pa.Array], list[pa.Array]]:
-    """A text column -> the WORDS words of its fingerprints of 64 * WORDS bits, as longs."""
+    """A text column -> the WORDS words of its fingerprints of 64 * WORDS bits, as longs, and a hash of its set of shingles."""
     digests = [partial(xxhash.xxh3_128_digest, seed=seed + i) for i in range(WORDS // 2)]
 
     def of(text: str) -> np.ndarray:
         words = text.encode().lower().split()
         if not words:
-            return np.zeros(WORDS, np.uint64)
+            return np.zeros(WORDS + 1, np.uint64)
+        seen = []
         number = max(1, len(words) - shingle + 1)
         ones = np.zeros(64 * WORDS, np.int64)
         for lo in range(0, number, 1 << 15):  # a very long text is never all bits at once
             part = words[lo : lo + (1 << 15) + shingle - 1]
             pieces = [b" ".join(part)] if number == 1 else list(map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)))
             raw = np.hstack([np.frombuffer(b"".join(map(d, pieces)), np.uint8).reshape(-1, 16) for d in digests])
+            seen.append(np.unique(np.ascontiguousarray(raw[:, :8]).view(np.uint64)))
             bits = np.unpackbits(raw, axis=1, bitorder="little")
             ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        return np.packbits(2 * ones > number, bitorder="little").view(np.uint64)
+        members = seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen))
+        return np.r_[np.packbits(2 * ones > number, bitorder="little").view(np.uint64), np.uint64(xxhash.xxh64_intdigest(members.tobytes()))]
 
     def take(column: pa.Array) -> list[pa.Array]:
         prints = np.stack([of(t) for texts in slices(column, 1_000_000) for t in texts]).view(np.int64)
@@ -267,6 +288,57 @@ def wide_printer(shingle: int, seed: int) -> Callable[[pa.Array], list[pa.Array]
     return take
 
 
+def shingle_set(text: str, shingle: int, seed: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles, the whole sequence where it has fewer words."""
+    words = text.encode().lower().split()
+    pieces = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in pieces), np.uint64)) if words else np.zeros(0, np.uint64)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (u, v) with ``good``: whether the sets of shingles of both have that similarity (Jaccard). ``sets``: fp, members."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = []
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
+            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+            good.append(both >= similarity * (len(x) + len(y) - both))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["u", "v", "good"])
+
+    sides = [sets.select(F.col("fp").alias(n), F.col("members").alias(f"{n}_members")) for n in ("u", "v")]
+    met = pairs.select("u", "v").join(sides[0], "u").join(sides[1], "v").select("u", "v", "u_members", "v_members")
+    return by_batch(met, run, "u long, v long, good boolean", "simhash")
+
+
+def similar_groups(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the components that the candidate pairs (u, v) of at least that similarity join.
+
+    Of a component's candidates to others a round verifies a few, the last round all that are left: candidates that
+    earlier links have joined anyway are never compared, and no link between different texts is lost.
+    """
+    links: DataFrame | None = None
+    roots: DataFrame | None = None
+    left = candidates
+    for most in ROUNDS:
+        if roots is not None:
+            own, other = (roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in ("u", "v"))
+            left = left.join(own, "u", "left").join(other, "v", "left").select("u", "v", F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b")).where("a <> b")
+        else:
+            left = left.select("u", "v", F.col("u").alias("a"), F.col("v").alias("b"))
+        left = written(left, "open-pairs")
+        picked = left
+        if most is not None:
+            order = Window.partitionBy(F.greatest("a", "b")).orderBy(F.least("a", "b"), "u", "v")
+            picked = left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+        tried = written(verified(picked, sets, similarity), "verified")
+        good = tried.where("good").select("u", "v")
+        links = good if links is None else links.unionByName(good)
+        roots = written(connected(links), "components")
+        left = left.select("u", "v").join(tried.select("u", "v"), ["u", "v"], "left_anti")
+    return roots
+
+
 def differing(similarity: float) -> int:
     """Bits of a wide fingerprint in which texts of that similarity (Jaccard, of shingles) differ on average."""
     return round(64 * WORDS * acos(2 * similarity / (1 + similarity)) / pi)
@@ -288,21 +360,31 @@ def bands(count: int, radius: int, recall: float, seed: int = 1) -> list[list[in
 
 def wide_groups(docs: DataFrame, digest: Column, shingle: int, similarity: float, recall: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, w0, ...) of every row, and (doc_id, digest): the smallest of each component of texts whose
-    similarity, as wide fingerprints estimate it, is ``similarity`` or more."""
+    sets of shingles have ``similarity`` or more."""
     take, words = wide_printer(shingle, seed), tuple(f"w{i}" for i in range(WORDS))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *take(batch.column(1))], names=["doc_id", "digest", *words])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *take(batch.column(1))], names=["doc_id", "digest", *words, "members_hash"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), digest.alias("digest"))
-    rows = written(by_batch(texts, run, "doc_id long, digest long, " + ", ".join(f"{w} long" for w in words), "simhash"), "fingerprints")
-    # numbers are given once, then read: repeated tasks see the same ones
-    points = rows.groupBy(*words).agg(F.min(F.struct("doc_id", "digest")).alias("k"))
+    rows = written(by_batch(texts, run, "doc_id long, digest long, " + ", ".join(f"{w} long" for w in words) + ", members_hash long", "simhash"), "fingerprints")
+    # texts of equal sets are one point; numbers are given once, then read: repeated tasks see the same ones
+    points = rows.groupBy(*words, "members_hash").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
     points = written(points.withColumn("fp", F.monotonically_increasing_id()), "points")
     radius = differing(similarity)
+    beyond = radius + ceil(SPREADS * (radius * (1 - radius / (64 * WORDS))) ** 0.5)
     references = np.stack([pivots(WORDS * WIDE_PIVOTS)[i::WORDS] for i in range(WORDS)])
-    links = near_links(points.select("fp", *words), radius, words, bands(points.count(), radius, recall), references, WIDE_CHUNK)
-    joined = connected(links).withColumnRenamed("node", "fp")
+    near = near_links(points.select("fp", *words), beyond, words, bands(points.count(), radius, recall), references, WIDE_CHUNK, all_found=True)
+    candidates = written(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
+    nodes = candidates.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(points.select("fp", "k"), "fp").select("fp", F.col("k.doc_id").alias("id"), F.col("k.digest").alias("of"))
+    asked = texts.join(nodes, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))).select("fp", "text").dropDuplicates(["fp"])
+
+    def members(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, shingle, seed).tobytes() for part in slices(batch.column(1)) for t in part]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["fp", "members"])
+
+    sets = written(by_batch(asked, members, "fp long, members binary", "simhash"), "shingle-sets")
+    joined = similar_groups(candidates, sets, similarity).withColumnRenamed("node", "fp")
     roots = points.select("fp", "k").join(joined, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
     return rows, roots.agg(F.min("k").alias("k")).select("k.doc_id", "k.digest")
 
@@ -311,8 +393,9 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int =
     """``docs`` (doc_id, text, more columns) with one row of each component: that of the smallest
     (doc_id, hash of text), nulls first. Rows of equal id and text are one document and keep one row.
 
-    With ``similarity``, texts are linked not by ``radius`` of 64 bits but where wide fingerprints estimate their
-    similarity (Jaccard, of shingles) at so much or more; a pair just at the limit is met with probability ``recall``.
+    With ``similarity``, texts are linked not by ``radius`` of 64 bits but where their sets of shingles have that
+    similarity (Jaccard) or more. Wide fingerprints bring candidates together, a pair that they estimate just at the
+    limit with probability ``recall``; every link is verified on the sets.
     """
     doc_id, digest = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     own, kept_id, kept_digest = fresh(docs, "own_digest", "kept_id", "kept_digest")

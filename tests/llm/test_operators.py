@@ -331,6 +331,42 @@ def test_copies_by_similarity(spark, monkeypatch):
     assert simhash.one_of_each(docs.limit(0), shingle=5, similarity=0.8).count() == 0
 
 
+def test_copies_are_what_brute_force_links(spark):
+    """Similarities on both sides of 0.8, with chains: whatever is dropped is linked at 0.8, and nearly all that is linked goes."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    texts = []
+    for _ in range(60):
+        words = [word() for _ in range(r.randrange(80, 200))]
+        texts.append(words)
+        for _ in range(5):
+            words = list(words)
+            for _ in range(r.randrange(1, 9)):
+                words[r.randrange(len(words))] = word()
+            texts.append(words)
+    line = [word() for _ in range(9)]
+    texts += [line * 60 + [word() for _ in range(40)] for _ in range(3)]  # equal majorities, different sets
+    r.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    kept = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), shingle=5, similarity=0.8).collect()}
+    wanted = {i for i in range(len(texts)) if root[i] == i}
+    assert wanted <= kept and len(kept - wanted) <= 0.1 * (len(texts) - len(wanted))
+
+
+def test_fingerprints_of_long_texts_in_parts(monkeypatch):
+    r = random.Random(3)
+    hashes = [[r.getrandbits(64) for _ in range(n)] for n in (0, 1, 7, 8, 9, 100)]
+    whole = simhash.majority(hashes)
+    monkeypatch.setattr(simhash, "PART", 8)
+    assert (simhash.majority(hashes) == whole).all()
+
+
 def test_wide_fingerprints_of_long_texts():
     """Texts beyond one block of shingles, against all bits at once."""
     take = simhash.wide_printer(5, 42)
@@ -340,7 +376,9 @@ def test_wide_fingerprints_of_long_texts():
     raw = np.stack([np.frombuffer(xxhash.xxh3_128_digest(p, 42) + xxhash.xxh3_128_digest(p, 43), np.uint8) for p in pieces])
     ones = np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     want = np.packbits(2 * ones > len(pieces), bitorder="little").view(np.int64)
-    assert [c[0].as_py() for c in take(pa.array([text]))] == want.tolist()
+    found = take(pa.array([text]))
+    members = np.unique(np.ascontiguousarray(raw[:, :8]).view(np.uint64))
+    assert [c[0].as_py() for c in found[:-1]] == want.tolist() and found[-1][0].as_py() & (1 << 64) - 1 == xxhash.xxh64_intdigest(members.tobytes())
 
 
 def test_top_k_is_exact(spark):
