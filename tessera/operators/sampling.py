@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tessera.functions import hashing
 from tessera.operators import generate, repair, stats
 from tessera.operators.rules import plans
-from tessera.operators.rules.language import Call, Literal, Name
+from tessera.operators.rules.language import Call
 from tessera.schema import Graph, Table, family
+from tessera.session import checkpoints
 
 #: Most rounds of oversampling; each draws by the acceptance rate measured so far.
 ROUNDS = 12
@@ -177,28 +178,37 @@ def content_faults(df: DataFrame, text: str = "text", least: int = 5, most: int
     return made.select(F.inline(F.array(*[F.struct(F.lit(k).alias("fault"), F.col(k).alias("n")) for k in ("length", "personal", "repeated")])))
 
 
-def candidate_search(df: DataFrame, column: str, rules: list[str], most: int = 20) -> DataFrame:
-    """``df`` with ``column`` of rows that break a rule set to the most frequent value under which all rules hold.
+def candidate_search(df: DataFrame, column: str, rules: list[str], first: int = 20) -> DataFrame:
+    """``df`` with ``column`` of rows that break a rule set to the most frequent observed value under which all rules hold.
 
-    One projection: the candidates are tried in order inside a coalesce, not in a loop over rows. Rows that no
-    candidate mends stay as they are.
+    All observed values are candidates, by falling frequency. Rows that are still broken meet the next ``first`` of
+    them, then twice as many, and so on: the work is at most twice the place of the value that mends a row, and only
+    rows that nothing mends meet all. These stay as they are, as do rows that break no rule.
     """
+    checkpoints(df.sparkSession)
     kind = dict(df.dtypes)[column]
-    pool = [r[0] for r in df.where(F.col(f"`{column}`").isNotNull()).groupBy(f"`{column}`").count().orderBy(F.desc("count"), f"`{column}`").limit(most).select(f"`{column}`").collect()]
     compiled = plans.compile_rules(rules, {"t": df}, _graph())
     types = plans.Frames({"t": df}, _graph()).types
-    names = [f"t.{c}" for c in df.columns]
+    target = f"t.{column}"
     wide = df.select(*[F.col(f"`{c}`").alias(f"t.{c}") for c in df.columns])
-    holds = lambda: reduce(lambda a, b: a & b, [F.coalesce(plans.expression(r.tree, types, {}).cast("boolean"), F.lit(True)) for r in compiled])
-    marked = wide.withColumn("__ok", holds())
-    tries = []
-    for value in pool:
-        def put(node, value=value):
-            if node == Name("t", column):
-                return Literal(float(value)) if family(kind) in {"int", "float"} else Literal(str(value))
-            return Call(node.op, tuple(put(a) for a in node.args)) if isinstance(node, Call) else node
-
-        ok = reduce(lambda a, b: a & b, [F.coalesce(plans.expression(put(r.tree), types, {}).cast("boolean"), F.lit(True)) for r in compiled])
-        tries.append(F.when(ok, F.lit(value)))
-    new = F.when(F.col("__ok"), F.col(f"`t.{column}`")).otherwise(F.coalesce(*tries, F.col(f"`t.{column}`")))
-    return marked.select(*[new.cast(kind).alias(column) if n == f"t.{column}" else F.col(f"`{n}`").alias(n[2:]) for n in names])
+    holds = reduce(lambda a, b: a & b, [F.coalesce(plans.expression(r.tree, types, {}).cast("boolean"), F.lit(True)) for r in compiled])
+    marked = wide.withColumn("__ok", holds)
+    left = marked.where(~F.col("__ok")).drop("__ok").withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+    broken, mended = left, None
+    counts = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    donors = stats.numbered(counts, [F.desc("__n"), F.asc("__v")], "__place").select("__v", "__place").checkpoint()
+    n, at, size = donors.count(), 0, first
+    while at < n and left.limit(1).count():
+        until = min(at + size, n)
+        some = donors.where(F.col("__place").between(at, until - 1))
+        met = left.withColumn("__place", F.explode(F.sequence(F.lit(at).cast("long"), F.lit(until - 1).cast("long")))).join(some, "__place")
+        tried = met.select("__row", "__place", "__v", *[(F.col("__v").cast(kind) if f"t.{c}" == target else F.col(f"`t.{c}`")).alias(f"t.{c}") for c in df.columns])
+        found = tried.where(holds).groupBy("__row").agg(F.min(F.struct("__place", "__v")).alias("m")).select("__row", F.col("m.__v").alias("__v")).checkpoint()
+        mended = found if mended is None else mended.unionByName(found)
+        left = left.join(found, "__row", "left_anti").checkpoint()
+        at, size = until, 2 * size
+    names = lambda new: [(new if c == column else F.col(f"`t.{c}`")).alias(c) for c in df.columns]
+    good = marked.where("__ok").select(*names(F.col(f"`{target}`")))
+    if mended is None:
+        return good.unionByName(broken.select(*names(F.col(f"`{target}`"))))
+    return good.unionByName(broken.join(mended, "__row", "left").select(*names(F.coalesce(F.col("__v").cast(kind), F.col(f"`{target}`")))))

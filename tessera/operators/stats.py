@@ -90,6 +90,16 @@ def running_counts(counts: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(offsets), ["__b", "i"]).select(*counts.columns, (F.col("__r") + F.col("__o")).alias("before"), "n")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df``, written once, with the place of each row in ``order`` from 0; rows are ranged, and no task sees all of them."""
+    spark = df.sparkSession
+    checkpoints(spark)
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__b", F.spark_partition_id()).checkpoint()
+    offsets = dealt.groupBy("__b").agg(F.count(F.lit(1)).alias("__c")).select("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    inside = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
+    return inside.join(F.broadcast(offsets), "__b").select(*df.columns, (F.col("__r") + F.col("__o") - 1).cast("long").alias(name))
+
+
 #: Most rows of a table of values that are broadcast.
 BROADCAST = 200_000
 

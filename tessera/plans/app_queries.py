@@ -12,7 +12,7 @@ from tessera.sources import datasets, sinks, suites
 from tessera.sources.tables import read, tpc, tpc_graph
 from tessera.streaming import events
 
-from .registry import query
+from .registry import example, query
 
 
 @query("events_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
@@ -61,14 +61,14 @@ def semantic_types(spark, sf_dir):
     return spark.createDataFrame([(c["name"], c["family"], c["semantic"], len(c["constraints"])) for c in found["columns"]], "name string, family string, semantic string, constraints int")
 
 
-@query("request_dataset", "SELECT CAST(2000 AS BIGINT) AS customers, CAST(60 AS BIGINT) AS flagged, CAST(8000 AS BIGINT) AS history")
+@example("request_dataset", "SELECT CAST(2000 AS BIGINT) AS customers, CAST(60 AS BIGINT) AS flagged, CAST(8000 AS BIGINT) AS history")
 def request_dataset(spark, sf_dir):
     t = requests.build(spark, requests.parse("2k bank customers in Spain with 3% fraud and 4 months of history", seed=1).config)
     c = t["customers"].agg(F.count(F.lit(1)).alias("customers"), F.count_if("is_fraud").alias("flagged"))
     return c.crossJoin(t["monthly_activity"].agg(F.count(F.lit(1)).alias("history")))
 
 
-@query("request_edits", "SELECT CAST(1000 AS BIGINT) AS customers, CAST(50 AS BIGINT) AS flagged, CAST(3000 AS BIGINT) AS history")
+@example("request_edits", "SELECT CAST(1000 AS BIGINT) AS customers, CAST(50 AS BIGINT) AS flagged, CAST(3000 AS BIGINT) AS history")
 def request_edits(spark, sf_dir):
     base = requests.parse("2000 bank customers", seed=1).config
     ops, _ = requests.interpret("halve the rows; fraud to 5%; keep 3 months", base)
@@ -77,13 +77,13 @@ def request_edits(spark, sf_dir):
     return c.crossJoin(t["monthly_activity"].agg(F.count(F.lit(1)).alias("history")))
 
 
-@query("shop_integrity", "SELECT CAST(0 AS BIGINT) AS faults")
+@example("shop_integrity", "SELECT CAST(0 AS BIGINT) AS faults")
 def shop_integrity(spark, sf_dir):
     found = integrity.report(datasets.shop(spark, 300, 1, True), datasets.shop_graph(True))
     return found.agg(F.sum("count").alias("faults"))
 
 
-@query("shop_enforced", "SELECT CAST(0 AS BIGINT) AS violations")
+@example("shop_enforced", "SELECT CAST(0 AS BIGINT) AS violations")
 def shop_enforced(spark, sf_dir):
     checkpoints(spark)
     t, g = datasets.shop(spark, 200, 3, True), datasets.shop_graph(True)
@@ -105,7 +105,7 @@ def _dataset(name: str):
 
 
 for _name in datasets.PACKS:
-    query(f"dataset_{_name}")(_dataset(_name))
+    example(f"dataset_{_name}")(_dataset(_name))
 
 
 @query("export_schema", "SELECT 'c_mktsegment' AS name, 'str' AS kind, max(length(c_mktsegment)) AS max_len FROM customer UNION ALL SELECT 'c_name', 'str', max(length(c_name)) FROM customer")
@@ -120,7 +120,7 @@ def sql_literals(spark, sf_dir):
     return df.select("c_custkey", sinks.literal(F.col("n"), "str", "ansi").alias("name"), sinks.literal(F.col("k"), "int", "ansi").alias("nation"))
 
 
-@query("suites_met", "SELECT * FROM (VALUES ('customers', CAST(5 AS BIGINT), CAST(5 AS BIGINT)), ('healthcare', 12, 12), ('shop_full', 21, 21)) AS t(suite, expectations, met)")
+@example("suites_met", "SELECT * FROM (VALUES ('customers', CAST(5 AS BIGINT), CAST(5 AS BIGINT)), ('healthcare', 12, 12), ('shop_full', 21, 21)) AS t(suite, expectations, met)")
 def suites_met(spark, sf_dir):
     rows = []
     for name in sorted(suites.SUITES):

@@ -9,7 +9,7 @@ from tessera.operators import documents, people
 from tessera.sources.locales import PACKS
 from tessera.sources.tables import read
 
-from .registry import query
+from .registry import example, query
 
 
 @query("format_money_us", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || '$' || format('{:,.2f}', abs(CAST(c_acctbal * 1000 AS DECIMAL(18,2)))::DOUBLE) AS v FROM customer")
@@ -44,28 +44,28 @@ def native_digits(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", formats.localized(F.col("c_custkey").cast("string"), PACKS["hi-IN"]).alias("v"))
 
 
-@query("people_coherence", "SELECT c AS \"check\", CAST(400 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS failures, CAST(100 AS DOUBLE) AS pass_pct FROM (SELECT unnest(['script', 'city', 'phone', 'id', 'date', 'currency']) AS c)")
+@example("people_coherence", "SELECT c AS \"check\", CAST(400 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS failures, CAST(100 AS DOUBLE) AS pass_pct FROM (SELECT unnest(['script', 'city', 'phone', 'id', 'date', 'currency']) AS c)")
 def people_coherence(spark, sf_dir):
     return people.coherence(people.generate(spark, 400, {k: 1 / len(PACKS) for k in PACKS}, seed=5))
 
 
-@query("people_faults_found", "SELECT CAST(200 AS BIGINT) AS rows, CAST(200 AS BIGINT) AS bad_currency")
+@example("people_faults_found", "SELECT CAST(200 AS BIGINT) AS rows, CAST(200 AS BIGINT) AS bad_currency")
 def people_faults_found(spark, sf_dir):
     df = people.generate(spark, 200, {"hi-IN": 1.0}, seed=5).withColumn("currency", F.lit("USD"))
     return people.checks(df).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("ok_currency")).alias("bad_currency"))
 
 
-@query("entity_variants")
+@example("entity_variants")
 def entity_variants(spark, sf_dir):
     return people.entities(spark, 50, "ur-PK", seed=2)
 
 
-@query("code_mixed_text")
+@example("code_mixed_text")
 def code_mixed_text(spark, sf_dir):
     return people.code_mixed(spark, 200, "es-en", 0.5, seed=2)
 
 
-@query("language_cases")
+@example("language_cases")
 def language_cases(spark, sf_dir):
     return people.language_cases(spark)
 

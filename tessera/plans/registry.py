@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Queries on built-in or fixed rows, which read no given table: for tests, not registered.
+EXAMPLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def example(name: str, sql: str | None = None):
+    """Keep ``fn(spark, sf_dir)`` under ``name`` without registering it."""
+
+    def add(fn):
+        EXAMPLES[name] = fn
+        return fn
+
+    return add
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``name``, with its SQL form when there is one."""

@@ -11,7 +11,7 @@ from tessera.operators.rules import plans
 from tessera.schema import Graph
 from tessera.sources.tables import read, tpc, tpc_graph
 
-from .registry import query
+from .registry import example, query
 
 U = hashing.uniform_sql
 
@@ -84,7 +84,7 @@ def changed_columns(spark, sf_dir):
     return rows.changed(c, after, "c_custkey")
 
 
-@query("entity_pairs", """
+@example("entity_pairs", """
 WITH r AS (SELECT p_partkey AS record, p_size AS entity, lower(trim(p_brand || p_type)) AS name FROM part)
 SELECT a.record AS a, b.record AS b, CASE WHEN a.entity = b.entity THEN 1 ELSE 0 END AS label FROM r a JOIN r b ON a.record < b.record AND ((a.entity = b.entity AND a.name IS NOT NULL) OR (a.name = b.name AND a.entity <> b.entity)) WHERE a.entity <= 3 AND b.entity <= 3
 """)
@@ -187,7 +187,7 @@ def copula_marginal_category(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", generate.marginal(p, u, F.col("o_orderkey")).alias("v"))
 
 
-@query("normal_quantile", "SELECT i AS id, round(z, 2) AS z FROM (VALUES (1, -2.326348), (5, -1.644854), (25, -0.67449), (50, 0.0), (84, 0.994458), (99, 2.326348)) AS t(i, z)")
+@example("normal_quantile", "SELECT i AS id, round(z, 2) AS z FROM (VALUES (1, -2.326348), (5, -1.644854), (25, -0.67449), (50, 0.0), (84, 0.994458), (99, 2.326348)) AS t(i, z)")
 def normal_quantile(spark, sf_dir):
     df = spark.createDataFrame([(i,) for i in (1, 5, 25, 50, 84, 99)], "id int")
     return df.select("id", F.round(phi_inverse(F.col("id") / 100.0), 2).alias("z"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import relational, relations, scoring, stats
 from tessera.sources.tables import read, tpc, tpc_graph
 
-from .registry import query
+from .registry import example, query
 
 
 def halves(spark, sf_dir, table, key, *columns):
@@ -74,7 +74,7 @@ def tstr_report(spark, sf_dir):
     return spark.createDataFrame([(n, float(m["real"]["r2"]), float(m["synthetic"]["r2"])) for n, m in found["models"].items()], "model string, real double, synthetic double")
 
 
-@query("trust_report", "SELECT CAST(81.0 AS DOUBLE) AS score, 'good' AS band")
+@example("trust_report", "SELECT CAST(81.0 AS DOUBLE) AS score, 'good' AS band")
 def trust_report(spark, sf_dir):
     found = scoring.trust(90.0, 75.0, 75.0)
     return spark.createDataFrame([(found["score"], found["band"])], "score double, band string")

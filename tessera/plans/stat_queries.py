@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import inference, neighbours, stats
 from tessera.sources.tables import read, shop, shop_sql, tpc, tpc_graph
 
-from .registry import query
+from .registry import example, query
 
 
 @query("describe", "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3, round(max({c}), 6) AS max, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
@@ -119,7 +119,7 @@ def auc_rank_sum(spark, sf_dir):
     return stats.auc(j, "n_chars", "quality").select(F.round("auc", 9).alias("auc"))
 
 
-@query("nn_distance", """
+@example("nn_distance", """
 SELECT q.vec_id AS id, round(min(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))), 6) AS distance
 FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.label = 0 GROUP BY 1
 """)

@@ -4,8 +4,7 @@ A pack is a dictionary; ``load`` also takes packs from JSON files of a folder, s
 added without code. Patterns: ``#`` a digit, ``[abc]`` one of the characters, ``{check}`` the check
 digit of what stands before it, anything else as it is.
 
-Latin names are frequent ones of public statistics: births of 2021 (SSA for en-US, ONS for en-GB, INSEE for
-fr-FR), residents by name (INE, for es-ES), surnames by census or electoral frequency.
+Names and cities are in ``names``.
 """
 
 from __future__ import annotations
@@ -13,56 +12,52 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from tessera.sources.names import names
+
 #: Digits of other scripts, in order.
 ARABIC, PERSIAN, DEVANAGARI = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "०१२३४५६७८९"
 
-PACKS: dict[str, dict] = {
+FORMATS: dict[str, dict] = {
     "en-US": {
-        "script": "Latin", "first": {"f": ["Olivia", "Emma", "Charlotte", "Amelia", "Ava"], "m": ["Liam", "Noah", "Oliver", "Elijah", "James"]}, "last": ["Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia"],
-        "cities": ["Austin", "Denver", "Boston"], "phone": "+1 [2-9]##-[2-9]##-####", "phone_regex": r"\+1 [2-9]\d{2}-[2-9]\d{2}-\d{4}", "id": "###-##-####", "id_regex": r"\d{3}-\d{2}-\d{4}", "id_check": None,
+        "script": "Latin", "phone": "+1 [2-9]##-[2-9]##-####", "phone_regex": r"\+1 [2-9]\d{2}-[2-9]\d{2}-\d{4}", "id": "###-##-####", "id_regex": r"\d{3}-\d{2}-\d{4}", "id_check": None,
         "date": "MM/dd/yyyy", "currency": "USD", "symbol": "$", "symbol_first": True, "symbol_gap": "", "group": ",", "point": ".", "grouping": "western", "income": 4800, "family_first": False, "tax": {"default": 0.0825, "food": 0.0},
     },
     "en-GB": {
-        "script": "Latin", "first": {"f": ["Isla", "Ivy", "Freya", "Lily", "Florence"], "m": ["Arthur", "Leo", "Archie", "Theodore", "Oscar"]}, "last": ["Jones", "Williams", "Roberts", "Hughes", "Thompson"],
-        "cities": ["Leeds", "Bristol", "Cardiff"], "phone": "+44 7### ######", "phone_regex": r"\+44 7\d{3} \d{6}", "id": "[ABCEGHJ][ABCEGHJ]######[ABCD]", "id_regex": r"[A-Z]{2}\d{6}[A-D]", "id_check": None,
+        "script": "Latin", "phone": "+44 7### ######", "phone_regex": r"\+44 7\d{3} \d{6}", "id": "[ABCEGHJ][ABCEGHJ]######[ABCD]", "id_regex": r"[A-Z]{2}\d{6}[A-D]", "id_check": None,
         "date": "dd/MM/yyyy", "currency": "GBP", "symbol": "£", "symbol_first": True, "symbol_gap": "", "group": ",", "point": ".", "grouping": "western", "income": 2900, "family_first": False, "tax": {"default": 0.20, "food": 0.0},
     },
     "es-ES": {
-        "script": "Latin", "first": {"f": ["María Carmen", "Ana María", "María Pilar", "Josefa", "Isabel"], "m": ["Antonio", "Manuel", "Francisco", "Juan", "David"]}, "last": ["Rodríguez", "González", "Martínez", "Pérez", "Muñoz"],
-        "cities": ["Madrid", "Sevilla", "Málaga"], "phone": "+34 6## ### ###", "phone_regex": r"\+34 6\d{2} \d{3} \d{3}", "id": "########{check}", "id_regex": r"\d{8}[A-Z]", "id_check": "dni",
+        "script": "Latin", "phone": "+34 6## ### ###", "phone_regex": r"\+34 6\d{2} \d{3} \d{3}", "id": "########{check}", "id_regex": r"\d{8}[A-Z]", "id_check": "dni",
         "date": "dd/MM/yyyy", "currency": "EUR", "symbol": "€", "symbol_first": False, "symbol_gap": " ", "group": ".", "point": ",", "grouping": "western", "income": 2100, "family_first": False, "tax": {"default": 0.21, "food": 0.10},
     },
     "fr-FR": {
-        "script": "Latin", "first": {"f": ["Jade", "Louise", "Ambre", "Alba", "Romane"], "m": ["Gabriel", "Raphaël", "Léo", "Maël", "Noé"]}, "last": ["Petit", "Durand", "Dubois", "Leroy", "Girard"],
-        "cities": ["Lyon", "Nantes", "Besançon"], "phone": "+33 6 ## ## ## ##", "phone_regex": r"\+33 6( \d{2}){4}", "id": "[12]##############", "id_regex": r"[12]\d{14}", "id_check": None,
+        "script": "Latin", "phone": "+33 6 ## ## ## ##", "phone_regex": r"\+33 6( \d{2}){4}", "id": "[12]##############", "id_regex": r"[12]\d{14}", "id_check": None,
         "date": "dd/MM/yyyy", "currency": "EUR", "symbol": "€", "symbol_first": False, "symbol_gap": " ", "group": " ", "point": ",", "grouping": "western", "income": 2500, "family_first": False, "tax": {"default": 0.20, "food": 0.055},
     },
     "ur-PK": {
-        "script": "Arabic", "first": {"f": ["عائشہ", "فاطمہ", "زینب"], "m": ["محمد", "علی", "احمد"]}, "last": ["خان", "ملک", "چوہدری"],
-        "latin": {"عائشہ": "Ayesha", "فاطمہ": "Fatima", "زینب": "Zainab", "محمد": "Muhammad", "علی": "Ali", "احمد": "Ahmed", "خان": "Khan", "ملک": "Malik", "چوہدری": "Chaudhry"},
-        "cities": ["لاہور", "کراچی", "ملتان"], "phone": "+92 3## #######", "phone_regex": r"\+92 3\d{2} \d{7}", "id": "#####-#######-#", "id_regex": r"\d{5}-\d{7}-\d", "id_check": None,
+        "script": "Arabic",
+        "phone": "+92 3## #######", "phone_regex": r"\+92 3\d{2} \d{7}", "id": "#####-#######-#", "id_regex": r"\d{5}-\d{7}-\d", "id_check": None,
         "date": "dd/MM/yyyy", "currency": "PKR", "symbol": "Rs", "symbol_first": True, "symbol_gap": " ", "group": ",", "point": ".", "grouping": "indian", "income": 90000, "family_first": False, "tax": {"default": 0.18}, "digits": PERSIAN,
     },
     "ar-AE": {
-        "script": "Arabic", "first": {"f": ["فاطمة", "مريم", "نورة"], "m": ["خالد", "عمر", "يوسف"]}, "last": ["المنصوري", "الهاشمي", "النعيمي"],
-        "latin": {"فاطمة": "Fatima", "مريم": "Maryam", "نورة": "Noura", "خالد": "Khalid", "عمر": "Omar", "يوسف": "Yousef", "المنصوري": "Al Mansoori", "الهاشمي": "Al Hashimi", "النعيمي": "Al Nuaimi"},
-        "cities": ["دبي", "أبوظبي", "الشارقة"], "phone": "+971 5# ### ####", "phone_regex": r"\+971 5\d \d{3} \d{4}", "id": "784-####-#######-#", "id_regex": r"784-\d{4}-\d{7}-\d", "id_check": None,
+        "script": "Arabic",
+        "phone": "+971 5# ### ####", "phone_regex": r"\+971 5\d \d{3} \d{4}", "id": "784-####-#######-#", "id_regex": r"784-\d{4}-\d{7}-\d", "id_check": None,
         "date": "dd/MM/yyyy", "currency": "AED", "symbol": "د.إ", "symbol_first": False, "symbol_gap": " ", "group": ",", "point": ".", "grouping": "western", "income": 12000, "family_first": False, "tax": {"default": 0.05}, "digits": ARABIC,
     },
     "hi-IN": {
-        "script": "Devanagari", "first": {"f": ["प्रिया", "अनीता", "सुनीता"], "m": ["राहुल", "अमित", "विजय"]}, "last": ["शर्मा", "वर्मा", "गुप्ता"],
-        "latin": {"प्रिया": "Priya", "अनीता": "Anita", "सुनीता": "Sunita", "राहुल": "Rahul", "अमित": "Amit", "विजय": "Vijay", "शर्मा": "Sharma", "वर्मा": "Verma", "गुप्ता": "Gupta"},
-        "cities": ["दिल्ली", "मुंबई", "जयपुर"], "phone": "+91 9#########", "phone_regex": r"\+91 9\d{9}", "id": "[2-9]##########{check}", "id_regex": r"[2-9]\d{11}", "id_check": "verhoeff",
+        "script": "Devanagari",
+        "phone": "+91 9#########", "phone_regex": r"\+91 9\d{9}", "id": "[2-9]##########{check}", "id_regex": r"[2-9]\d{11}", "id_check": "verhoeff",
         "date": "dd-MM-yyyy", "currency": "INR", "symbol": "₹", "symbol_first": True, "symbol_gap": "", "group": ",", "point": ".", "grouping": "indian", "income": 45000, "family_first": False, "tax": {"default": 0.18, "food": 0.05}, "digits": DEVANAGARI,
     },
     "zh-CN": {
-        "script": "Han", "first": {"f": ["秀英", "丽", "敏"], "m": ["伟", "强", "磊"]}, "last": ["王", "李", "张"],
-        "latin": {"秀英": "Xiuying", "丽": "Li", "敏": "Min", "伟": "Wei", "强": "Qiang", "磊": "Lei", "王": "Wang", "李": "Li", "张": "Zhang"},
-        "cities": ["北京", "上海", "成都"], "phone": "+86 1[3-9]# #### ####", "phone_regex": r"\+86 1[3-9]\d \d{4} \d{4}", "id": "#################{check}", "id_regex": r"\d{17}[\dX]", "id_check": "iso7064",
+        "script": "Han",
+        "phone": "+86 1[3-9]# #### ####", "phone_regex": r"\+86 1[3-9]\d \d{4} \d{4}", "id": "#################{check}", "id_regex": r"\d{17}[\dX]", "id_check": "iso7064",
         "date": "yyyy-MM-dd", "currency": "CNY", "symbol": "¥", "symbol_first": True, "symbol_gap": "", "group": ",", "point": ".", "grouping": "western", "income": 9000, "family_first": True, "tax": {"default": 0.13, "food": 0.09},
     },
 }
 
+PACKS: dict[str, dict] = {locale: pack | names(locale) for locale, pack in FORMATS.items()}
+
 REQUIRED = {"script", "first", "last", "cities", "phone", "phone_regex", "id", "id_regex", "date", "currency", "symbol", "group", "point", "income"}
 ALIASES = {"us": "en-US", "uk": "en-GB", "gb": "en-GB", "spain": "es-ES", "es": "es-ES", "france": "fr-FR", "fr": "fr-FR", "pakistan": "ur-PK", "ur": "ur-PK", "uae": "ar-AE", "ar": "ar-AE", "india": "hi-IN", "hi": "hi-IN", "china": "zh-CN", "zh": "zh-CN"}
 

@@ -219,6 +219,18 @@ def test_unreachable_samples_raise(spark):
         sampling.with_rules(spark, model, 50, ["x > 2"], "reject", seed=1)
 
 
+def test_rare_candidates_mend_what_frequent_ones_cannot(spark):
+    """Ninety frequent values break the rule; one that a single row has, the ninety-fifth by frequency, keeps it for some rows."""
+    rows = [(i, f"v{i % 90:02d}", 10) for i in range(900)] + [(1_000 + i, f"w{i}", 10) for i in range(9)] + [(2_000 + i, "v00", 50 + i) for i in range(4)] + [(3_000, None, 60)]
+    df = spark.createDataFrame(rows, "k int, c string, x int")
+    found = {r.k: r.c for r in sampling.candidate_search(df, "c", ["x < 50 or c = 'w4' or c is null", "x != 53 or c = 'none'"]).collect()}
+    kept = {k: c for k, c, _ in rows if k not in range(2_000, 2_004)}
+    assert found == kept | {2_000: "w4", 2_001: "w4", 2_002: "w4", 2_003: "v00"}
+    numbers = spark.createDataFrame([(i, float(i % 7), 100.0) for i in range(60)] + [(100, 99.5, 100.0), (200, 3.0, 5.0), (201, 2.0, 99.0)], "k int, c double, x double")
+    found = {r.k: r.c for r in sampling.candidate_search(numbers, "c", ["x = 100 or c > x"], first=2).collect()}
+    assert found[201] == 99.5 and found[200] == 6.0 and found[100] == 99.5 and found[5] == 5.0
+
+
 def test_random_negatives(spark):
     df = spark.range(3_000).select(F.col("id"), (F.col("id") % 1_000).alias("e"), F.concat(F.lit("n"), (F.col("id") % 1_000).cast("string")).alias("n"))
     found = rows.pairs_of_entities(df, "e", "id", "n", n_negative=500, seed=2).collect()
