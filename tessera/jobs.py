@@ -107,6 +107,7 @@ class Background:
         context = self.spark.sparkContext
         context.setJobGroup(self.tag, self.tag, interruptOnCancel=True)
         context.addJobTag(self.tag)
+        self.spark.createDataFrame([(0,)], "x int")  # makes the session this thread's active one, in which writers look up data sources
         self._began = time.monotonic()
         try:
             self._save(**self.act(self.progressed, self._stop.is_set), state="done")

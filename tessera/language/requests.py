@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing
+from tessera.language.multilingual import canonical, language_of
 from tessera.operators import people, rows
 from tessera.sources.locales import ALIASES, PACKS
 
@@ -23,11 +24,6 @@ TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 SMALL = {w: float(i) for i, w in enumerate(ONES)} | {w: 20.0 + 10 * i for i, w in enumerate(TENS)}
 FACTORS = {"hundred": 1e2, "thousand": 1e3, "k": 1e3, "million": 1e6, "m": 1e6}
 TOKEN = re.compile(r"\d[\d,]*(?:\.\d+)?|[^\W\d_]+|%")
-TRANSLATED = {
-    "es": {"clientes": "customers", "banco": "bank", "fraude": "fraud", "meses": "months", "tienda": "shop", "mil": "thousand", "en": "in", "de": "of", "con": "with", "españa": "spain"},
-    "fr": {"clients": "customers", "banque": "bank", "fraude": "fraud", "mois": "months", "boutique": "shop", "mille": "thousand", "en": "in", "de": "of", "avec": "with"},
-    "de": {"kunden": "customers", "bank": "bank", "betrug": "fraud", "monate": "months", "laden": "shop", "tausend": "thousand", "in": "in", "mit": "with"},
-}
 MOST_ROWS = 1_000_000
 #: Factors of edits that are verbs.
 SCALES = {"double": 2.0, "halve": 0.5, "triple": 3.0}
@@ -50,23 +46,6 @@ class Parsed:
     issues: list[str] = field(default_factory=list)
 
 
-def language_of(text: str) -> str:
-    """The language whose words are hit most often; English if none."""
-    words = re.findall(r"\w+", text.lower())
-    hits = {lang: sum(w in table and table[w] != w for w in words) for lang, table in TRANSLATED.items()}
-    best = max(hits, key=hits.get)
-    return best if hits[best] >= 1 else "en"
-
-
-def canonical(text: str) -> str:
-    """The text with known words of its language in English and native digits as ASCII ones."""
-    lang = language_of(text)
-    text = "".join(str(int(c)) if c.isdigit() and not c.isascii() else c for c in text)
-    if lang == "en":
-        return text
-    return re.sub(r"\w+", lambda m: TRANSLATED[lang].get(m[0].lower(), m[0]), text)
-
-
 @dataclass(frozen=True)
 class Quantity:
     """A number of a sentence and the word after it, which tells what it counts."""

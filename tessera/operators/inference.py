@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 from itertools import combinations
@@ -48,15 +49,40 @@ def primary_key(table: str, df: DataFrame, stats: dict[str, dict]) -> tuple[str,
     named = sorted((c for c in whole if score(c) >= 1), key=lambda c: (-score(c), order.index(c)))
     if named:
         return (named[0],)
-    pairs = list(combinations([c for c in stats if keyish(c) and not stats[c]["nulls"]], 2))[:15]
-    if pairs:
-        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
-        for i, pair in enumerate(pairs):
-            if row["n"] and row[f"p{i}"] == row["n"]:
-                return pair
+    several = unique_sets(df, {c: stats[c]["distinct"] for c in stats if keyish(c) and not stats[c]["nulls"]}, stats[order[0]]["rows"] if order[0] in stats else None, first=True)
+    if several:
+        return several[0]
     return (min(whole, key=order.index),) if whole else ()
 
 
+#: Most columns of a key, sets looked at in one aggregation by sketch and by exact count, and the least estimate that is counted exactly.
+KEY_COLUMNS, SKETCHED, COUNTED, LIKELY = 3, 128, 8, 0.9
+
+
+def unique_sets(df: DataFrame, distinct: dict[str, int], rows: int | None = None, most: int = KEY_COLUMNS, first: bool = False) -> list[tuple[str, ...]]:
+    """The smallest sets of two to ``most`` columns whose values together are unique; ``first``: those of the fewest columns, the first found.
+
+    ``distinct`` has the columns, none of which holds nulls or is unique, with their numbers of values. Level by level: a set
+    is looked at if no part of it is unique and the product of its columns' values reaches the number of rows; a sketch of
+    all such sets in one aggregation leaves those near uniqueness, which are counted exactly.
+    """
+    rows = df.count() if rows is None else rows
+    found: list[tuple[str, ...]] = []
+    for size in range(2, most + 1) if rows else ():
+        wanted = [c for c in combinations(distinct, size) if math.prod(distinct[x] for x in c) >= rows and not any(set(f) <= set(c) for f in found)]
+        for at in range(0, len(wanted), SKETCHED):
+            some = wanted[at : at + SKETCHED]
+            seen = df.agg(*[F.approx_count_distinct(F.xxhash64(*[F.col(f"`{x}`") for x in c]), 0.02).alias(f"p{i}") for i, c in enumerate(some)]).first()
+            near = [c for i, c in enumerate(some) if seen[f"p{i}"] >= LIKELY * rows]
+            for k in range(0, len(near), COUNTED):
+                part = near[k : k + COUNTED]
+                exact = df.agg(*[F.count_distinct(*[F.col(f"`{x}`") for x in c]).alias(f"p{i}") for i, c in enumerate(part)]).first()
+                found += [c for i, c in enumerate(part) if exact[f"p{i}"] == rows]
+                if first and found:
+                    return found
+    return found
+
+
 def overlap(child: DataFrame, columns: tuple[str, ...], parent: DataFrame, keys: tuple[str, ...]) -> float:
     """Share of the child's whole keys that the parent has."""
     own = child.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)]).dropna().groupBy(*[f"k{i}" for i in range(len(columns))]).agg(F.count(F.lit(1)).alias("n"))

@@ -104,6 +104,123 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 BROADCAST = 200_000
 
 
+def looked_up(values: DataFrame, table: DataFrame, new: str, prefix: str) -> DataFrame:
+    """``values`` (v0, v1, ...) with each value replaced by ``table``'s (i, v, ``new``): columns ``prefix`` 0, 1, ...; one join for all, by row.
+
+    ``table`` is written already: it is counted, and broadcast where it is small.
+    """
+    n = len(values.columns)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(n)])
+    # rows get their numbers before they are parted into cells
+    melted = values.withColumn("__row", F.monotonically_increasing_id()).select("__row", F.explode(cells).alias("s")).select("__row", "s.*")
+    met = melted.join(F.broadcast(table) if table.count() < BROADCAST else table, ["i", "v"], "left")
+    return met.groupBy("__row").agg(*[F.max(F.when(F.col("i") == i, F.col(new))).alias(f"{prefix}{i}") for i in range(n)]).drop("__row")
+
+
+def quantile_table(df: DataFrame, columns: dict[str, Column], steps: int) -> DataFrame:
+    """i, q, value: the exact linear quantile at q / ``steps`` of column number i, for all columns in one pass."""
+    run = running_counts(value_counts(df, columns))
+    # as in ``even_quantiles``: the quantiles of which a value is the lower or the upper end, by its places
+    places = run.selectExpr(
+        "i", "v", "n", "before", "c",
+        f"(before * {steps} + n - 2) div greatest(n - 1, 1) AS low_first",
+        f"((before + c) * {steps} + n - 2) div greatest(n - 1, 1) - 1 AS low_last",
+        f"CASE WHEN before = 0 THEN 0 ELSE ((before - 1) * {steps}) div greatest(n - 1, 1) + 1 END AS high_first",
+        f"((before + c - 1) * {steps}) div greatest(n - 1, 1) AS high_last",
+    )
+
+    def ends(side: str) -> DataFrame:
+        first = F.when(F.col("n") == 1, 0).otherwise(F.col(f"{side}_first")).cast("long")
+        final = F.when(F.col("n") == 1, steps).otherwise(F.least(F.col(f"{side}_last"), F.lit(steps))).cast("long")
+        return places.where(first <= final).select("i", "n", F.explode(F.sequence(first, final)).alias("q"), F.lit(side).alias("side"), "v")
+
+    both = ends("low").unionByName(ends("high")).groupBy("i", "n", "q").agg(F.max(F.when(F.col("side") == "low", F.col("v"))).alias("a"), F.max(F.when(F.col("side") == "high", F.col("v"))).alias("b"))
+    part = F.pmod(F.col("q") * (F.col("n") - 1), F.lit(steps)) / F.lit(float(steps))
+    return both.select("i", "q", F.when(part == 0, F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b")).alias("value"))
+
+
+def quantile_grids(df: DataFrame, columns: dict[str, Column], points: int) -> dict[str, list[float]]:
+    """The grids of several columns on the driver, at most 1000 numbers each; columns without values are left out."""
+    found: dict[int, dict[int, float]] = {}
+    for r in quantile_table(df, columns, min(points, 1000) - 1).collect():
+        found.setdefault(r["i"], {})[r["q"]] = r["value"]
+    return {name: [found[i][q] for q in range(len(found[i]))] for i, name in enumerate(columns) if i in found}
+
+
+def kth_smallest(df: DataFrame, column: str, k: int, few: int = 50_000, cells: int = 4_096) -> tuple[float, int]:
+    """(the ``k``-th smallest value of a numeric column, from 1; the number of smaller ones); nulls are left out.
+
+    Each round counts the values in ``cells`` equal parts of their range, with the least and the largest of each, in
+    one action, and goes on in the part that holds the value, until ``few`` rows or one value are left; only those are sorted.
+    """
+    v = F.col(f"`{column}`")
+    left = df.where(v.isNotNull()).select(v.alias("v"))
+    whole = left.schema["v"].dataType.typeName() in {"byte", "short", "integer", "long"}
+    row = left.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).first()
+    n, low, high, below = row["n"], row["a"], row["b"], 0
+    if not 1 <= k <= n:
+        raise ValueError(f"there is no value number {k}")
+    while low != high:
+        if n <= few:
+            last = left.orderBy("v").limit(k - below).agg(F.max("v")).first()[0]
+            return last, below + left.where(F.col("v") < F.lit(last)).count()
+        if whole and high - low < 1 << 62:
+            cell = F.floor((F.col("v").cast("long") - F.lit(low)) / F.lit(float((high - low) // cells + 1)))
+        else:  # halves do not overflow
+            share = (F.col("v").cast("double") / 2 - F.lit(float(low) / 2)) / F.lit(float(high) / 2 - float(low) / 2)
+            cell = F.least(F.floor(share * cells), F.lit(cells - 1))
+        parts = left.groupBy(cell.cast("long").alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()  # ``cells`` rows
+        if len(parts) == 1:  # neighbours that doubles cannot tell apart: sorted as they are
+            few = n
+            continue
+        for part in sorted(parts, key=lambda r: r["cell"]):
+            if k <= below + part["n"]:
+                break
+            below += part["n"]
+        n, low, high = part["n"], part["a"], part["b"]
+        left = left.where(F.col("v").between(F.lit(low), F.lit(high)))
+    return low, below
+
+
+def value_counts(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """i, v, c: how often column number i has the double v, for all columns in one pass; nulls are left out."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), e.cast("double").alias("v")) for i, e in enumerate(columns.values())])
+    return df.select(F.explode(cells).alias("s")).select("s.*").where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"))
+
+
+def running_counts(counts: DataFrame) -> DataFrame:
+    """``counts`` (i, v, c, others) with ``before``, the counts of smaller values of the same column, and ``n``, the column's total.
+
+    All columns are ranged together by (i, v); a window runs within each range, and the ranges' totals, one row
+    for each range and column, are summed beside. The ranges are drawn from a sample, so they are written once.
+    """
+    spark = counts.sparkSession
+    checkpoints(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(parts, "i", "v").withColumn("__b", F.spark_partition_id()).checkpoint()
+    run = Window.partitionBy("__b", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__b", "i").agg(F.sum("c").alias("__t"))
+    column = Window.partitionBy("i")
+    before = column.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__b", "i", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"), F.sum("__t").over(column).alias("n"))
+    inside = dealt.withColumn("__r", F.coalesce(F.sum("c").over(run), F.lit(0)))
+    return inside.join(F.broadcast(offsets), ["__b", "i"]).select(*counts.columns, (F.col("__r") + F.col("__o")).alias("before"), "n")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df``, written once, with the place of each row in ``order`` from 0; rows are ranged, and no task sees all of them."""
+    spark = df.sparkSession
+    checkpoints(spark)
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__b", F.spark_partition_id()).checkpoint()
+    offsets = dealt.groupBy("__b").agg(F.count(F.lit(1)).alias("__c")).select("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    inside = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
+    return inside.join(F.broadcast(offsets), "__b").select(*df.columns, (F.col("__r") + F.col("__o") - 1).cast("long").alias(name))
+
+
+#: Most rows of a table of values that are broadcast.
+BROADCAST = 200_000
+
+
 def looked_up(values: DataFrame, table: DataFrame, new: str, prefix: str) -> DataFrame:
     """``values`` (v0, v1, ...) with each value replaced by ``table``'s (i, v, ``new``): columns ``prefix`` 0, 1, ...; one join for all, by row.
 

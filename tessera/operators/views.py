@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import inference, integrity, scoring, stats
+from tessera.operators import batches, inference, integrity, neighbours, people, scoring, stats
 from tessera.schema import Graph, family
 
 #: Most bytes of a payload.
@@ -75,3 +75,46 @@ def scores(real: DataFrame, synthetic: DataFrame) -> dict:
 
 def overview(tables: dict[str, DataFrame]) -> dict:
     return {"type": "overview", "tables": [{"name": n, "rows": df.count(), "columns": len(df.columns)} for n, df in tables.items()]}
+
+
+def privacy_distance(train: DataFrame, synthetic: DataFrame, holdout: DataFrame, row_id: str = "__id", bins: int = 20) -> dict:
+    """How far synthetic rows lie from their closest training row, beside how far held-out rows do: shares in equal bins from 0."""
+    model = scoring.encoder(train.drop(row_id))
+    vec = lambda df, base: df.select((F.col(f"`{row_id}`").cast("long") + base).alias("id"), scoring.encoded(df, model).alias("v"))
+    index = neighbours.Index.build(vec(train, 0), "id", "v")
+    sides = [index.nearest(vec(df, (i + 1) << 40), "id", "v").checkpoint() for i, df in enumerate((synthetic, holdout))]
+    ends = [d.agg(F.max("distance").alias("m"), F.avg((F.col("distance") == 0).cast("double")).alias("zero")).first() for d in sides]
+    high = max((e["m"] for e in ends if e["m"] is not None), default=0.0) or 1.0
+    shares = [{r["bin"]: r["share"] for r in stats.histogram(d, "distance", bins, 0.0, high).collect()} for d in sides]
+    out = {"type": "privacy_distance", "low": 0.0, "high": high}
+    for name, s, e in zip(("synthetic", "baseline"), shares, ends, strict=True):
+        out |= {name: [round(s.get(i, 0.0), 6) for i in range(1, bins + 1)], f"{name}_zero": round(e["zero"] or 0.0, 6)}
+    return out
+
+
+def tstr(train: DataFrame, test: DataFrame, synthetic: DataFrame, target: str, seed: int = 0) -> dict:
+    """Every model's measures, trained on real and on synthetic rows, with the gap in percent."""
+    found = scoring.tstr(train, test, synthetic, target, seed)
+    models = {n: {k: {"real": m["real"][k], "synthetic": m["synthetic"][k], "gap_pct": m["gaps"][k]} for k in m["real"]} for n, m in found["models"].items()}
+    return {"type": "tstr", "target": target, "task": found["task"], "primary": found["primary"], "mean_gap_pct": found["mean_gap_pct"], "models": models}
+
+
+def locale_validity(rows: DataFrame, packs: dict[str, dict] | None = None) -> dict:
+    """Checks of generated people against their locales: failures and pass rates, and the worst check."""
+    checks = [r.asDict() for r in people.coherence(rows, packs).collect()]
+    worst = min(checks, key=lambda c: (c["pass_pct"] if c["pass_pct"] is not None else 100.0, c["check"]), default=None)
+    return {"type": "locale_validity", "checks": checks, "worst": worst["check"] if worst and worst["failures"] else None}
+
+
+def batch_summary(results: DataFrame) -> dict:
+    """A document batch: produced, failed, shares of success and of exact reconciliation, and failures by stage."""
+    rows = batches.tally(results).collect()
+    total = sum(r["documents"] for r in rows)
+    good = sum(r["documents"] for r in rows if r["status"] != "failed")
+    stages: dict[str, int] = {}
+    for r in rows:
+        if r["status"] == "failed":
+            stages[r["stage"]] = stages.get(r["stage"], 0) + r["documents"]
+    unreconciled = sum(stages.get(s, 0) for s in ("reconcile", "post_validate"))
+    share = lambda n: round(100.0 * n / total, 2) if total else 100.0
+    return {"type": "batch_summary", "total": total, "succeeded": good, "failed": total - good, "success_pct": share(good), "reconciled_pct": share(total - unreconciled), "by_stage": stages}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.language import requests
+from tessera.language import multilingual, requests
 from tessera.operators import integrity, repair, semantics
 from tessera.operators.rules import plain, plans
 from tessera.session import checkpoints
@@ -127,3 +127,20 @@ def suites_met(spark, sf_dir):
         found = suites.validate(name, datasets.source(spark, name, 200, 3))
         rows.append((name, len(found), sum(r["success"] for r in found)))
     return spark.createDataFrame(rows, "suite string, expectations long, met long")
+
+
+# a request for as many customers as a customer's number says, in one of four languages
+_REQUESTS = "CASE c_custkey % 4 WHEN 0 THEN '生成' || c_custkey || '万个银行客户，' || (c_custkey % 9 + 1) || '％欺诈' WHEN 1 THEN {hi} || ' हज़ार बैंक ग्राहक बनाओ' WHEN 2 THEN {ur} || ' لاکھ بینک صارفین بنائیں' ELSE 'أنشئ ' || {ar} || ' عملاء بنك مع احتيال' END"
+_DIGITS = {"hi": "०१२३४५६७८९", "ur": "۰۱۲۳۴۵۶۷۸۹", "ar": "٠١٢٣٤٥٦٧٨٩"}
+
+
+@query("requests_in_english", """
+SELECT c_custkey, ['zh', 'hi', 'ur', 'ar'][c_custkey % 4 + 1] AS language,
+       CASE c_custkey % 4 WHEN 0 THEN 'generate ' || c_custkey || '0000 bank customers, ' || (c_custkey % 9 + 1) || '% fraud' WHEN 1 THEN c_custkey || '000 bank customers generate'
+       WHEN 2 THEN c_custkey || '00000 bank customers generate' ELSE 'generate ' || c_custkey || ' customers bank with fraud' END AS english
+FROM customer
+""")
+def requests_in_english(spark, sf_dir):
+    digits = {k: f"translate(cast(c_custkey as string), '0123456789', '{v}')" for k, v in _DIGITS.items()}
+    texts = read(spark, sf_dir, "customer").select("c_custkey", F.expr(_REQUESTS.format(**digits)).alias("text"))
+    return texts.select("c_custkey", multilingual.language(F.col("text")).alias("language"), multilingual.english(F.col("text")).alias("english"))

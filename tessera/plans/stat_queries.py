@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tessera.operators import inference, neighbours, stats
@@ -167,3 +169,16 @@ def children_hist(spark, sf_dir):
 def join_path_size(spark, sf_dir):
     names = ("lineitem", "orders", "customer", "nation")
     return inference.path_size(tpc(spark, sf_dir, *names), tpc_graph(*names), "lineitem", "nation").withColumn("per_ancestor", F.round("per_ancestor", 9))
+
+
+_KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+_SETS = [c for n in (2, 3) for c in combinations(_KEYS, n)]
+_quoted = lambda c: ", ".join(f"'{x}'" for x in c)
+
+
+@query("unique_sets", "WITH u AS (" + " UNION ALL ".join(f"SELECT [{_quoted(c)}] AS s, count(DISTINCT ({', '.join(c)})) = count(*) AS ok FROM lineitem" for c in _SETS) + ") SELECT array_to_string(s, ',') AS columns FROM u WHERE ok AND NOT EXISTS (SELECT 1 FROM u v WHERE v.ok AND len(v.s) < len(u.s) AND list_has_all(u.s, v.s))")
+def unique_sets(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    distinct = lines.agg(*[F.count_distinct(c).alias(c) for c in _KEYS]).first().asDict()
+    found = inference.unique_sets(lines, distinct)
+    return spark.createDataFrame([(",".join(c),) for c in found], "columns string")

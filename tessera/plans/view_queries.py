@@ -67,3 +67,36 @@ def document_batch(spark, sf_dir):
 
     found = batches.run(specs, lambda s: ["negative"] if s["c_acctbal"] < 0 else [], generate, lambda d: [] if d["total"] >= 0 else ["negative"], retry=batches.Retry(2, 0.0))
     return batches.tally(found)
+
+
+_PARTS = "SELECT p_partkey, (p_size - (SELECT median(p_size) FROM t)) / (SELECT stddev_pop(p_size) FROM t) AS x, (p_retailprice - (SELECT median(p_retailprice) FROM t)) / (SELECT stddev_pop(p_retailprice) FROM t) AS y FROM part"
+
+
+@query("view_privacy_distance", f"""
+WITH t AS (SELECT * FROM part WHERE p_partkey % 3 = 0), v AS ({_PARTS}
+), d AS (SELECT q.p_partkey % 3 AS side, min(sqrt((q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y))) AS d FROM v q, v c WHERE q.p_partkey % 3 > 0 AND c.p_partkey % 3 = 0 GROUP BY q.p_partkey
+), b AS (SELECT side, CAST(least(20, floor(d / ((SELECT max(d) FROM d) / 20)) + 1) AS INTEGER) AS bin FROM d)
+SELECT bin, round(count(*) FILTER (WHERE side = 1) / (SELECT count(*) FROM d WHERE side = 1), 6) AS synthetic, round(count(*) FILTER (WHERE side = 2) / (SELECT count(*) FROM d WHERE side = 2), 6) AS baseline FROM b GROUP BY bin
+""")
+def view_privacy_distance(spark, sf_dir):
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("__id"), "p_size", "p_retailprice")
+    p = views.privacy_distance(*[part.where(F.col("__id") % 3 == i) for i in range(3)])
+    rows = [(i + 1, a, b) for i, (a, b) in enumerate(zip(p["synthetic"], p["baseline"], strict=True)) if a or b]
+    return spark.createDataFrame(rows, "bin int, synthetic double, baseline double")
+
+
+@query("view_batch_summary", """
+SELECT count(*) AS total, count(*) FILTER (WHERE c_acctbal >= 0 AND c_custkey % 10 > 0) AS succeeded, count(*) FILTER (WHERE c_acctbal < 0) AS at_validate, count(*) FILTER (WHERE c_acctbal >= 0 AND c_custkey % 10 = 0) AS at_generate,
+       round(100 * count(*) FILTER (WHERE c_acctbal >= 0 AND c_custkey % 10 > 0) / count(*), 2) AS success_pct FROM customer
+""")
+def view_batch_summary(spark, sf_dir):
+    specs = read(spark, sf_dir, "customer").select(F.to_json(F.struct("c_custkey", "c_acctbal")).alias("spec"))
+
+    def generate(spec):
+        if spec["c_custkey"] % 10 == 0:
+            raise batches.Transient("busy")
+        return {"total": spec["c_acctbal"]}
+
+    p = views.batch_summary(batches.run(specs, lambda s: ["negative"] if s["c_acctbal"] < 0 else [], generate, lambda d: [], retry=batches.Retry(1, 0.0)))
+    row = (p["total"], p["succeeded"], p["by_stage"].get("validate", 0), p["by_stage"].get("generate", 0), p["success_pct"])
+    return spark.createDataFrame([row], "total long, succeeded long, at_validate long, at_generate long, success_pct double")

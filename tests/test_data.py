@@ -140,6 +140,19 @@ ALTER TABLE items ADD CONSTRAINT fk FOREIGN KEY (order_id) REFERENCES orders (or
 """
 
 
+def test_keys_of_any_pair_or_triple(spark):
+    """The only key is the last of 28 pairs; in another table it takes three columns."""
+    rows = [(*[i % 3] * 6, i % 8, i // 8) for i in range(64)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i}_id int" for i in range(8)))
+    stats_of = {r["column"]: r.asDict() for r in inference.key_stats({"t": df}).collect()}
+    assert inference.primary_key("t", df, stats_of) == ("c6_id", "c7_id")
+    three = spark.createDataFrame([(i, j, k, i % 2) for i in range(4) for j in range(5) for k in range(6)], "a_id int, b_id int, c_id int, d_id int")
+    stats_of = {r["column"]: r.asDict() for r in inference.key_stats({"t": three}).collect()}
+    assert inference.primary_key("t", three, stats_of) == ("a_id", "b_id", "c_id")
+    assert inference.unique_sets(three, {"a_id": 4, "b_id": 5, "c_id": 6, "d_id": 2}) == [("a_id", "b_id", "c_id")]
+    assert inference.unique_sets(three.limit(0), {}) == []
+
+
 def test_ddl():
     g = inference.parse_ddl(DDL)
     assert g.order() == ["customers", "orders", "items"] and g.tables["items"].key == ("order_id", "line")
