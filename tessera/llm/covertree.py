@@ -62,7 +62,7 @@ def cover_tree(rows: np.ndarray) -> Node:
 
     def build(centre: int, points: np.ndarray, gaps: np.ndarray) -> Node:
         node = Node(centre, float(gaps.max(initial=0.0)), points)
-        if len(points) <= LEAF or node.radius == 0:
+        if len(points) <= LEAF or node.radius == 0 or not np.isfinite(node.radius):
             return node
         limit = node.radius / 2
         free, near = points, gaps
@@ -88,6 +88,11 @@ def cover_tree(rows: np.ndarray) -> Node:
 NONE = np.iinfo(np.int64).min
 
 
+def bounded(reach: np.ndarray) -> np.ndarray:
+    """Upper bounds of scores, which longs saturate: none is below the smallest score, and what overflows in doubles bounds nothing."""
+    return np.maximum(np.nan_to_num(reach, nan=np.inf, posinf=np.inf, neginf=-np.inf), float(NONE + 2))
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, q_tree: Node | None = None, r_tree: Node | None = None, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, scores) of the best ``k`` rows for each query, ties to smaller ids; a query's own id is left out.
 
@@ -154,7 +159,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
             return
         if r.children and (not q.children or r.radius >= q.radius):
             centres, radii = children(r)
-            reach = rows[centres] @ queries[q.centre] + norms_q[q.centre] * radii + (norms_r[centres] + radii) * q.radius + slack
+            reach = bounded(rows[centres] @ queries[q.centre] + norms_q[q.centre] * radii + (norms_r[centres] + radii) * q.radius + slack)
             floor = floor_of(q.points)
             for i in np.argsort(-reach, kind="stable").tolist():
                 if reach[i] < floor:  # and so are all that follow
@@ -163,14 +168,15 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
                 floor = floor_of(q.points)
         else:
             centres, radii = children(q)
-            reach = queries[centres] @ rows[r.centre] + norms_r[r.centre] * radii + (norms_q[centres] + radii) * r.radius + slack
+            reach = bounded(queries[centres] @ rows[r.centre] + norms_r[r.centre] * radii + (norms_q[centres] + radii) * r.radius + slack)
             # the children part the queries, so that no descent changes the floor of another child
             points, starts = members(q)
             floors = np.minimum.reduceat(np.maximum(best_s[points, -1], least[points]), starts)
             for i in np.flatnonzero(reach >= floors).tolist():
                 descend(q.children[i], r)
 
-    descend(q_tree, r_tree)
+    with np.errstate(over="ignore", invalid="ignore"):
+        descend(q_tree, r_tree)
     out = []
     for s, w, floor in zip(best_s, best_r, least, strict=True):
         real = (w < len(rows)) & (s >= floor)
@@ -179,12 +185,13 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
 
 
 def whole(vector: Column) -> Column:
-    """floor(1024 x) of each component as doubles, which hold it exactly; null for vectors that take no part."""
+    """floor(1024 x) of each component as doubles, which hold it exactly (beyond them the largest one); null for vectors that take no part."""
+    largest = float(np.finfo(np.float64).max)
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
     def floor(x: Column) -> Column:
         y = 1024 * x.cast("double")
-        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(F.greatest(F.least(y, F.lit(largest)), F.lit(-largest)))  # larger doubles are whole
 
     return F.when(vector.isNotNull() & ~bad, F.transform(vector, floor))
 
@@ -275,7 +282,7 @@ def reachable(candidates: DataFrame, metas: str) -> DataFrame:
                 most = (norm_q + reach_q)[:, None] * (norm + radius)[None, :]
                 bound = other @ mine.T + norm_q[:, None] * radius[None, :] + reach_q[:, None] * norm[None, :] + reach_q[:, None] * radius[None, :] + 1 + 1e-9 * most
                 # scores beyond 2^63 count as the largest long
-                near = (np.minimum(bound, 2.0**63) >= part.column("floor").to_numpy().astype(np.float64)[:, None] * (1 - 1e-15) - 1) & (part.column("home").to_numpy()[:, None] != b[None, :])
+                near = (np.minimum(bounded(bound), 2.0**63) >= part.column("floor").to_numpy().astype(np.float64)[:, None] * (1 - 1e-15) - 1) & (part.column("home").to_numpy()[:, None] != b[None, :])
                 x, y = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays([pa.array(part.column("a").to_numpy()[x]), pa.array(b[y])], names=["a", "b"])
 

@@ -81,16 +81,18 @@ def resolve(records: DataFrame, buckets: int | None = None) -> DataFrame:
     slim = slim.where("kind in ('response', 'revisit')").withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("captured_at"))))
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("captured_at").isNotNull() & F.col("canonical_url").isNotNull()
     held = F.struct(F.col("captured_at").alias("ref_at"), F.col("record_id").alias("ref_id"), F.col("headers").alias("ref_headers"), F.col("digest").alias("ref_digest"))
+    # records without a URL or a time meet nothing, and would all share a key
+    placed = slim.where("canonical_url is not null and captured_at is not null")
     # within a bucket: strictly earlier in (captured_at, record_id)
     inside = Window.partitionBy("canonical_url", "bucket").orderBy("captured_at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = slim.withColumn("near", F.last(F.when(full, held), ignorenulls=True).over(inside)).where("kind = 'revisit'")
+    near = placed.withColumn("near", F.last(F.when(full, held), ignorenulls=True).over(inside)).where("kind = 'revisit'")
     # across buckets: the last response of each bucket, carried forward over buckets that have rows
-    lasts = slim.groupBy("canonical_url", "bucket").agg(F.max_by(F.when(full, held), F.when(full, F.struct("captured_at", "record_id"))).alias("own"))
+    lasts = placed.groupBy("canonical_url", "bucket").agg(F.max_by(F.when(full, held), F.when(full, F.struct("captured_at", "record_id"))).alias("own"))
     over = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     far = lasts.select("canonical_url", "bucket", F.last("own", ignorenulls=True).over(over).alias("far"))
-    met = near.join(far, ["canonical_url", "bucket"], "left")
-    ref = F.when(F.col("canonical_url").isNotNull() & F.col("captured_at").isNotNull(), F.coalesce("near", "far"))
-    met = met.withColumn("ref", ref)
+    met = near.join(far, ["canonical_url", "bucket"], "left").withColumn("ref", F.coalesce("near", "far")).drop("near", "far")
+    alone = slim.where("kind = 'revisit' and (canonical_url is null or captured_at is null)")
+    met = met.unionByName(alone.withColumn("ref", F.lit(None).cast(met.schema["ref"].dataType)))
     agree = validators_agree(F.col("ref.ref_headers"), F.col("headers"), F.col("ref.ref_digest"), F.col("digest"))
     outcome = F.when(F.col("ref").isNull(), "no_response").when(agree, "resolved").otherwise("mismatch")
     met = met.withColumn("outcome", outcome)

@@ -431,6 +431,15 @@ def test_top_k_of_large_components(spark):
         assert {tuple(x) for x in found} == brute_top(rows, 5, lambda i: i % 10 == 0)
 
 
+def test_top_k_of_components_that_overflow(spark):
+    """1024 x beyond all doubles, norms beyond them, and scores below what a long holds where there are few rows."""
+    rows = [(0, [1.7e308, 1.0]), (1, [1.7e308, 2.0]), (2, [-1.7e308, 1.0]), (3, [1e200, -1e200]), (4, [1.0, 1.0]), (10, [-1e300, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(x) for x in covertree.top_k(df, F.col("vec_id") % 10 == 0, k=9).select("query_id", "vec_id", "score").collect()]
+    most, least = (1 << 63) - 1, -(1 << 63) + 2
+    assert sorted(found) == [(0, 1, most), (0, 2, least), (0, 3, most), (0, 4, most), (0, 10, least), (10, 0, least), (10, 1, least), (10, 2, most), (10, 3, least), (10, 4, least)]
+
+
 def test_top_k_over_blocks_of_clusters(spark, monkeypatch):
     """Many blocks, most pairs of which are out of reach; repeated vectors and one vector as a third of all."""
     monkeypatch.setattr(covertree, "CANDIDATES", 40)
@@ -563,6 +572,16 @@ def test_revisits(spark, buckets):
             assert found[k].headers == base | {h: v for h, v in rows[k]["headers"].items() if h in warc.PERMITTED}
 
 
+def test_revisits_without_url_or_time_and_repeated_pages(spark):
+    """Pages with null URLs and texts, repeated rows, and extra columns under the operator's names."""
+    rows = [(1, "http://a.example/x", "one"), (2, None, "one"), (3, None, None), (4, "http://a.example/x", None), (4, "http://a.example/x", None), (5, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("record_id", "bucket", "ref", "near", "digest", "headers")})
+    found = warc.resolve(warc.captures(pages, again=2)).collect()
+    assert sorted((x.record_id, x.outcome) for x in found if x.canonical_url is None) == [(5, "no_response"), (7, "no_response")]
+    assert sorted(x.record_id for x in found) == [3, 5, 7, 9, 9, 11] and {x.outcome for x in found if x.record_id == 3} == {"resolved"}
+    assert [x.digest for x in found if x.record_id == 5] == [None]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
