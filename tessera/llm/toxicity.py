@@ -158,7 +158,7 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int, rest: int, size: in
     return written(docs.join(F.broadcast(picked), "doc_id").where("text <> ''").dropDuplicates(["text", "toxic"]).select("text", "toxic").repartition(8), "toxicity-sample")
 
 
-def learn(rows: DataFrame, support: int = 3, share: float = 0.01, odds: float = 2.0, cover: int = 2, most: int = 2_000) -> Lexicon:
+def learn(rows: DataFrame, support: int = 3, share: float = 0.01, odds: float = 2.0, cover: int = 4, most: int = 2_000) -> Lexicon:
     """A lexicon from (text, toxic) rows.
 
     Known insults come first: one that the rows have keeps its place if toxic rows have it ``odds``
@@ -167,6 +167,9 @@ def learn(rows: DataFrame, support: int = 3, share: float = 0.01, odds: float =
     ``share`` of them at least whose log odds ratio is ``odds`` at least. Of these, terms are taken while they cover toxic
     rows not yet covered ``cover`` times, so that words that merely keep company with terms are left out.
     Of a beginning and its extensions that cover nearly the same rows, the longest is the term.
+
+    The defaults of ``share``, ``odds`` and ``cover`` have the lowest log loss in threefold cross-validation inside
+    training rows (see the README); no held-out row was looked at for them.
     """
 
     def count(wanted: frozenset[str] | None):
