@@ -9,6 +9,10 @@
    d(q, p) - t <= high and d(q, p) + t >= low; and the cell of p nothing at all if d(q, p) - d(q, own pivot) > 2 t.
    Blocks of queries go only to rings that one of their queries may need, and in it only those queries are compared.
 
+The vectors of a block are one file in the shared folder (``spark.checkpoint.dir``), written once. What is shuffled are
+the names of blocks that meet; a task holds one block of queries and reads the blocks that it meets one after another,
+and sends one answer for each of its queries. Disk and shuffle so grow with the rows, not with the pairs.
+
 What is collected or broadcast are the pivots and one row for each cell, at most ``PIVOTS``. Vectors spread evenly in
 many dimensions leave few rings out, and every pair of blocks is compared then, as in any exact search.
 """
@@ -16,20 +20,24 @@ many dimensions leave few rings out, and every pair of blocks is compared then,
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoints
+from tessera.session import checkpoints, shared_uri
 
 #: Most pivots, and rows in a block.
 PIVOTS, BLOCK = 512, 2_048
+#: Most blocks that a block of queries meets in one task, and entries compared at once.
+MET, TILE = 256, 1_024
 
-BLOCKS = "block long, cell int, low double, high double, n int, first binary, last binary, grid binary, gaps binary"
+BLOCKS = "block long, cell int, low double, high double, n int, file string"
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -57,18 +65,35 @@ def finite(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return picked.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf))))
 
 
-def blocked(placed: DataFrame, n: int, size: int, first: int = 0) -> DataFrame:
-    """Stored blocks of entries (a, b, v, cell, gap) that are neighbours by cell and gap."""
+def kept(folder: str, first: np.ndarray, last: np.ndarray, gap: np.ndarray, grid: np.ndarray) -> str:
+    """The name of a new file of ``folder`` with the entries of one block."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    name = uuid.uuid4().hex  # a repeated task writes another file, and only the names of one attempt are read
+    with fs.open_output_stream(f"{base}/{name}") as out:
+        for part in (first, last, gap, grid):
+            out.write(np.ascontiguousarray(part).tobytes())
+    return name
+
+
+def entries_of(folder: str, name: str, n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """first, last, gap, grid of a block."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{base}/{name}") as source:
+        raw = source.read()
+    ids = np.frombuffer(raw, np.int64, 2 * n)
+    return ids[:n], ids[n:], np.frombuffer(raw, np.float64, n, 16 * n), np.frombuffer(raw, np.float64, n * width, 24 * n).reshape(n, width)
+
+
+def blocked(placed: DataFrame, n: int, size: int, folder: str) -> DataFrame:
+    """Blocks, stored in ``folder``, of entries (a, b, v, cell, gap) that are neighbours by cell and gap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def out(table: pa.Table) -> pa.RecordBatch:
-            gap, raw = table.column("gap").to_numpy(), lambda c: pa.array([table.column(c).to_numpy().tobytes()], pa.binary())
-            return pa.RecordBatch.from_arrays([
-                table.column("cell").slice(0, 1).combine_chunks(), pa.array([gap.min()]), pa.array([gap.max()]), pa.array([len(gap)], pa.int32()),
-                raw("a"), raw("b"), pa.array([matrix(table.column("v")).tobytes()], pa.binary()), raw("gap"),
-            ], names=["cell", "low", "high", "n", "first", "last", "grid", "gaps"])
+            gap = table.column("gap").to_numpy()
+            name = kept(folder, table.column("a").to_numpy(), table.column("b").to_numpy(), gap, matrix(table.column("v")))
+            return pa.RecordBatch.from_arrays([table.column("cell").slice(0, 1).combine_chunks(), pa.array([gap.min()]), pa.array([gap.max()]), pa.array([len(gap)], pa.int32()), pa.array([name])], names=["cell", "low", "high", "n", "file"])
 
         def cut(last: bool) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
@@ -91,8 +116,8 @@ def blocked(placed: DataFrame, n: int, size: int, first: int = 0) -> DataFrame:
             yield from cut(True)
 
     ranged = placed.repartitionByRange(max(1, -(-n // (4 * size))), "cell", "gap").sortWithinPartitions("cell", "gap")
-    made = ranged.mapInArrow(run, BLOCKS.replace("block long, ", "")).withColumn("block", F.monotonically_increasing_id() + first)
-    return made.select("block", "cell", "low", "high", "n", "first", "last", "grid", "gaps").checkpoint()
+    made = ranged.mapInArrow(run, BLOCKS.replace("block long, ", "")).withColumn("block", F.monotonically_increasing_id())
+    return made.select("block", "cell", "low", "high", "n", "file").checkpoint()
 
 
 @dataclass
@@ -103,6 +128,7 @@ class Index:
     blocks: DataFrame
     size: int
     n: int
+    folder: str
 
     @staticmethod
     def build(rows: DataFrame, id_col: str, vector: str, size: int = BLOCK, most: int = PIVOTS) -> Index:
@@ -112,7 +138,8 @@ class Index:
         k = max(1, min(most, int(math.sqrt(n))))
         chosen = entries.select("v", F.xxhash64("v", F.lit(5)).alias("h")).orderBy("h", "v").limit(k).collect()
         pivots = matrix(pa.array([r.v for r in chosen], pa.list_(pa.float64()))) if chosen else np.zeros((0, 0))
-        return Index(pivots, blocked(placed(entries, pivots), n, size), size, n)
+        folder = shared_uri(rows.sparkSession, "vector-blocks")
+        return Index(pivots, blocked(placed(entries, pivots), n, size, folder), size, n, folder)
 
     def nearest(self, queries: DataFrame, id_col: str, vector: str) -> DataFrame:
         return self.search(queries, id_col, vector)[0]
@@ -127,23 +154,33 @@ class Index:
         n = asked.count()
         if not n or not self.n:
             return spark.createDataFrame([], "id long, distance double, near long, single boolean"), {"pairs": 0, "compared": 0}
-        mine = blocked(placed(asked, pivots), n, self.size)
-        sides = self.blocks.select(*[F.col(c).alias(f"r_{c}") for c in self.blocks.columns])
+        mine = blocked(placed(asked, pivots), n, self.size, self.folder)
+        sides = self.blocks.select(F.col("block").alias("r_block"), F.struct("n", "file").alias("side"))
         rings = self.blocks.select("block", "cell", "low", "high")
         # the closest ring of the own cell, which is there: a pivot is an entry of its cell
         away = F.greatest(F.col("low") - F.col("q_high"), F.col("q_low") - F.col("high"), F.lit(0.0))
         own = mine.select(F.col("block").alias("q"), "cell", F.col("low").alias("q_low"), F.col("high").alias("q_high")).join(rings, "cell")
-        home = own.groupBy("q").agg(F.min_by("block", F.struct(away, F.col("block"))).alias("r_block"))
-        first = compared(mine.join(home, F.col("block") == F.col("q")).join(sides, "r_block").withColumn("reach", F.lit(None).cast("binary"))).checkpoint()
+        home = own.groupBy("q").agg(F.min_by("block", F.struct(away, F.col("block"))).alias("r_block")).checkpoint()
+        asking = mine.select(F.col("block").alias("q"), "cell", "n", "file")
+        at_home = home.join(sides, "r_block").select("q", F.array(F.struct("side.*", F.lit(None).cast("binary").alias("reach"))).alias("met"))
+        first = compared(asking.join(at_home, "q").withColumn("best", F.lit(None).cast("binary")), self.folder, pivots.shape[1]).checkpoint()
         # answers so far, in the order of the blocks' queries, and the rings that may hold better ones
-        bounded = mine.join(first.groupBy("q").agg(F.first("best").alias("best")), F.col("block") == F.col("q"))
-        wanted = bounded.select("q", "cell", "grid", "gaps", "best", "n").mapInArrow(reaching(pivots), "q long, cell int, least double, most double, reach binary")
+        bounded = asking.join(first.select("q", "best"), "q")
+        wanted = bounded.mapInArrow(reaching(pivots, self.folder), "q long, cell int, least double, most double, reach binary")
         met = wanted.alias("w").join(rings, "cell").where((F.col("high") >= F.col("least")) & (F.col("low") <= F.col("most"))).select("q", F.col("block").alias("r_block"), "reach")
         later = met.join(home, ["q", "r_block"], "left_anti").checkpoint()
-        more = compared(later.join(mine, F.col("q") == F.col("block")).join(sides, "r_block"))
+        # a block of queries meets its blocks in one task, or in as few as keep all tasks at work
+        n_mine, n_sides = mine.count(), self.blocks.count()
+        shares = max(-(-n_sides // MET), -(-2 * parallel(spark) // n_mine))
+        lists = later.join(sides, "r_block").groupBy("q", F.pmod(F.xxhash64("r_block"), F.lit(shares)).alias("share")).agg(F.collect_list(F.struct("side.*", "reach")).alias("met"))
+        more = compared(lists.join(bounded, "q"), self.folder, pivots.shape[1])
         found = first.unionByName(more).select(F.inline(F.arrays_zip("id", "distance", "near", "single")))
         best = found.where("distance < double('infinity')").groupBy("id").agg(F.min(F.struct("distance", "near", "single")).alias("m")).select("id", "m.*")
-        return best, {"pairs": mine.count() * self.blocks.count(), "compared": home.count() + later.count()}
+        return best, {"pairs": n_mine * n_sides, "compared": home.count() + later.count()}
+
+
+def parallel(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
 
 
 def placed(entries: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -162,14 +199,14 @@ def placed(entries: DataFrame, pivots: np.ndarray) -> DataFrame:
     return entries.select("a", "b", "v").mapInArrow(run, "a long, b long, v array<double>, cell int, gap double")
 
 
-def reaching(pivots: np.ndarray):
+def reaching(pivots: np.ndarray, folder: str):
     """For each block of queries and each cell that one of them may need: the distances to the pivot within which its rings matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                grid = np.frombuffer(r["grid"]).reshape(r["n"], pivots.shape[1])
-                best, own = np.frombuffer(r["best"]), np.frombuffer(r["gaps"])
+                _, _, own, grid = entries_of(folder, r["file"], r["n"], pivots.shape[1])
+                best = np.frombuffer(r["best"])
                 to = distances(grid, pivots)
                 # a query keeps its answer so far as its bound, widened by what the distances may be off
                 reach = best + 2 * slack(grid, pivots) + 1e-12 * (best + own)
@@ -183,44 +220,63 @@ def reaching(pivots: np.ndarray):
     return run
 
 
-def compared(pairs: DataFrame) -> DataFrame:
-    """Each query's nearest entry of the other block: (q, best binary, id, distance, near, single arrays); infinite where there is none."""
+def compared(groups: DataFrame, folder: str, width: int) -> DataFrame:
+    """Each query's nearest entry of the blocks that its block meets: (q, best binary, id, distance, near, single arrays); infinite where there is none.
+
+    ``groups``: q, n and file of a block of queries, ``met`` (n, file and reach of other blocks), and ``best``, distances that need not be looked beyond.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in ("q", "n", "first", "grid", "reach", "r_n", "r_first", "r_last", "r_grid")}
-                ids, a, b = (np.frombuffer(r[c], np.int64) for c in ("first", "r_first", "r_last"))
-                grid, other = np.frombuffer(r["grid"]).reshape(r["n"], -1), np.frombuffer(r["r_grid"]).reshape(r["r_n"], -1)
-                if r["reach"] is not None:
-                    some = np.unpackbits(np.frombuffer(r["reach"], np.uint8))[: r["n"]].astype(bool)
-                    ids, grid = ids[some], grid[some]
+                r = {c: batch.column(c)[i].as_py() for c in ("q", "n", "file", "best", "met")}
+                ids, _, _, grid = entries_of(folder, r["file"], r["n"], width)
+                norms = (grid**2).sum(1)
                 best, near, single = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-                for at in range(0, len(other), 1_024):
-                    part, low, high = other[at : at + 1_024], a[at : at + 1_024], b[at : at + 1_024]
-                    d2 = (grid**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * grid @ part.T
-                    alone = (low == high)[None, :] & (ids[:, None] == low[None, :])  # entries of nothing but the query's own id
-                    d2[alone] = np.inf
-                    # the product only rules entries out: all that may be nearest within its rounding are measured by differences
-                    scale = (grid**2).sum(1) + (part**2).sum(1).max(initial=0)
-                    x, y = np.nonzero((d2 <= (d2.min(1) + 1e-13 * (grid.shape[1] + 4) * scale)[:, None]) & ~alone)
-                    exact = np.sqrt(((grid[x] - part[y]) ** 2).sum(1))
-                    who = np.where(low[y] == ids[x], high[y], low[y])
-                    order = np.lexsort((who, exact, x))
-                    lead = order[np.unique(x[order], return_index=True)[1]]
-                    xs, d, w = x[lead], exact[lead], who[lead]
-                    better = (d < best[xs]) | ((d == best[xs]) & (w < near[xs]))
-                    xs, d, w, one = xs[better], d[better], w[better], (low == high)[y[lead]][better]
-                    best[xs], near[xs], single[xs] = d, w, one
+                bound = best.copy() if r["best"] is None else np.frombuffer(r["best"]).copy()
+                for m in r["met"]:
+                    some = np.arange(len(ids)) if m["reach"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(m["reach"], np.uint8))[: r["n"]])
+                    nearer(ids, grid, norms, some, entries_of(folder, m["file"], m["n"], width), bound, best, near, single)
                 lists = [pa.array([x], t) for x, t in ((ids, pa.list_(pa.int64())), (best, pa.list_(pa.float64())), (near, pa.list_(pa.int64())), (single, pa.list_(pa.bool_())))]
                 yield pa.RecordBatch.from_arrays([pa.array([r["q"]]), pa.array([best.tobytes()], pa.binary()), *lists], names=["q", "best", "id", "distance", "near", "single"])
 
-    needed = pairs.select("q", "n", "first", "grid", "reach", "r_n", "r_first", "r_last", "r_grid")
     # few rows of much work: dealt by number
-    dealt = needed.repartition(max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8))
+    dealt = groups.select("q", "n", "file", "best", "met").repartition(parallel(groups.sparkSession))
     return dealt.mapInArrow(run, "q long, best binary, id array<long>, distance array<double>, near array<long>, single array<boolean>")
 
 
+def nearer(ids: np.ndarray, grid: np.ndarray, norms: np.ndarray, some: np.ndarray, block: tuple, bound: np.ndarray, best: np.ndarray, near: np.ndarray, single: np.ndarray) -> None:
+    """Better ``best``, ``near`` and ``single`` of the queries ``some`` by the entries of ``block``, and ``bound`` with them."""
+    a, b, _, other = block
+    mine, own, asked = grid[some], norms[some], ids[some]
+    for at in range(0, len(other), TILE):
+        part, low, high = other[at : at + TILE], a[at : at + TILE], b[at : at + TILE]
+        square = (part**2).sum(1)
+        # half the squared distances but for the queries' own squares
+        halves = square / 2 - mine @ part.T
+        # the product only rules entries out: all that may be nearest within its rounding are measured by differences
+        slack = 1e-13 * (grid.shape[1] + 4) * (own + square.max(initial=0))
+        rows = np.flatnonzero(2 * halves.min(1) + own - slack <= bound[some] ** 2 * (1 + 1e-12))
+        if not len(rows):
+            continue
+        halves = halves[rows]
+        alone = (low == high)[None, :] & (asked[rows][:, None] == low[None, :])  # entries of nothing but the query's own id
+        halves[alone] = np.inf
+        x, y = np.nonzero((halves <= (halves.min(1) + slack[rows])[:, None]) & ~alone)
+        if not len(x):
+            continue
+        x = some[rows[x]]
+        exact = np.sqrt(((grid[x] - part[y]) ** 2).sum(1))
+        who = np.where(low[y] == ids[x], high[y], low[y])
+        order = np.lexsort((who, exact, x))
+        lead = order[np.unique(x[order], return_index=True)[1]]
+        xs, d, w = x[lead], exact[lead], who[lead]
+        better = (d < best[xs]) | ((d == best[xs]) & (w < near[xs]))
+        xs, d, w, one = xs[better], d[better], w[better], (low == high)[y[lead]][better]
+        best[xs], near[xs], single[xs] = d, w, one
+        bound[xs] = np.minimum(bound[xs], d)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, block: int = BLOCK) -> DataFrame:
     """id, distance: exact distance of each query to its nearest row with another id.
 

@@ -50,3 +50,16 @@ def test_other_queries_than_rows(spark):
     assert neighbours.nearest(one, one, "k", "v").count() == 0
     with pytest.raises(Exception, match="different lengths"):
         neighbours.nearest(make(queries), one, "k", "v").count()
+
+
+def test_blocks_meet_by_name(spark, monkeypatch):
+    """What is shuffled are names of stored blocks: no vectors, however many pairs of blocks there are."""
+    monkeypatch.setattr(neighbours, "MET", 3)
+    r = random.Random(4)
+    rows = [(i, [r.random() for _ in range(12)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    index = neighbours.Index.build(df, "k", "v", size=20)
+    assert {t for _, t in index.blocks.dtypes} == {"bigint", "int", "double", "string"}
+    found, seen = index.search(df, "k", "v")
+    assert seen["compared"] > 3 * index.blocks.count()
+    assert {x.id: (pytest.approx(x.distance), x.near) for x in found.collect()} == brute(rows, rows)
