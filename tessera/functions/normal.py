@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +45,22 @@ def phi_inverse(p: Column) -> Column:
     low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
     tail = lambda t: _poly(t, C) / (_poly(t, D) * t + 1)
     return F.when(p < LOW, tail(low)).when(p > 1 - LOW, -tail(high)).otherwise(middle)
+
+
+def phi_of(z: np.ndarray) -> np.ndarray:
+    """``phi`` of an array."""
+    x = np.abs(z) / math.sqrt(2)
+    s = np.zeros_like(x)
+    for c in reversed(E):
+        s = (s + c) * x
+    upper = 1 - 0.5 / (1 + s) ** 16
+    return np.clip(np.where(z >= 0, upper, 1 - upper), 1e-6, 1 - 1e-6)
+
+
+def phi_inverse_of(p: np.ndarray) -> np.ndarray:
+    """``phi_inverse`` of an array."""
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    q = p - 0.5
+    tail = lambda t: np.polyval(C, t) / (np.polyval(D, t) * t + 1)
+    middle = np.polyval(A, q * q) * q / (np.polyval(B, q * q) * (q * q) + 1)
+    return np.where(p < LOW, tail(np.sqrt(-2 * np.log(p))), np.where(p > 1 - LOW, -tail(np.sqrt(-2 * np.log(1 - p))), middle))

@@ -11,11 +11,12 @@ from itertools import count
 from math import gcd
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing
-from tessera.functions.normal import phi, phi_inverse
+from tessera.functions.normal import phi, phi_inverse, phi_inverse_of, phi_of
 from tessera.operators import stats
 from tessera.schema import family
 
@@ -162,16 +163,14 @@ def fit(df: DataFrame, columns: list[str] | None = None) -> Copula:
     profiles = profile(df, columns)
     used = [p for p in profiles if p.kind != "identifier"]
     z = normal_scores(df, used)
-    pairs = [(i, j) for i in range(len(used)) for j in range(i + 1, len(used))]
     c = np.eye(len(used))
     scores = []
     if used:
-        sums = [f(f"z{i}", f"z{j}").alias(f"{n}{i}_{j}") for i, j in pairs for n, f in (("xy", F.regr_sxy), ("xx", F.regr_sxx), ("yy", F.regr_syy))]
-        row = z.agg(*sums, *[f(f"z{i}").alias(f"{n}{i}") for i in range(len(used)) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        for i, j in pairs:
-            spread = (row[f"xx{i}_{j}"] or 0.0) * (row[f"yy{i}_{j}"] or 0.0)  # 0 for a column of one value
-            c[i, j] = c[j, i] = row[f"xy{i}_{j}"] / spread**0.5 if spread > 0 else 0.0
-        scores = [(row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i in range(len(used))]
+        found = stats.comoments(z, [f"z{i}" for i in range(len(used))])
+        for i in range(len(used)):
+            for j in range(i + 1, len(used)):
+                c[i, j] = c[j, i] = found.correlation(i, j) or 0.0  # none for a column of one value
+        scores = [(found.mean(i), found.deviation(i) or 1.0) for i in range(len(used))]
     return Copula(profiles, valid_correlation(c), scores)
 
 
@@ -226,20 +225,29 @@ def sample_given(model: Copula, given: DataFrame, row_id: str, columns: list[str
     c = model.correlation
     gain = c[np.ix_(b, a)] @ np.linalg.inv(c[np.ix_(a, a)])
     root = np.linalg.cholesky(valid_covariance(c[np.ix_(b, b)] - gain @ c[np.ix_(a, b)]))
-    df = given
-    for k, i in enumerate(a):
-        mean, spread = model.scores[i] if model.scores else (0.0, 1.0)
-        score = (phi_inverse(quantile_of(used[i], F.col(f"`{used[i].name}`"))) - mean) / spread
-        df = df.withColumn(f"__g{k}", F.coalesce(score, F.lit(0.0)))
+    # the sums and the normal distribution are worked in arrays: as expressions they make methods too long to be compiled
+    df = given.withColumns({f"__e{k}": hashing.gaussian(seed, f"given/{used[i].name}", F.col(row_id)) for k, i in enumerate(b)})
+    scores = [model.scores[i] if model.scores else (0.0, 1.0) for i in a]
+    grids = [np.array(used[i].grid, np.float64) for i in a]
+
+    @F.arrow_udf(", ".join(f"u{k} double" for k in range(len(b))))
+    def placed(*columns: pa.Array) -> pa.Array:
+        given_scores = np.zeros((len(columns[0]), len(a)))
+        for k, c in enumerate(columns[: len(a)]):
+            score = (phi_inverse_of(quantile_of(grids[k], c.to_numpy(zero_copy_only=False))) - scores[k][0]) / scores[k][1]
+            given_scores[:, k] = np.where(c.is_null().to_numpy(zero_copy_only=False), 0.0, score)
+        noise = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns[len(a) :]])
+        u = phi_of(given_scores @ gain.T + noise @ np.tril(root).T)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(u[:, k])) for k in range(len(b))], names=[f"u{k}" for k in range(len(b))])
+
+    if b:
+        df = df.withColumn("__gs", placed(*[number(used[i], F.col(f"`{used[i].name}`")) for i in a], *[F.col(f"__e{k}") for k in range(len(b))]))
+        df = df.withColumns({f"__gu{k}": F.col(f"__gs.u{k}") for k in range(len(b))})
     for k, i in enumerate(b):
-        df = df.withColumn(f"__e{k}", hashing.gaussian(seed, f"given/{used[i].name}", F.col(row_id)))
-    for k, i in enumerate(b):
-        mean = sum((F.lit(float(gain[k, m])) * F.col(f"__g{m}") for m in range(len(a))), F.lit(0.0))
-        noise = sum((F.lit(float(root[k, m])) * F.col(f"__e{m}") for m in range(k + 1)), F.lit(0.0))
         if used[i].table is not None:
-            df = drawn(df.withColumn("__gu", phi(mean + noise)), "__gu", used[i].table, used[i].name, used[i].type)
+            df = drawn(df, f"__gu{k}", used[i].table, used[i].name, used[i].type)
         else:
-            df = df.withColumn(used[i].name, marginal(used[i], phi(mean + noise), F.col(row_id)))
+            df = df.withColumn(used[i].name, marginal(used[i], F.col(f"__gu{k}"), F.col(row_id)))
     for p in model.profiles:
         if p.kind == "identifier":
             df = df.withColumn(p.name, marginal(p, F.lit(0.0), F.col(row_id)))
@@ -251,13 +259,14 @@ def valid_covariance(c: np.ndarray, least: float = 1e-9) -> np.ndarray:
     return v @ np.diag(np.maximum(w, least)) @ v.T
 
 
-def quantile_of(p: Profile, c: Column) -> Column:
-    """The place of a value in a numeric marginal, within (0, 1)."""
-    v = F.unix_micros(c.cast("timestamp")).cast("double") if p.kind == "datetime" else c.cast("double")
-    grid = F.array(*[F.lit(float(g)) for g in p.grid])
-    below = F.size(F.filter(grid, lambda g: g < v))
-    above = F.size(F.filter(grid, lambda g: g <= v))
-    return F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (below + above) / (2.0 * len(p.grid))))
+def number(p: Profile, c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp")).cast("double") if p.kind == "datetime" else c.cast("double")
+
+
+def quantile_of(grid: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The places of values in a numeric marginal, within (0, 1)."""
+    passed = np.searchsorted(grid, values, "left") + np.searchsorted(grid, values, "right")
+    return np.clip(passed / (2.0 * len(grid)), 1e-6, 1 - 1e-6)
 
 
 # injection

@@ -83,12 +83,8 @@ def effects(tables: dict[str, DataFrame], graph: Graph, child: str, known: dict[
     if nums:
         names = [f"x{i}" for i in range(len(nums))] + [f"y{j}" for j in range(len(ys))]
         ranks = ranked_rows(wide, names)
-        place = {n: f"r{k}" for k, n in enumerate(names)}
-        pairs = [(i, j) for i in range(len(nums)) for j in range(len(ys))]
-        row = ranks.agg(*[f(place[f"y{j}"], place[f"x{i}"]).alias(f"{n}{i}_{j}") for i, j in pairs for n, f in (("xy", F.regr_sxy), ("xx", F.regr_sxx), ("yy", F.regr_syy))]).first()
-        for i, j in pairs:
-            spread = (row[f"xx{i}_{j}"] or 0.0) * (row[f"yy{i}_{j}"] or 0.0)
-            out.append(Effect("rank", child, ys[j], *nums[i], row[f"xy{i}_{j}"] / spread**0.5 if spread > 0 else None))
+        found = stats.comoments(ranks, [f"r{k}" for k in range(len(names))])
+        out += [Effect("rank", child, ys[j], *nums[i], found.correlation(i, len(nums) + j)) for i in range(len(nums)) for j in range(len(ys))]
     return out
 
 

@@ -6,7 +6,11 @@ Order statistics group by value first, so that windows run over distinct values
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,16 +226,21 @@ BROADCAST = 200_000
 
 
 def looked_up(values: DataFrame, table: DataFrame, new: str, prefix: str) -> DataFrame:
-    """``values`` (v0, v1, ...) with each value replaced by ``table``'s (i, v, ``new``): columns ``prefix`` 0, 1, ...; one join for all, by row.
+    """``values`` (v0, v1, ...) with each value replaced by ``table``'s (i, v, ``new``): columns ``prefix`` 0, 1, ...; one join a column.
 
-    ``table`` is written already: it is counted, and broadcast where it is small.
+    Rows stay whole, so that nothing is grouped by row again. ``table`` is written already: its columns are counted, and
+    the smallest are broadcast, with ``BROADCAST`` rows in all; only the others are shuffled.
     """
-    n = len(values.columns)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(n)])
-    # rows get their numbers before they are parted into cells
-    melted = values.withColumn("__row", F.monotonically_increasing_id()).select("__row", F.explode(cells).alias("s")).select("__row", "s.*")
-    met = melted.join(F.broadcast(table) if table.count() < BROADCAST else table, ["i", "v"], "left")
-    return met.groupBy("__row").agg(*[F.max(F.when(F.col("i") == i, F.col(new))).alias(f"{prefix}{i}") for i in range(n)]).drop("__row")
+    sizes = {r["i"]: r["n"] for r in table.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small, room = set(), BROADCAST
+    for i in sorted(range(len(values.columns)), key=lambda i: sizes.get(i, 0)):
+        if (room := room - sizes.get(i, 0)) > 0:
+            small.add(i)
+    out = values
+    for i in sorted(range(len(values.columns)), key=lambda i: i in small):
+        mine = table.where(F.col("i") == i).select(F.col("v").alias("__v"), F.col(new).alias(f"{prefix}{i}"))
+        out = out.join(F.broadcast(mine) if i in small else mine, F.col(f"v{i}") == F.col("__v"), "left").drop("__v", f"v{i}")
+    return out.select(*[f"{prefix}{i}" for i in range(len(values.columns))])
 
 
 def quantile_table(df: DataFrame, columns: dict[str, Column], steps: int) -> DataFrame:
@@ -454,6 +463,54 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return r.agg(F.try_divide(cov, F.sqrt(vx * vy)).alias("rho"))
 
 
+@dataclass
+class Comoments:
+    """Of each two columns over the rows where both are present: counts, and sums of the first, of its squares and of the products."""
+
+    n: np.ndarray
+    sums: np.ndarray
+    squares: np.ndarray
+    products: np.ndarray
+
+    def spread(self, i: int, j: int) -> float:
+        """The squared deviations of column i where j is present; 0 within rounding for one value."""
+        n, s, q = self.n[i, j], self.sums[i, j], self.squares[i, j]
+        found = q - s * s / n if n else 0.0
+        return found if found > 1e-12 * q else 0.0
+
+    def correlation(self, i: int, j: int) -> float | None:
+        spread = self.spread(i, j) * self.spread(j, i)
+        return (self.products[i, j] - self.sums[i, j] * self.sums[j, i] / self.n[i, j]) / spread**0.5 if spread > 0 else None
+
+    def mean(self, i: int) -> float:
+        return self.sums[i, i] / self.n[i, i] if self.n[i, i] else 0.0
+
+    def deviation(self, i: int) -> float:
+        return (self.spread(i, i) / self.n[i, i]) ** 0.5 if self.n[i, i] else 0.0
+
+
+def comoments(df: DataFrame, columns: list[str]) -> Comoments:
+    """``Comoments`` of doubles, summed in arrays; each partition sends a row for each two columns."""
+    k = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            if batch.num_rows:
+                z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                here = ~np.isnan(z)
+                z, mark = np.where(here, z, 0.0), here.astype(np.float64)
+                total += np.stack([mark.T @ mark, z.T @ mark, (z * z).T @ mark, z.T @ z])
+        i, j = (x.ravel() for x in np.indices((k, k)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i.astype(np.int32), j.astype(np.int32), *(t.ravel() for t in total))], names=["i", "j", "n", "s", "q", "p"])
+
+    parts = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, "i int, j int, n double, s double, q double, p double")
+    out = np.zeros((4, k, k))
+    for r in parts.groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in "nsqp"]).collect():  # a row for each two columns
+        out[:, r["i"], r["j"]] = r["n"], r["s"], r["q"], r["p"]
+    return Comoments(*out)
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r: Pearson correlations of all pairs, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

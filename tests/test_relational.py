@@ -117,3 +117,21 @@ def test_junctions_composite_references_lines_and_forests(spark):
     assert t["both"].count() == t["both"].select("id", "tag").distinct().count() > 300
     lines = t["notes"].groupBy("id", "tag").agg(F.max("line").alias("m"), F.count("line").alias("n"))
     assert lines.where("m <> n").count() == 0 and t["notes"].count() > 20
+
+
+def test_null_conditions_nothing_and_comoments(spark):
+    """A NULL given leaves the other columns at their own middle, and co-moments in arrays are those of the rows where both are present."""
+    import numpy as np
+
+    from tessera.operators import generate, stats
+
+    grid = [float(i) for i in range(101)]
+    model = generate.Copula([generate.Profile(n, "numeric", "double", grid=grid) for n in "xy"], np.array([[1.0, 0.95], [0.95, 1.0]]), [(0.0, 1.0)] * 2)
+    rows = spark.range(2_000).selectExpr("id AS k", "CASE WHEN id % 2 = 0 THEN 99.0D END AS x")
+    got = {r["none"]: r["m"] for r in generate.sample_given(model, rows, "k", ["x"]).selectExpr("x IS NULL AS none", "y").groupBy("none").agg({"y": "avg"}).toDF("none", "m").collect()}
+    assert 45 < got[True] < 55 and got[False] > 85
+    values = [(float(i), float(i * i % 17), 4.0) if i % 5 else (float(i), None, 4.0) for i in range(100)]
+    found = stats.comoments(spark.createDataFrame(values, "a double, b double, c double").repartition(3), ["a", "b", "c"])
+    both = np.array([v[:2] for v in values if v[1] is not None])
+    assert abs(found.correlation(0, 1) - np.corrcoef(both.T)[0, 1]) < 1e-12 and found.correlation(0, 2) is None
+    assert found.n[0, 1] == len(both) and abs(found.deviation(0) - np.std(range(100))) < 1e-9
