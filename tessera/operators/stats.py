@@ -474,19 +474,19 @@ class Comoments:
 
     def spread(self, i: int, j: int) -> float:
         """The squared deviations of column i where j is present; 0 within rounding for one value."""
-        n, s, q = self.n[i, j], self.sums[i, j], self.squares[i, j]
+        n, s, q = (float(x[i, j]) for x in (self.n, self.sums, self.squares))
         found = q - s * s / n if n else 0.0
         return found if found > 1e-12 * q else 0.0
 
     def correlation(self, i: int, j: int) -> float | None:
         spread = self.spread(i, j) * self.spread(j, i)
-        return (self.products[i, j] - self.sums[i, j] * self.sums[j, i] / self.n[i, j]) / spread**0.5 if spread > 0 else None
+        return float(self.products[i, j] - self.sums[i, j] * self.sums[j, i] / self.n[i, j]) / spread**0.5 if spread > 0 else None
 
     def mean(self, i: int) -> float:
-        return self.sums[i, i] / self.n[i, i] if self.n[i, i] else 0.0
+        return float(self.sums[i, i] / self.n[i, i]) if self.n[i, i] else 0.0
 
     def deviation(self, i: int) -> float:
-        return (self.spread(i, i) / self.n[i, i]) ** 0.5 if self.n[i, i] else 0.0
+        return float(self.spread(i, i) / self.n[i, i]) ** 0.5 if self.n[i, i] else 0.0
 
 
 def comoments(df: DataFrame, columns: list[str]) -> Comoments:

@@ -134,4 +134,4 @@ def test_null_conditions_nothing_and_comoments(spark):
     found = stats.comoments(spark.createDataFrame(values, "a double, b double, c double").repartition(3), ["a", "b", "c"])
     both = np.array([v[:2] for v in values if v[1] is not None])
     assert abs(found.correlation(0, 1) - np.corrcoef(both.T)[0, 1]) < 1e-12 and found.correlation(0, 2) is None
-    assert found.n[0, 1] == len(both) and abs(found.deviation(0) - np.std(range(100))) < 1e-9
+    assert type(found.correlation(0, 1)) is float and found.n[0, 1] == len(both) and abs(found.deviation(0) - np.std(range(100))) < 1e-9
