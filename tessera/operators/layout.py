@@ -85,28 +85,46 @@ def words(placed: DataFrame) -> DataFrame:
     return out.select(*kept, "n", F.col("w.word").alias("word"), (F.col("x0") + F.col("w.from")).alias("x0"), (F.col("x0") + F.col("w.to")).alias("x1"))
 
 
-def scan_map(doc_id: Column, kind: str, seed: int = 0) -> dict[str, Column]:
-    """The affine map of each document's scan: a turn around the page's centre and a shear, x' = a x + b y + c, y' = d x + e y + f."""
+def scan_draws(doc_id: Column, kind: str, seed: int = 0) -> tuple[Column, Column]:
+    """The turn, in radians, and the shear of each document's scan."""
     if kind not in SCANS:
         raise ValueError(f"unknown scan {kind}; there are {', '.join(SCANS)}")
     most, shear = SCANS[kind]
-    turn = (2 * hashing.uniform(seed, "scan/turn", doc_id) - 1) * math.radians(most)
-    s = (2 * hashing.uniform(seed, "scan/shear", doc_id) - 1) * shear
+    return (2 * hashing.uniform(seed, "scan/turn", doc_id) - 1) * math.radians(most), (2 * hashing.uniform(seed, "scan/shear", doc_id) - 1) * shear
+
+
+def affine(turn: Column, s: Column) -> dict[str, Column]:
+    """A turn around the page's centre and a shear, x' = a x + b y + c, y' = d x + e y + f."""
     cx, cy = PAGE[0] / 2, PAGE[1] / 2
     a, b = F.cos(turn), F.cos(turn) * s - F.sin(turn)
     d, e = F.sin(turn), F.sin(turn) * s + F.cos(turn)
     return {"a": a, "b": b, "c": cx - a * cx - b * cy, "d": d, "e": e, "f": cy - d * cx - e * cy}
 
 
+def scan_map(doc_id: Column, kind: str, seed: int = 0) -> dict[str, Column]:
+    """The affine map of each document's scan."""
+    return affine(*scan_draws(doc_id, kind, seed))
+
+
+def scan(placed: DataFrame, doc_id: str, kind: str, seed: int = 0) -> DataFrame:
+    """``placed`` as ``scanned`` by the documents' ``scan_map``, whose draws are made once for each row."""
+    turn, shear = scan_draws(F.col(doc_id), kind, seed)
+    drawn = placed.withColumns({"__turn": turn, "__shear": shear})
+    return scanned(drawn, affine(F.col("__turn"), F.col("__shear"))).drop("__turn", "__shear")
+
+
 def scanned(placed: DataFrame, m: dict[str, Column]) -> DataFrame:
     """``placed`` with ``polygon`` (four corners) and the box bx0, by0, bx1, by1 after the map, bounds kept within the page."""
-    corners = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
-    mapped = placed.withColumns({f"__{k}": v for k, v in m.items()})
-    polygon = F.transform(corners, lambda p: F.struct((F.col("__a") * p["x"] + F.col("__b") * p["y"] + F.col("__c")).alias("x"), (F.col("__d") * p["x"] + F.col("__e") * p["y"] + F.col("__f")).alias("y")))
-    out = mapped.withColumn("polygon", polygon).drop(*[f"__{k}" for k in m])
+    mapped = placed.withColumns({f"__{k}": v for k, v in m.items()})  # once for each row, then used by every corner
+    corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+    points = {}
+    for i, (x, y) in enumerate(corners):
+        points[f"__x{i}"] = F.col("__a") * F.col(x) + F.col("__b") * F.col(y) + F.col("__c")
+        points[f"__y{i}"] = F.col("__d") * F.col(x) + F.col("__e") * F.col(y) + F.col("__f")
     inside = lambda v, top: F.greatest(F.lit(0.0), F.least(F.lit(top), v))
     ends = {}
     for axis, top in (("x", PAGE[0]), ("y", PAGE[1])):
-        values = F.col("polygon")[axis]  # of every corner
-        ends |= {f"b{axis}0": inside(F.array_min(values), top), f"b{axis}1": inside(F.array_max(values), top)}
-    return out.withColumns(ends)
+        values = [F.col(f"__{axis}{i}") for i in range(len(corners))]
+        ends |= {f"b{axis}0": inside(F.least(*values), top), f"b{axis}1": inside(F.greatest(*values), top)}
+    polygon = F.array(*[F.struct(F.col(f"__x{i}").alias("x"), F.col(f"__y{i}").alias("y")) for i in range(len(corners))])
+    return mapped.withColumns(points).withColumns({"polygon": polygon} | ends).drop(*[f"__{k}" for k in m], *points)

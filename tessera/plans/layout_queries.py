@@ -57,5 +57,5 @@ SELECT doc_id, key, round(greatest(0, min(297.5 + cos(t) * px + (cos(t) * s - si
 FROM corners GROUP BY doc_id, key
 """)
 def scanned_boxes(spark, sf_dir):
-    found = layout.scanned(layout.boxes(order_fields(spark, sf_dir)), layout.scan_map(F.col("doc_id"), "photocopy", seed=9))
+    found = layout.scan(layout.boxes(order_fields(spark, sf_dir)), "doc_id", "photocopy", seed=9)
     return found.select("doc_id", "key", *[F.round(c, 3).alias(c) for c in ("bx0", "by0", "bx1", "by1")])

@@ -49,3 +49,15 @@ def test_scans_move_corners_and_stay_on_the_page(fields):
         assert 0 < moved < 80 and 0 <= r.bx0 <= r.bx1 <= layout.PAGE[0] and 0 <= r.by0 <= r.by1 <= layout.PAGE[1]
     with pytest.raises(ValueError, match="unknown scan"):
         layout.scan_map(F.col("doc_id"), "mirror")
+
+
+def test_draws_of_a_scan_are_made_once_a_row(fields):
+    """The same boxes as by the map itself; the plan has each draw once, and no corner is worked in a loop."""
+    placed = layout.boxes(fields)
+    found = layout.scan(placed, "doc_id", "bad_fax", 5)
+    wanted = layout.scanned(placed, layout.scan_map(F.col("doc_id"), "bad_fax", 5))
+    assert found.columns == wanted.columns and sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    one = layout.scan(placed.where("key = 'name'"), "doc_id", "bad_fax", 5)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    parts = plan.count("Union") + 1
+    assert plan.count("scan/turn") <= 2 * parts and plan.count("scan/shear") <= 2 * parts and "transform(" not in plan
