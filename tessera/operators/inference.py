@@ -57,6 +57,22 @@ def primary_key(table: str, df: DataFrame, stats: dict[str, dict]) -> tuple[str,
 
 #: Most columns of a key, sets looked at in one aggregation by sketch and by exact count, and the least estimate that is counted exactly.
 KEY_COLUMNS, SKETCHED, COUNTED, LIKELY = 3, 128, 8, 0.9
+#: Repeats are looked for in one of so many parts of the rows first.
+PARTS = 64
+
+
+def repeating(df: DataFrame, sets: list[tuple[str, ...]], distinct: dict[str, int]) -> set[tuple[str, ...]]:
+    """Those of ``sets`` whose values repeat within one part of the rows, which shows that they are not unique.
+
+    A part has all rows of some values of the set's column with the most values. What repeats in other parts only is not found.
+    """
+    found: set[tuple[str, ...]] = set()
+    for lead in dict.fromkeys(max(c, key=distinct.__getitem__) for c in sets):
+        some = [c for c in sets if max(c, key=distinct.__getitem__) == lead]
+        part = df.where(F.pmod(F.xxhash64(F.col(f"`{lead}`")), F.lit(PARTS)) == 0)
+        row = part.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(*[F.col(f"`{x}`") for x in c]).alias(f"p{i}") for i, c in enumerate(some)]).first()
+        found |= {c for i, c in enumerate(some) if row[f"p{i}"] < row["n"]}
+    return found
 
 
 def unique_sets(df: DataFrame, distinct: dict[str, int], rows: int | None = None, most: int = KEY_COLUMNS, first: bool = False) -> list[tuple[str, ...]]:
@@ -64,7 +80,8 @@ def unique_sets(df: DataFrame, distinct: dict[str, int], rows: int | None = None
 
     ``distinct`` has the columns, none of which holds nulls or is unique, with their numbers of values. Level by level: a set
     is looked at if no part of it is unique and the product of its columns' values reaches the number of rows; a sketch of
-    all such sets in one aggregation leaves those near uniqueness, which are counted exactly.
+    all such sets in one aggregation leaves those near uniqueness, and those that repeat within a part of the rows are not
+    unique; all others are counted exactly, over all rows.
     """
     rows = df.count() if rows is None else rows
     found: list[tuple[str, ...]] = []
@@ -74,6 +91,8 @@ def unique_sets(df: DataFrame, distinct: dict[str, int], rows: int | None = None
             some = wanted[at : at + SKETCHED]
             seen = df.agg(*[F.approx_count_distinct(F.xxhash64(*[F.col(f"`{x}`") for x in c]), 0.02).alias(f"p{i}") for i, c in enumerate(some)]).first()
             near = [c for i, c in enumerate(some) if seen[f"p{i}"] >= LIKELY * rows]
+            again = repeating(df, near, distinct)
+            near = [c for c in near if c not in again]
             for k in range(0, len(near), COUNTED):
                 part = near[k : k + COUNTED]
                 exact = df.agg(*[F.count_distinct(*[F.col(f"`{x}`") for x in c]).alias(f"p{i}") for i, c in enumerate(part)]).first()

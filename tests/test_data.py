@@ -365,3 +365,18 @@ def test_registry_and_entry(spark):
     names, oracles = e.queries(), e.oracle_sql()
     assert set(oracles) <= set(names) and len(names) > 100
     assert e.entry(spark).count() == 6
+
+
+def test_sets_that_repeat_in_a_part_are_not_counted_over_all_rows(spark, monkeypatch):
+    """One repeat in any part keeps a set from being unique; sets that repeat in many are known from one part."""
+    rows = [(i // 2, i % 2, i % 1_000) for i in range(4_000)]
+    make = lambda r: spark.createDataFrame(r, "a_id int, b_id int, c_id int")
+    distinct = {"a_id": 2_000, "b_id": 2, "c_id": 1_000}
+    assert inference.unique_sets(make(rows), distinct) == [("a_id", "b_id"), ("a_id", "c_id")]
+    for at in range(0, 40, 5):  # a repeat of one pair, in whatever part it is
+        odd = [(rows[at][0], 1 - rows[at][1], c) if i == at else (a, b, c) for i, (a, b, c) in enumerate(rows)]
+        assert inference.unique_sets(make(odd), distinct) == [("a_id", "c_id")]
+    many = [(i // 2, 0 if i % 40 == 1 else i % 2, i % 1_000) for i in range(4_000)]
+    assert inference.repeating(make(many), [("a_id", "b_id"), ("a_id", "c_id")], distinct) == {("a_id", "b_id")}
+    monkeypatch.setattr(inference, "PARTS", 10**9)  # an empty part shows nothing
+    assert inference.unique_sets(make(many), distinct) == [("a_id", "c_id")]
