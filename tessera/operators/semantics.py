@@ -50,12 +50,28 @@ def date_format(df: DataFrame, column: str, least: float = 0.9) -> str | None:
     return next((f for i, f in enumerate(DATE_FORMATS) if (row[f"f{i}"] or 0) * total / row["n"] >= least), None)
 
 
+#: Columns of about so many values at most are counted together.
+FEW_VALUES = 50_000
+
+
+def distinct_counts(df: DataFrame) -> list[int]:
+    """The number of values of each column. Columns of many values are dealt out by value before they are counted, so that no task holds more than its part."""
+    if not df.columns:
+        return []
+    about = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"a{i}") for i, c in enumerate(df.columns)]).first()
+    few = [i for i in range(len(df.columns)) if about[f"a{i}"] <= FEW_VALUES]
+    row = df.agg(*[F.count_distinct(F.col(f"`{df.columns[i]}`")).alias(f"d{i}") for i in few]).first() if few else {}
+    return [row[f"d{i}"] if i in few else df.select(F.col(f"`{c}`").alias("v")).where("v is not null").repartition("v").distinct().count() for i, c in enumerate(df.columns)]
+
+
 def propose(df: DataFrame, table: str) -> dict:
     """Semantic types and constraints of a table's columns, sealed by a hash."""
     found: dict[str, dict[str, float]] = {}
     for r in shares(df).collect():  # one row per text column and pattern
         found.setdefault(r["column"], {})[r["pattern"]] = r["share"]
-    stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], *[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(df.columns)], *[F.min(f"`{c}`").cast("string").alias(f"lo{i}") for i, c in enumerate(df.columns)], *[F.max(f"`{c}`").cast("string").alias(f"hi{i}") for i, c in enumerate(df.columns)]).first()
+    # without distinct counts among them, strings' ends need no sort of the rows
+    stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], *[F.min(f"`{c}`").cast("string").alias(f"lo{i}") for i, c in enumerate(df.columns)], *[F.max(f"`{c}`").cast("string").alias(f"hi{i}") for i, c in enumerate(df.columns)]).first().asDict()
+    stats |= {f"d{i}": n for i, n in enumerate(distinct_counts(df))}
     columns = []
     for i, (c, t) in enumerate(df.dtypes):
         kind, name = family(t), normal(c)

@@ -380,3 +380,16 @@ def test_sets_that_repeat_in_a_part_are_not_counted_over_all_rows(spark, monkeyp
     assert inference.repeating(make(many), [("a_id", "b_id"), ("a_id", "c_id")], distinct) == {("a_id", "b_id")}
     monkeypatch.setattr(inference, "PARTS", 10**9)  # an empty part shows nothing
     assert inference.unique_sets(make(many), distinct) == [("a_id", "c_id")]
+
+
+def test_values_are_counted_in_parts(spark, monkeypatch):
+    """Counts of few and of many values; no aggregation of a proposal sorts the table."""
+    from tessera.operators import semantics
+
+    rows = [(i, f"n{i % 700}", i % 3 or None, [0.0, -0.0, float("nan"), None][i % 4]) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, name string, few int, `odd.x` double")
+    wanted = list(df.agg(*[F.count_distinct(F.col(f"`{c}`")) for c in df.columns]).first())
+    assert semantics.distinct_counts(df) == wanted
+    whole = semantics.propose(df, "t")
+    monkeypatch.setattr(semantics, "FEW_VALUES", 10)
+    assert semantics.distinct_counts(df) == wanted and str(semantics.propose(df, "t")) == str(whole) and semantics.distinct_counts(df.limit(0)) == [0] * 4
