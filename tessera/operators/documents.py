@@ -21,10 +21,27 @@ def line_totals(lines: DataFrame, quantity: str = "quantity", price: str = "unit
     return lines.withColumn("line_total", money(F.col(quantity).cast("decimal(18,6)") * F.col(price).cast("decimal(18,6)")))
 
 
+#: Most rows, on average, in a task that sums lines, and fewest before there are more tasks than needed.
+LINES, FEWEST = 500_000, 20_000
+
+
+def parts(lines: DataFrame) -> int:
+    """In how many parts ``lines`` are summed: the rows of a part do not grow with the table."""
+    n = lines.count()
+    return max(1, min(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // FEWEST), -(-n // LINES))
+
+
 def tax_summary(lines: DataFrame, doc: str, inclusive: bool = False) -> DataFrame:
-    """doc, tax_label, tax_rate, taxable, tax: summed by rate first and rounded once."""
+    """doc, tax_label, tax_rate, taxable, tax: summed by rate first and rounded once.
+
+    There are nearly as many groups as lines, so sums by split would hold a split in memory. Lines are dealt by document and
+    split instead, in parts of bounded size, and their sums by document: one of very many lines is summed in many tasks.
+    """
+    n = parts(lines)
     rate = F.col("tax_rate").cast("decimal(8,6)")
-    sums = lines.groupBy(doc, "tax_label", rate.alias("tax_rate")).agg(F.sum("line_total").alias("gross"))
+    picked = lines.select(doc, "tax_label", rate.alias("tax_rate"), F.col("line_total").alias("gross"), F.spark_partition_id().alias("__split"))
+    some = picked.repartition(n, doc, "__split").groupBy(doc, "tax_label", "tax_rate", "__split").agg(F.sum("gross").alias("gross"))
+    sums = some.repartition(n, doc).groupBy(doc, "tax_label", "tax_rate").agg(F.sum("gross").alias("gross"))
     g, r = F.col("gross"), F.col("tax_rate")
     tax = money(g - g / (F.lit(1) + r)) if inclusive else money(g * r)
     return sums.select(doc, "tax_label", "tax_rate", (g - tax if inclusive else g).cast(MONEY).alias("taxable"), tax.alias("tax"))

@@ -1,11 +1,12 @@
 """Template documents, batches and chart payloads."""
 
 import json
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import batches, templates, views
+from tessera.operators import batches, documents, templates, views
 from tessera.sources import datasets
 
 
@@ -61,3 +62,23 @@ def test_payloads_are_small(spark):
     for p in (views.distribution(a, b, "income"), views.categorical(a, b, "plan"), views.correlation(a, b), views.missing(a, b), views.scores(a, b), views.overview({"c": a})):
         assert len(json.dumps(p)) < views.CEILING
     assert views.chartable(a) == ["age", "income", "tenure_months"] or "income" in views.chartable(a)
+
+
+def test_lines_are_summed_in_parts_of_bounded_size(spark, monkeypatch):
+    """More lines, more parts; a document of very many lines meets itself in all splits; equal totals in any number of parts."""
+    monkeypatch.setattr(documents, "LINES", 50)
+    monkeypatch.setattr(documents, "FEWEST", 500)
+    rows = [(i % 7 if i % 2 else None if i % 10 == 4 else 99, Decimal(i % 13), Decimal("1.25") * (i % 9), "AB"[i % 2], [0.05, None, 0.21][i % 3]) for i in range(600)]
+    lines = documents.line_totals(spark.createDataFrame(rows, "doc long, quantity decimal(18,6), unit_price decimal(18,2), tax_label string, tax_rate double").repartition(5))
+    found = documents.tax_summary(lines, "doc")
+    assert found.rdd.getNumPartitions() == documents.parts(lines) == 12
+    wanted = {}
+    for doc, quantity, price, label, rate in rows:
+        key = (doc, label, None if rate is None else Decimal(str(rate)))
+        wanted[key] = wanted.get(key, 0) + (quantity * price).quantize(Decimal("0.01"), "ROUND_HALF_UP")
+    assert {(r.doc, r.tax_label, r.tax_rate): r.taxable for r in found.collect()} == wanted
+    heads = {r.doc: (r.subtotal, r.tax_total) for r in documents.invoices(lines, "doc").collect()}
+    for doc, (subtotal, tax) in heads.items():
+        mine = {k: g for k, g in wanted.items() if k[0] == doc}
+        assert subtotal == sum(mine.values()) and tax == sum((g * k[2]).quantize(Decimal("0.01"), "ROUND_HALF_UP") for k, g in mine.items() if k[2] is not None)
+    assert set(heads) == {r[0] for r in rows}
