@@ -166,7 +166,8 @@ class Index:
         first = compared(asking.join(at_home, "q").withColumn("best", F.lit(None).cast("binary")), self.folder, pivots.shape[1]).checkpoint()
         # answers so far, in the order of the blocks' queries, and the rings that may hold better ones
         bounded = asking.join(first.select("q", "best"), "q")
-        wanted = bounded.mapInArrow(reaching(pivots, self.folder), "q long, cell int, least double, most double, reach binary")
+        # few rows of much work: dealt by number
+        wanted = bounded.repartition(parallel(spark)).mapInArrow(reaching(pivots, self.folder), "q long, cell int, least double, most double, reach binary")
         met = wanted.alias("w").join(rings, "cell").where((F.col("high") >= F.col("least")) & (F.col("low") <= F.col("most"))).select("q", F.col("block").alias("r_block"), "reach")
         later = met.join(home, ["q", "r_block"], "left_anti").checkpoint()
         # a block of queries meets its blocks in one task, or in as few as keep all tasks at work

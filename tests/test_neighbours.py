@@ -63,3 +63,27 @@ def test_blocks_meet_by_name(spark, monkeypatch):
     found, seen = index.search(df, "k", "v")
     assert seen["compared"] > 3 * index.blocks.count()
     assert {x.id: (pytest.approx(x.distance), x.near) for x in found.collect()} == brute(rows, rows)
+
+
+def test_bounds_are_found_in_many_tasks(spark, monkeypatch, tmp_path):
+    """Blocks of queries are few rows: they are dealt by number, not left to a task by their bytes."""
+    inner = neighbours.reaching
+
+    def marked(pivots, folder):
+        run = inner(pivots, folder)
+
+        def noted(batches):
+            from pyspark import TaskContext
+
+            held = [b for b in batches if b.num_rows]
+            if held:
+                (tmp_path / str(TaskContext.get().partitionId())).touch()
+            yield from run(iter(held))
+
+        return noted
+
+    monkeypatch.setattr(neighbours, "reaching", marked)
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, [r.random(), r.random()]) for i in range(400)], "k long, v array<double>")
+    assert neighbours.Index.build(df, "k", "v", size=10).nearest(df, "k", "v").count() == 400
+    assert len(list(tmp_path.iterdir())) > 2
