@@ -318,6 +318,23 @@ def accepted(docs: DataFrame, net: Network | None, least: float = 0.0, text_col:
     return by_batch(docs, run, docs.schema, "langid")
 
 
+def identified(docs: DataFrame, net: Network | None, sure: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is not ``und``, all columns; ``lang_col`` becomes the language of the text.
+
+    A prediction that scores over ``sure`` stands. Below that a given language stays, and a row without one takes the prediction.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score = predict(net, batch.column(batch.schema.get_field_index(text_col)))
+        at = batch.schema.get_field_index(lang_col)
+        given = batch.column(at).to_pylist()
+        found = [l if s > sure or g is None else g for l, s, g in zip(lang, score, given, strict=True)]
+        out = batch.set_column(at, batch.schema.field(at), pa.array(found, batch.schema.field(at).type))
+        return out.filter(pa.array([l != UNDEFINED for l in lang], pa.bool_()))
+
+    return by_batch(docs, run, docs.schema, "langid")
+
+
 def languages(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
     """Fit on the training part of ``docs`` and predict all of it: doc_id, held_out, lang_pred, score."""
     net = fit(docs, modulus, rest)

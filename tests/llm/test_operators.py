@@ -482,6 +482,25 @@ def test_language_on_held_out_rows(spark):
     assert langid.accepted(df, None).count() == 0
 
 
+def test_language_stage_names_the_language_of_texts(spark, tmp_path):
+    """Held-out labels that are missing or wrong give way to the prediction; where it is not sure, a given one stays."""
+    import corpus_pipeline
+
+    df = labelled(spark)
+    wanted = {r.doc_id: r.lang for r in df.collect() if r.doc_id is not None and r.doc_id < 400}
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    other = F.when(F.col("lang") == "de", "en").otherwise("de")
+    marred = df.withColumn("lang", F.when(held & (F.col("doc_id") % 2 == 0), None).when(held, other).otherwise(F.col("lang")))
+    found = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, marred, str(tmp_path)).collect()}
+    asked = [i for i in wanted if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(asked) > 50 and sum(found[i] == wanted[i] for i in asked) / len(asked) >= 0.95
+    assert set(found) == {*wanted, None, 404} and found[404] == "en"
+    doubtful = spark.createDataFrame([(1, "x", "fr"), (2, "x", None), (3, None, "fr")], df.select("doc_id", "text", "lang").schema)
+    even = langid.Network.fresh(["de", "en", "fr"], 4, 3)
+    even.params = {k: 0 * v for k, v in even.params.items()}
+    assert sorted(tuple(r) for r in langid.identified(doubtful, even).collect()) == [(1, "x", "fr"), (2, "x", "de")]
+
+
 def test_gradients_by_differences():
     net = langid.Network.fresh(["a", "b", "c"], 3, 1)
     net.params = {k: v.astype(np.float64) for k, v in net.params.items()}
